@@ -161,6 +161,18 @@ class Words:
         np.cumsum((_BYTE_LOWER if lower else _BYTE)[buf] * power[:n], out=total[1:])
         self.hash = mix((total[self.end] - total[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
 
+    @staticmethod
+    def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges, case folded where ``lower`` is set."""
+        power, inverse = _powers(len(buf) + 1)
+        out = np.zeros(len(start), np.uint64)
+        for table_, pick in ((_BYTE_LOWER, lower), (_BYTE, ~lower)):
+            if pick.any():
+                total = np.zeros(len(buf) + 1, np.uint64)
+                np.cumsum(table_[buf] * power[: len(buf)], out=total[1:])
+                out[pick] = (total[end[pick]] - total[start[pick]]) * inverse[start[pick]]
+        return mix(out + (end - start).astype(np.uint64))
+
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the k words from each word on, and whether they lie in one row."""
         h, n = self.hash, len(self.hash)
@@ -251,3 +263,22 @@ def ready(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
+# ---------------------------------------------------------------- bounded filters
+
+SLOTS = 1 << 18
+
+
+def slot(col):
+    return F.pmod(F.xxhash64(col), F.lit(SLOTS)).cast("int")
+
+
+def slots_of(ids: DataFrame, col: str) -> DataFrame:
+    """The hash slots of some ids: at most SLOTS rows of one int, whatever the input, so it may be broadcast."""
+    return ids.select(slot(F.col(col)).alias("slot")).distinct()
+
+
+def maybe_in(df: DataFrame, id_col, slots: DataFrame) -> DataFrame:
+    """Rows whose id may be among those of ``slots``; spares a shuffle most of the others."""
+    return df.withColumn("slot", slot(id_col)).join(F.broadcast(slots), "slot", "left_semi").drop("slot")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, packing, rollups, warc
+from . import ann, html, media, mixing, packing, rollups, signature, substring, toxicity, warc
 from .common import ready
 
 
@@ -19,8 +19,13 @@ def queries() -> dict:
 
 
 _QUERIES = {
+    "op1_jaccard_join": signature.op1_query,
     "op2_media_columns": media.op2_query,
+    "op3_toxicity": toxicity.op3_query,
+    "op4_html": html.op4_query,
+    "op5_ann": ann.op5_query,
     "op6_packing": packing.op6_query,
+    "op7_substring_dedup": substring.op7_query,
     "op8_mixing": mixing.op8_query,
     "op9_warc": warc.op9_query,
     "op10_token_counts": rollups.op10_query,
@@ -28,4 +33,4 @@ _QUERIES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.OP8_SQL, "op9_warc": warc.OP9_SQL, "op10_token_counts": rollups.OP10_SQL}
+    return {"op1_jaccard_join": signature.OP1_SQL, "op8_mixing": mixing.OP8_SQL, "op9_warc": warc.OP9_SQL, "op10_token_counts": rollups.OP10_SQL}
