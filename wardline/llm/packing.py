@@ -3,8 +3,8 @@
 Texts become token ids in Arrow batches; distinct words are encoded once per worker. A document's ids are cut at
 multiples of the sequence length, so that whole sequences fill themselves, and what remains is placed online: N(h)
 counts the open sequences of fill level h in a level array, and a remainder goes where the sum of N(h)^2 afterwards
-is least. Parts of the input are packed by themselves; the sequences they leave open are then packed again, as items,
-in ever fewer parts, so that padding does not grow with the number of parts.
+is least. Parts of the input are packed by themselves; the items of sequences they leave open are then packed again in
+ever fewer parts, so that padding does not grow with the number of parts.
 
 Defined results: a null or empty text is the end id alone; repeated rows (and ids) are documents of their own; a null
 id is kept; an empty table gives an empty result; only the named columns are read.
@@ -15,6 +15,8 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,79 +28,164 @@ from .common import Words, slices, stored, table, text_buffer
 
 CAPACITY = 4096
 END_ID = 2
-#: Words that a worker remembers; beyond, it forgets all.
-MOST_KNOWN = 400_000
+#: Pieces that a worker remembers, in some 25 bytes each; beyond, it forgets all.
+MOST_KNOWN = 2_000_000
 #: Items that one part of a packing round holds, about.
 PART_ITEMS = 20_000
-
-
-class WordEncoder:
-    """Ids of texts as the ids of their white-space-separated words.
-
-    Right for tokenizers whose normaliser and splitter never join across ASCII white space and drop it, as
-    word_bpe_49k.json does; its special strings hold no white space.
+#: Share of a sequence from which it is left as it is.
+NEARLY_FULL = 0.98
+
+
+#: Classes of ASCII bytes; a word with any other byte, or an apostrophe, is encoded whole.
+_WHOLE, _LETTER, _DIGIT, _SIGN = 0, 1, 2, 3
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[0x21:0x7F] = _SIGN
+_CLASS[ord("0") : ord("9") + 1] = _DIGIT
+_CLASS[ord("a") : ord("z") + 1] = _CLASS[ord("A") : ord("Z") + 1] = _LETTER
+_CLASS[ord("'")] = _WHOLE
+
+
+class Known:
+    """Ids by hash: sorted arrays, a large one and one of recent entries that is merged in now and then."""
+
+    def __init__(self) -> None:
+        self.parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))] * 2
+        self.ids, self.used = np.zeros(1 << 20, np.uint16), 0
+
+    def __len__(self) -> int:
+        return sum(len(p[0]) for p in self.parts)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First id and number of ids of sorted distinct hashes; -1 where unknown."""
+        begin, size = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int32)
+        for keys, begins, sizes in self.parts:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = keys[at] == h
+                begin[hit], size[hit] = begins[at[hit]], sizes[at[hit]]
+        return begin, size
+
+    def add(self, h: np.ndarray, ids: list[list[int]]) -> None:
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        total = int(size.sum())
+        while len(self.ids) < self.used + total:
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint16, total)
+        new = h, self.used + np.cumsum(size) - size, size
+        self.used += total
+        self.parts[1] = self._merged(self.parts[1], new)
+        if len(self.parts[1][0]) > 1 << 16:
+            self.parts = [self._merged(*self.parts), (h[:0], new[1][:0], size[:0])]
+
+    @staticmethod
+    def _merged(x: tuple, y: tuple) -> tuple:
+        keys = np.concatenate((x[0], y[0]))
+        by = np.argsort(keys, kind="stable")
+        return keys[by], np.concatenate((x[1], y[1]))[by], np.concatenate((x[2], y[2]))[by]
+
+
+class PieceEncoder:
+    """Ids of texts, put together from the ids of their pieces.
+
+    For tokenizers such as word_bpe_49k.json, which lower-case, split at white space and then into letters, single digits
+    and other signs, and have fewer than 65,536 ids. ASCII words are split here, so that few distinct pieces remain; a word with another byte
+    or an apostrophe, or with what may be a special string, is left whole to the full tokenizer.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    _made: dict[str, PieceEncoder] = {}
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.begin = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int32)
-        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
+    def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.full = Tokenizer.from_file(path)
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.known = Known()
+
+    @classmethod
+    def of(cls, path: str) -> PieceEncoder:
+        """One for each worker process, kept between tasks."""
+        if path not in cls._made:
+            cls._made[path] = cls(path)
+        return cls._made[path]
+
+    def _pieces(self, data: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First byte, end and wholeness of each piece, and pieces before each word (and after the last)."""
+        kind = _CLASS[data]
+        odd = np.concatenate(([0], np.cumsum(kind == _WHOLE)))
+        whole = odd[w.end] > odd[w.start]
+        if b"<|" in (raw := data.tobytes()):
+            at = raw.find(b"<|")
+            while at >= 0:
+                whole[np.searchsorted(w.start, at, "right") - 1] = True
+                at = raw.find(b"<|", at + 1)
+        split = np.zeros(len(data) + 1, bool)
+        split[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        inside = np.zeros(len(data) + 1, np.int8)  # bytes of words that are split
+        inside[w.start[~whole]] += 1
+        inside[w.end[~whole]] -= 1
+        split &= np.cumsum(inside, dtype=np.int8).astype(bool)
+        split[w.start] = True
+        start = np.flatnonzero(split)
+        first = np.searchsorted(start, w.start)
+        end = np.append(start[1:], 0)
+        last = np.append(first[1:], len(start)) - 1
+        end[last] = w.end
+        part = np.zeros(len(start), bool)
+        part[first[whole]] = True
+        return start, end, part, np.append(first, len(start))
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
         """Ids of each row."""
         for i, j in slices(offsets):
-            part = offsets[i : j + 1] - offsets[i]
+            bounds = offsets[i : j + 1] - offsets[i]
             data = buf[offsets[i] : offsets[j]]
-            w = Words(data, part, lower=False)
-            if len(self.known) > MOST_KNOWN:
-                self._forget()
-            unique, at, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-            slot = np.fromiter((self.known.get(h, -1) for h in unique.tolist()), np.int64, len(unique))
-            new = np.flatnonzero(slot < 0)
+            w = Words(data, bounds, lower=False)
+            start, end, whole, before = self._pieces(data, w)
+            h = w.span_hash(data, start, end, ~whole)
+            unique, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+            begin, size = self.known.find(unique)
+            new = np.flatnonzero(begin < 0)
             if len(new):
                 raw = data.tobytes()
-                texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.start[at[new]].tolist(), w.end[at[new]].tolist(), strict=True)]
-                ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-                first = len(self.known)
-                slot[new] = first + np.arange(len(new))
-                self.known.update(zip(unique[new].tolist(), slot[new].tolist(), strict=True))
-                while len(self.begin) < first + len(new):
-                    self.begin, self.size = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.size, 2 * len(self.size))
-                size = np.fromiter(map(len, ids), np.int32, len(ids))
-                flat = np.fromiter((x for r in ids for x in r), np.uint32, int(size.sum()))
-                while len(self.ids) < self.used + len(flat):
-                    self.ids = np.resize(self.ids, 2 * len(self.ids))
-                self.ids[self.used : self.used + len(flat)] = flat
-                self.begin[first : first + len(new)] = self.used + np.cumsum(size) - size
-                self.size[first : first + len(new)] = size
-                self.used += len(flat)
-            word = slot[inverse]
-            size = self.size[word].astype(np.int64)
+                a, b, full = start[at[new]].tolist(), end[at[new]].tolist(), whole[at[new]]
+                texts = [raw[x:y] for x, y in zip(a, b, strict=True)]
+                plain, rest = np.flatnonzero(~full).tolist(), np.flatnonzero(full).tolist()
+                ids: list[list[int]] = [[]] * len(new)
+                for k, e in zip(plain, self.plain.encode_batch_fast([texts[k].decode("ascii").lower() for k in plain], add_special_tokens=False), strict=True):
+                    ids[k] = e.ids
+                for k, e in zip(rest, self.full.encode_batch_fast([texts[k].decode("utf-8", "replace") for k in rest], add_special_tokens=False), strict=True):
+                    ids[k] = e.ids
+                if len(self.known) + len(new) > MOST_KNOWN:
+                    self.known = Known()
+                    unique, begin = unique.copy(), np.full(len(unique), -1, np.int64)
+                    yield from self.encode(data, bounds)
+                    continue
+                self.known.add(unique[new], ids)
+                begin, size = self.known.find(unique)
+            begin, size = begin[inverse], size[inverse].astype(np.int64)
             total = np.concatenate(([0], np.cumsum(size)))
-            flat = self.ids[np.arange(total[-1]) + np.repeat(self.begin[word] - total[:-1], size)]
-            bounds = total[w.first]
+            flat = self.known.ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], size)]
+            cut = total[before[w.first]]
             for r in range(w.rows):
-                yield flat[bounds[r] : bounds[r + 1]]
+                yield flat[cut[r] : cut[r + 1]]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens): every document's ids and the end id, cut at multiples of ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = PieceEncoder.of(tokenizer)
         end = np.array([end_id], "<u4")
         for b in batches:
             buf, offsets = text_buffer(b.column(1))
             rows: list[tuple] = []
             for doc, ids in zip(b.column(0).to_pylist(), encoder.encode(buf, offsets), strict=True):
-                ids = np.concatenate((ids, end)).astype("<u4")
+                ids = np.concatenate((ids, end), dtype="<u4")
                 rows += [(doc, s, min(capacity, len(ids) - s), zlib.crc32(ids[s : s + capacity].tobytes()), len(ids)) for s in range(0, len(ids), capacity)]
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, ["id", "start", "length", "ids_crc32", "doc_tokens"])
 
@@ -173,34 +260,28 @@ def _pack_part(capacity: int):
 def pack(items: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITEMS, most_rounds: int = 6) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to (id, start, length, ids_crc32, doc_tokens) rows.
 
-    Parts are dealt by a hash of the row and sorted, so a task run again packs the same way. A packing round's
-    memory is its part's small rows. Rounds repeat on the open sequences until one part holds them.
+    Parts are dealt by a hash of the row and sorted, so a task run again packs the same way; a part's memory is its small
+    rows. The items of sequences that stay below NEARLY_FULL are packed once more in as many parts as they need, until
+    that is one.
     """
-    n = items.count()
-    p = max(1, math.ceil(n / part_items))
-    order = ["h", *items.columns]
-    dealt = items.withColumn("h", F.xxhash64(*items.columns)).repartition(p, "h").sortWithinPartitions(*order)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
-    cols = "seq long, off long, fill long"
-    packed = stored(dealt.mapInArrow(_pack_part(capacity), f"{schema}, {cols}").drop("h").withColumn("round", F.lit(0)), "packed")
-    for again in range(1, most_rounds):
-        bins = packed.where((F.col("fill") < capacity) & (F.col("round") == again - 1)).select("seq", F.col("fill").alias("length"), "round").distinct()
-        bins = stored(bins, "bins")
-        left = bins.count()
-        if p == 1 or not left:
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
+    order, sealed = ["h", *items.columns], []
+    rest, p = items, 0
+    for number in range(most_rounds):
+        n = rest.count()
+        if not n and number:
+            break
+        last, p = p, max(1, math.ceil(n / part_items))
+        dealt = rest.withColumn("h", F.xxhash64(*items.columns)).repartition(p, "h").sortWithinPartitions(*order)
+        packed = stored(dealt.mapInArrow(_pack_part(capacity), f"{schema}, h long, seq long, off long, fill long"), "packed")
+        rest = packed.where(F.col("fill") < NEARLY_FULL * capacity).select(*items.columns)
+        final = p == 1 or p == last or number == most_rounds - 1
+        # the round is in the bits above the part's
+        sequence = F.col("seq") + F.lit(number << 56)
+        sealed.append((packed if final else packed.where(F.col("fill") >= NEARLY_FULL * capacity)).select(*items.columns, sequence.alias("sequence_id"), F.col("off").alias("offset")))
+        if final:
             break
-        p = max(1, min(p // 2, math.ceil(left / part_items)))
-        dealt = bins.drop("round").withColumn("h", F.xxhash64("seq")).repartition(p, "h").sortWithinPartitions("h", "seq")
-        moved = dealt.withColumnRenamed("seq", "bin").mapInArrow(_pack_part(capacity), f"bin long, length long, h long, {cols}")
-        moved = stored(moved.select(F.col("bin"), F.lit(again - 1).alias("of"), F.col("seq").alias("to"), F.col("off").alias("base"), F.col("fill").alias("now")), "moved")
-        on = (packed.seq == moved.bin) & (packed.round == moved.of)
-        packed = stored(
-            packed.join(moved, on, "left").select(
-                *items.columns, F.coalesce("to", "seq").alias("seq"), (F.col("off") + F.coalesce("base", F.lit(0))).alias("off"),
-                F.coalesce("now", "fill").alias("fill"), F.when(F.col("to").isNotNull(), again).otherwise(F.col("round")).alias("round"),
-            ), "packed")
-    # part numbers take 24 bits of the sequence number below the round's
-    return packed.select(*items.columns, (F.col("seq") + F.shiftleft(F.col("round").cast("long"), 56)).alias("sequence_id"), F.col("off").alias("offset"))
+    return reduce(DataFrame.union, sealed)
 
 
 def op6_query(spark, sf_dir):
