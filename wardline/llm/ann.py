@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-PROJECTIONS, SHARE, Z, WIDEN, FIRST = 64, 0.6, 2.0, 1.25, 0.2
-INDEX_BLOCK, QUERY_BLOCK = 4096, 1024
-
-
-def _collides(distance: np.ndarray, half: float) -> np.ndarray:
-    """Chance that a normal projection of vectors at a distance stays within half a window."""
-    x = half / np.maximum(distance, 1e-12) / math.sqrt(2)
-    return np.vectorize(math.erf, otypes=[float])(x)
+PROJECTIONS, SHARE, Z, WIDEN, FIRST = 64, 0.6, 1.2, 1.4, 0.25
+INDEX_BLOCK, QUERY_BLOCK = 16384, 256
 
 
 class CollisionIndex:
@@ -48,6 +43,10 @@ class CollisionIndex:
         self.order = np.ascontiguousarray(np.argsort(value, axis=0, kind="stable").T.astype(np.int32))
         self.sorted = np.take_along_axis(value, self.order.T, axis=0).T.copy()
         self.verified = 0
+        # half a window, for each unit of distance, in which a vector collides often enough with z deviations to spare
+        chance = np.linspace(0, 1, 2001)[1:-1]
+        spare = projections * chance - z * np.sqrt(projections * chance * (1 - chance)) >= math.ceil(share * projections)
+        self.reach = NormalDist().inv_cdf((1 + float(chance[spare.argmax()])) / 2) if spare.any() else 6.0
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and products of the k best found, best first, ties to the smaller id."""
@@ -56,7 +55,7 @@ class CollisionIndex:
         size = math.sqrt(float(q @ q))
         centre = (q / size) @ self.directions[:-1]
         need = max(1, math.ceil(self.share * m))
-        count = np.zeros(n, np.int32)
+        count = np.zeros(n, np.int64)
         done = self.ids == query_id
         left = np.array([np.searchsorted(s, c) for s, c in zip(self.sorted, centre, strict=True)])
         right = left.copy()
@@ -65,14 +64,16 @@ class CollisionIndex:
         while True:
             new = []
             for j in range(m):
-                lo = int(np.searchsorted(self.sorted[j], centre[j] - half, "left"))
-                hi = int(np.searchsorted(self.sorted[j], centre[j] + half, "right"))
+                lo, hi = self.sorted[j].searchsorted((centre[j] - half, centre[j] + half)).tolist()
                 new += [self.order[j, lo : left[j]], self.order[j, right[j] : hi]]
                 left[j], right[j] = lo, hi
-            count += np.bincount(np.concatenate(new), minlength=n).astype(np.int32)
+            count += np.bincount(np.concatenate(new), minlength=n)
             pick = np.flatnonzero((count >= need) & ~done)
             done[pick] = True
             self.verified += len(pick)
+            near = self.vectors[pick] @ q
+            if len(near) > k:  # what rounding cannot bring to the k best is left
+                pick = pick[near >= np.partition(near, -k)[-k] - 1e-9 * (1 + size * self.norm)]
             found = np.concatenate((found, pick))
             scores = np.concatenate((scores, (self.vectors[pick] * q).sum(1)))
             if len(found) > k:
@@ -80,12 +81,14 @@ class CollisionIndex:
                 found, scores = found[best], scores[best]
             if done.all() or bool((right - left == n).all()):
                 break
+            wider = half * WIDEN
             if len(found) == k:
                 far = math.sqrt(max(0.0, 2 - 2 * float(scores.min()) / (size * self.norm)))
-                p = float(_collides(np.array([far]), half)[0])
-                if m * p - self.z * math.sqrt(m * p * (1 - p)) >= need:
+                enough = far * self.reach
+                if half >= enough:
                     break
-            half *= WIDEN
+                wider = max(half * 1.02, min(wider, enough))
+            half = wider
         best = np.lexsort((self.ids[found], -scores))
         return self.ids[found[best]], scores[best]
 

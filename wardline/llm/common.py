@@ -43,10 +43,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Remove the scratch tables opened so far. Call it only when their readers have been written out."""
-    while _OPEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_OPEN.pop())
+def opened() -> list[str]:
+    """The scratch folders in use, for ``release``."""
+    return _OPEN
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Remove scratch folders. Call it only when what reads them has been written out."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
