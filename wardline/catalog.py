@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .queries import code, graphs, registry, reports, web  # noqa: F401  (they register themselves)
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
