@@ -110,3 +110,29 @@ def validate(pairs: DataFrame, relations: DataFrame, conditions: DataFrame, func
     guard = calls.withColumn("simple", names.simple_function_name(F.col("callee"))).join(validated.select(F.col("name").alias("simple")), "simple", "left_semi")
     snippets = gates.select("path", F.lit("conditional").alias("kind"), F.col("start").cast("long").alias("line")).union(guard.select("path", F.lit("guard_call"), F.col("line").cast("long"))).union(functions.join(validated, "name", "left_semi").select("path", F.lit("validation_function"), F.col("start").cast("long")))
     return {"parameters": parameters, "functions": validated, "snippets": snippets.distinct()}
+
+
+def role_flow(literals: DataFrame, arguments: DataFrame) -> DataFrame:
+    """(function, pos, role): role literals carried from caller to callee by parameter position until nothing is added.
+
+    ``literals`` has function, pos, role where a parameter takes a literal; ``arguments`` has caller, caller_pos, callee,
+    callee_pos where a parameter is handed on. Callees are met by lower-cased name and place."""
+    node = lambda f, p: F.concat(F.lower(f), F.lit("\x01"), p.cast("string"))
+    edges = arguments.select(node(F.col("caller"), F.col("caller_pos")).alias("from"), node(F.col("callee"), F.col("callee_pos")).alias("to"))
+    out = graph.labelled_closure(edges, literals.select(node(F.col("function"), F.col("pos")).alias("node"), F.col("role").alias("label")))
+    return out.select(F.substring_index("node", "\x01", 1).alias("function"), F.substring_index("node", "\x01", -1).cast("int").alias("pos"), F.col("label").alias("role"))
+
+
+def state_key(expression):
+    """The key of a session or cookie expression whatever its quotes and spaces; null for others."""
+    key = F.regexp_extract(expression, r"(?i)^\s*\$_(session|cookie)\s*\[\s*[\"']?(\w+)[\"']?\s*\]", 2)
+    kind = F.lower(F.regexp_extract(expression, r"(?i)^\s*\$_(session|cookie)\s*\[", 1))
+    return F.when(key != "", F.concat(kind, F.lit(":"), F.lower(key)))
+
+
+def shared_state(relations: DataFrame, writes: DataFrame, reads: DataFrame) -> DataFrame:
+    """Database relations (path, variable, table, field) carried to other files through session state: a file that writes the
+    variable to a state key (path, variable, state) meets every file that reads the key (path, state), by hash of the key."""
+    sent = relations.join(writes, ["path", "variable"]).select(state_key(F.col("state")).alias("key"), "table", "field").where("key IS NOT NULL").distinct()
+    read = reads.select("path", state_key(F.col("state")).alias("key")).where("key IS NOT NULL").distinct()
+    return read.join(sent, "key").select("path", "key", "table", "field")

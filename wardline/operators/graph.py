@@ -85,3 +85,16 @@ def chain_of_flags(branches: DataFrame, most_rounds: int = 1000) -> DataFrame:
     flow = b.alias("x").join(b.alias("y"), (F.col("x.scope") == F.col("y.scope")) & (F.col("x.sets") == F.col("y.tests")) & (F.col("x.start") < F.col("y.start"))).select(F.col("y.id").alias("from"), F.col("x.id").alias("to"))
     reached = closure(flow, b.where("denies").select(F.col("id").alias("node")), most_rounds)
     return b.join(reached, b["id"] == reached["node"], "left").select("scope", "id", F.col("depth").alias("denies_by"))
+
+
+def labelled_closure(edges: DataFrame, starts: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """(node, label) reachable from labelled starts (node, label). The frontier alone is joined; a pair seen before is dropped."""
+    edges = checkpointed(edges.select("from", "to").distinct())
+    seen = frontier = checkpointed(starts.select("node", "label").distinct())
+    for _ in range(most_rounds):
+        step = frontier.join(edges, frontier["node"] == edges["from"]).select(F.col("to").alias("node"), "label").distinct()
+        frontier = checkpointed(step.join(seen, ["node", "label"], "left_anti"))
+        if not frontier.take(1):
+            return seen
+        seen = checkpointed(seen.unionByName(frontier))
+    raise RuntimeError("labelled closure did not settle")

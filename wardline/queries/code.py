@@ -156,3 +156,33 @@ def name_keys(spark, sf_dir):
     k = F.col("s_suppkey")
     raw = F.when(k % 3 == 0, " $Current.User.ROLE ").when(k % 3 == 1, "request.user.role").otherwise('$_SESSION["id"]')
     return table(spark, sf_dir, "supplier").select("s_suppkey", names.normalized_name(F.col("s_name")).alias("name"), names.digest(F.col("s_name")).alias("digest"), names.semantic_key(raw).alias("key"))
+
+
+@query("""WITH RECURSIVE a AS (SELECT 'f' || (l_suppkey % 90) AS c, l_linenumber % 3 AS cp, 'f' || (l_partkey % 90) AS d, (l_linenumber + 1) % 3 AS dp FROM lineitem WHERE l_quantity < 3),
+ s(f, p, r) AS (SELECT 'f' || n_nationkey, n_regionkey % 3, CASE WHEN n_regionkey = 0 THEN 'admin' ELSE 'editor' END FROM nation UNION SELECT d, dp, r FROM s JOIN a ON a.c = s.f AND a.cp = s.p)
+ SELECT f AS function, CAST(p AS INT) AS pos, r AS role FROM s""")
+def role_flow(spark, sf_dir):
+    li, n = table(spark, sf_dir, "lineitem").where("l_quantity < 3"), table(spark, sf_dir, "nation")
+    literals = n.select(F.concat(F.lit("F"), "n_nationkey").alias("function"), (F.col("n_regionkey") % 3).alias("pos"), F.when(F.col("n_regionkey") == 0, "admin").otherwise("editor").alias("role"))
+    k = F.col("l_linenumber")
+    args = li.select(F.concat(F.lit("f"), F.col("l_suppkey") % 90).alias("caller"), (k % 3).alias("caller_pos"), F.concat(F.lit("F"), F.col("l_partkey") % 90).alias("callee"), ((k + 1) % 3).alias("callee_pos"))
+    return entities.role_flow(literals, args)
+
+
+@query("""WITH s AS (SELECT DISTINCT 'session:k' || (s_suppkey % 7) AS key, s_nationkey AS f FROM supplier), r AS (SELECT DISTINCT 'p' || (c_custkey % 20) AS path, 'session:k' || (c_custkey % 9) AS key FROM customer)
+ SELECT path, key, 'users' AS "table", 'f' || f AS field FROM r JOIN s USING (key)""")
+def shared_state(spark, sf_dir):
+    s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
+    at = F.concat(F.lit("w"), "s_suppkey")
+    rel = s.select(at.alias("path"), F.lit("$r").alias("variable"), F.lit("users").alias("table"), F.concat(F.lit("f"), "s_nationkey").alias("field"))
+    writes = s.select(at.alias("path"), F.lit("$r").alias("variable"), F.concat(F.lit("$_SESSION['K"), F.col("s_suppkey") % 7, F.lit("']")).alias("state"))
+    reads = c.select(F.concat(F.lit("p"), F.col("c_custkey") % 20).alias("path"), F.concat(F.lit('$_session[ "k'), F.col("c_custkey") % 9, F.lit('" ]')).alias("state"))
+    return entities.shared_state(rel, writes, reads)
+
+
+@query(r"SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '$ok' WHEN 1 THEN '$ok' WHEN 2 THEN '$x' END AS flag, CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false END AS value, p_partkey % 4 <> 3 AS boolean_like FROM part")
+def state_gates(spark, sf_dir):
+    k = F.col("p_partkey") % 4
+    text = F.when(k == 0, "$ok").when(k == 1, "!$ok").when(k == 2, "$x === false").otherwise("compute($x)")
+    gate = names.state_gate(text)
+    return table(spark, sf_dir, "part").select("p_partkey", gate["name"].alias("flag"), gate["value"].alias("value"), F.when(k == 0, True).otherwise(names.returns_boolean(text)).alias("boolean_like"))
