@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 from llm_data import words
+from pyspark.sql import functions as F
 from wardline.llm import signature
 
 
@@ -62,6 +63,7 @@ def test_cut_blocks(spark, monkeypatch):
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
+    odd_docs = odd_docs.union(odd_docs.limit(1).withColumn("doc_id", F.lit(3).cast("long")).withColumn("text", F.lit("another text of an id that is there already")))
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     got = signature.jaccard_components(odd_docs, 4, 85, 100).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, 4, 85, 100)

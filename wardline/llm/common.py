@@ -260,10 +260,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     raise RuntimeError("connected components did not settle")
 
 
+ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
+
+
 def ready(spark: SparkSession) -> None:
     """Let Python workers find this package where the driver found it (a cluster without shared code needs --py-files)."""
     import os
 
+    # whole texts are large rows
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -4,13 +4,14 @@
 2. A representative is indexed under the tokens of its prefix: |s| - ceil(t |s|) + 1 of its shingles, the first in
    one global order. Sets of similarity t or more share a prefix token. Shingles that are frequent in some part of the
    input come last in the order (a fixed-size table), so that common passages do not gather rows.
-3. Tokens with two or more representatives get a leader, the one that shares most with others. A leader and those that
-   share a token with it are a block; blocks of many shingles are cut by hash, each part with the leader in it.
-4. Each part builds a signature tree, whose nodes hold OR-combined token bitmaps and size ranges, and joins it with
+3. Tokens with two or more representatives get a leader, the one that shares most with others. First every representative
+   joins the block of the strongest of its tokens' leaders; blocks of many shingles are cut by hash, the leader in each part.
+4. Within a part, signature trees over small bitmaps drop the sets that no other can be similar enough to, so that few
+   texts move. For what stays, a signature tree, whose nodes hold OR-combined token bitmaps and size ranges, is joined with
    itself: a pair of nodes is descended only if its largest possible overlap can reach the threshold and its sets are
    not all connected yet; pairs of sets are then compared exactly.
-5. Tokens of blocks that were cut, whose representatives are still in several components, are compared in full:
-   their members in chunks, every pair of chunks by a dual traversal of the chunks' trees.
+5. All representatives with tokens of one leader that are still in several components are compared in full, in the same
+   way: the block's largest component in chunks against chunks of the others, and those against each other.
 6. Links are a forest of each component; distributed star contraction gives every node its smallest id.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; fewer words than a shingle are one
@@ -29,10 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, maybe_in, mix, runs, shingle_sets, slots_of, stored, table, text_buffer
 
-#: Slots of the table of frequent shingles, and the most that are entered.
-FREQUENT_SLOTS, FREQUENT_MOST = 1 << 20, 1 << 16
+#: Slots of the table of frequent shingles, and the most that are entered; least count in a batch.
+FREQUENT_SLOTS, FREQUENT_MOST, OFTEN = 1 << 22, 1 << 18, 6
 #: Shingles and sets in one part of a block; sets in a chunk of step 5.
-PART_SHINGLES, PART_SETS, CHUNK = 150_000, 1000, 128
+PART_SHINGLES, PART_SETS, CHUNK = 60_000, 256, 128
 #: Bits for each shingle of the part's largest set, at most so many; sets in a leaf; children of a node.
 BITS_EACH, BITS_MOST, LEAF, FAN = 4, 1 << 16, 8, 4
 
@@ -40,56 +41,49 @@ BITS_EACH, BITS_MOST, LEAF, FAN = 4, 1 << 16, 8, 4
 # ---------------------------------------------------------------- signature tree
 
 
-class Node:
-    """OR of the bitmaps below, sizes below, and the most elements that one set below has beyond its bits."""
+def bitmap(s: np.ndarray, size: int) -> int:
+    """Bit hash mod size for every element."""
+    bits = np.zeros(size, np.bool_)
+    bits[(s & np.uint64(size - 1)).astype(np.int64)] = True
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
 
-    __slots__ = ("bits", "children", "high", "low", "one", "sets", "slack")
 
-    def __init__(self, bits: int, low: int, high: int, slack: int, children: list[Node], sets: list[int]):
-        self.bits, self.low, self.high, self.slack, self.children, self.sets = bits, low, high, slack, children, sets
-        self.one = -1  # a set below, once all below are connected
+def fold(bits: int, size: int, to: int) -> int:
+    """The bitmap of the same set in fewer bits; both are powers of two."""
+    while size > to:
+        size //= 2
+        bits = (bits >> size) | (bits & ((1 << size) - 1))
+    return bits
 
 
-class SignatureTree:
-    """Joins trees of the same sets; ``links`` are the similar pairs that connected two components."""
+def own_bits(n: int) -> int:
+    """Bits of the bitmap that a set of n elements is stored with."""
+    return 1 << max(6, (n - 1).bit_length())
 
-    def __init__(self, sets: list[np.ndarray], num: int, den: int):
-        self.sets, self.num, self.den = sets, num, den
-        self.up = list(range(len(sets)))
-        self.links: list[tuple[int, int]] = []
-        self.compared = 0
-        most = max((len(s) for s in sets), default=1)
-        self.mask = np.uint64((1 << min(BITS_MOST.bit_length() - 1, max(8, (BITS_EACH * most).bit_length()))) - 1)
-        self.maps = [self._bitmap(s) for s in sets]
-        self.hashed: dict[int, frozenset] = {}
 
-    def _bitmap(self, s: np.ndarray) -> int:
-        bits = np.zeros(int(self.mask) + 1, np.bool_)
-        bits[(s & self.mask).astype(np.int64)] = True
-        return int.from_bytes(np.packbits(bits).tobytes(), "big")
+class Node:
+    """OR of the bitmaps below, sizes below, and the most elements that one set below has beyond its bits."""
 
-    # union-find
+    __slots__ = ("bits", "children", "high", "low", "one", "sets", "slack")
 
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
+    def __init__(self, bits: int, low: int, high: int, slack: int, children: list[Node], sets: list[int]):
+        self.bits, self.low, self.high, self.slack, self.children, self.sets = bits, low, high, slack, children, sets
+        self.one = -1  # once all sets below are settled: one of them
 
-    def connect(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
 
-    # trees
+class Signatures:
+    """Bitmaps and sizes of sets, and trees over them for one threshold."""
+
+    def __init__(self, sizes: list[int], maps: list[int], num: int, den: int):
+        self.sizes, self.maps, self.num, self.den = sizes, maps, num, den
 
     def build(self, some: list[int]) -> Node | None:
-        """Leaves of sets near in size and least shingle, FAN nodes below each parent."""
-        some = sorted(some, key=lambda i: (len(self.sets[i]).bit_length(), int(self.sets[i][0]), len(self.sets[i]), i))
+        """Leaves of sets near in size and in their first bits, FAN nodes below each parent."""
+        some = sorted(some, key=lambda i: (self.sizes[i].bit_length(), self.maps[i] & -self.maps[i], self.sizes[i], i))
         level = []
         for at in range(0, len(some), LEAF):
             own = some[at : at + LEAF]
-            sizes = [len(self.sets[i]) for i in own]
+            sizes = [self.sizes[i] for i in own]
             bits = 0
             for i in own:
                 bits |= self.maps[i]
@@ -116,19 +110,90 @@ class SignatureTree:
         bound = min(x.high, y.high, (x.bits & y.bits).bit_count() + min(x.slack, y.slack))
         return self._enough(bound, x.low + y.low)
 
-    def similar(self, i: int, j: int) -> bool:
-        a, b = len(self.sets[i]), len(self.sets[j])
+    def may_link(self, i: int, j: int) -> bool:
+        """The same for two sets: each bit that only one has is an element that only it has."""
+        a, b = self.sizes[i], self.sizes[j]
         if self.den * min(a, b) < self.num * max(a, b):
             return False
         x, y = self.maps[i], self.maps[j]
-        bound = min(a - (x & ~y).bit_count(), b - (y & ~x).bit_count())
-        if not self._enough(bound, a + b):
+        return self._enough(min(a - (x & ~y).bit_count(), b - (y & ~x).bit_count()), a + b)
+
+    def traverse(self, x: Node, y: Node, settled, pair) -> None:
+        """Dual traversal; x may be y. ``settled(x, y)`` ends a branch, ``pair(i, j)`` gets the sets of leaves that meet."""
+        stack = [(x, y)]
+        while stack:
+            x, y = stack.pop()
+            if settled(x, y) or not self.possible(x, y):
+                continue
+            if x.sets and y.sets:
+                for k, i in enumerate(x.sets):
+                    for j in x.sets[k + 1 :] if x is y else y.sets:
+                        pair(i, j)
+            elif x is y:
+                for k, c in enumerate(x.children):
+                    stack += [(c, d) for d in x.children[k + 1 :]]
+                stack += [(c, c) for c in x.children]
+            elif x.sets or y.children and y.high > x.high:
+                stack += [(x, c) for c in y.children]
+            else:
+                stack += [(c, y) for c in x.children]
+
+
+class Prospects(Signatures):
+    """Which sets have a partner of another component that their bitmaps allow."""
+
+    def __init__(self, sizes: list[int], maps: list[int], known: list[int], num: int, den: int):
+        super().__init__(sizes, maps, num, den)
+        self.known = known
+        self.marked = [False] * len(sizes)
+
+    def _all(self, node: Node) -> bool:
+        if node.one < 0 and all(self.marked[i] for i in node.sets) and all(self._all(c) for c in node.children):
+            node.one = 1
+        return node.one >= 0
+
+    def join(self, x: Node, y: Node) -> None:
+        def pair(i: int, j: int) -> None:
+            if not (self.marked[i] and self.marked[j]) and self.known[i] != self.known[j] and self.may_link(i, j):
+                self.marked[i] = self.marked[j] = True
+
+        self.traverse(x, y, lambda x, y: self._all(x) and self._all(y), pair)
+
+
+class SignatureTree(Signatures):
+    """Exact joins; ``links`` are the similar pairs that connected two components."""
+
+    def __init__(self, sets: list[np.ndarray], num: int, den: int):
+        most = max((len(s) for s in sets), default=1)
+        bits = 1 << min(BITS_MOST.bit_length() - 1, max(8, (BITS_EACH * most).bit_length()))
+        super().__init__([len(s) for s in sets], [bitmap(s, bits) for s in sets], num, den)
+        self.sets = sets
+        self.up = list(range(len(sets)))
+        self.links: list[tuple[int, int]] = []
+        self.compared = 0
+        self.hashed: dict[int, frozenset] = {}
+
+    # union-find
+
+    def find(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def connect(self, i: int, j: int) -> bool:
+        i, j = self.find(i), self.find(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+    def similar(self, i: int, j: int) -> bool:
+        if not self.may_link(i, j):
             return False
         self.compared += 1
         for k in (i, j):
             if k not in self.hashed:
                 self.hashed[k] = frozenset(self.sets[k].tolist())
-        return self._enough(len(self.hashed[i] & self.hashed[j]), a + b)
+        return self._enough(len(self.hashed[i] & self.hashed[j]), self.sizes[i] + self.sizes[j])
 
     def _connected(self, node: Node) -> int:
         """The component of all sets below, or -1. Sets once connected stay so, so the answer is kept."""
@@ -148,30 +213,17 @@ class SignatureTree:
         node.one = found
         return found
 
+    def _settled(self, x: Node, y: Node) -> bool:
+        same = self._connected(x)
+        return same >= 0 and (x is y or same == self._connected(y))
+
     def join(self, x: Node, y: Node) -> None:
-        """Dual traversal; x may be y."""
-        stack = [(x, y)]
-        while stack:
-            x, y = stack.pop()
-            same = self._connected(x)
-            if same >= 0 and (x is y or same == self._connected(y)):
-                continue
-            if not self.possible(x, y):
-                continue
-            if x.sets and y.sets:
-                for k, i in enumerate(x.sets):
-                    for j in x.sets[k + 1 :] if x is y else y.sets:
-                        if self.find(i) != self.find(j) and self.similar(i, j):
-                            self.connect(i, j)
-                            self.links.append((i, j))
-            elif x is y:
-                for k, c in enumerate(x.children):
-                    stack += [(c, d) for d in x.children[k + 1 :]]
-                stack += [(c, c) for c in x.children]
-            elif x.sets or y.children and y.high > x.high:
-                stack += [(x, c) for c in y.children]
-            else:
-                stack += [(c, y) for c in x.children]
+        def pair(i: int, j: int) -> None:
+            if self.find(i) != self.find(j) and self.similar(i, j):
+                self.connect(i, j)
+                self.links.append((i, j))
+
+        self.traverse(x, y, self._settled, pair)
 
 
 # ---------------------------------------------------------------- Spark
@@ -190,7 +242,7 @@ def frequent(src: DataFrame, k: int) -> np.ndarray:
             buf, offsets = text_buffer(b.column(0))
             sets = shingle_sets(buf, offsets, k)
             value, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
-            often = n >= max(8, b.num_rows // 200)
+            often = n >= max(OFTEN, b.num_rows // 1000)
             yield pa.record_batch([pa.array(value[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["h", "n"])
 
     counts = src.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -201,25 +253,57 @@ def frequent(src: DataFrame, k: int) -> np.ndarray:
 
 
 def index(src: DataFrame, k: int, num: int, den: int, slots: np.ndarray) -> DataFrame:
-    """(doc_id, n, f1, f2, prefix): size and fingerprint of the shingle set, and its prefix tokens."""
+    """(doc_id, n, f1, f2, prefix, bits): size and fingerprint of the shingle set, its prefix tokens and bitmap."""
     packed = np.packbits(slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.unpackbits(packed).astype(bool)
         for b in batches:
             buf, offsets = text_buffer(b.column(1))
-            size, prints, prefixes = [], [], [np.zeros(0, np.uint64)]
+            size, prints, maps, prefixes = [], [], [], [np.zeros(0, np.uint64)]
             for s in shingle_sets(buf, offsets, k):
                 late = often[(s & np.uint64(FREQUENT_SLOTS - 1)).astype(np.int64)]
                 most = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
                 prefixes.append(np.concatenate((s[~late], s[late]))[:most])
                 size.append(len(s))
+                maps.append(bitmap(s, b_ := own_bits(len(s))).to_bytes(b_ // 8, "little") if len(s) else b"")
                 prints.append((np.bitwise_xor.reduce(mix(s)), s.sum(dtype=np.uint64)))
             f = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefixes[1:])]), pa.int32()), pa.array(np.concatenate(prefixes).view(np.int64)))
-            yield pa.record_batch([b.column(0), pa.array(size, pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1]), lists], ["doc_id", "n", "f1", "f2", "prefix"])
+            yield pa.record_batch([b.column(0), pa.array(size, pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1]), lists, pa.array(maps, pa.binary())], ["doc_id", "n", "f1", "f2", "prefix", "bits"])
+
+    return src.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, prefix array<long>, bits binary")
+
 
-    return src.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, prefix array<long>")
+def _prospects(num: int, den: int):
+    """Of each part (block, part, side, component, rep, n, bits), sorted, the rows that have a possible partner there in another
+    component, on the other side for sides 0 and 1. Sets of one power of two in size have a tree; trees are joined with
+    those of the same and of the next size, whose bitmaps are folded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, ["block", "part"]):
+            if t.num_rows < 2:
+                continue
+            sizes, sides, known = (t.column(c).to_pylist() for c in ("n", "side", "component"))
+            raw = [int.from_bytes(x, "little") for x in t.column("bits").to_pylist()]
+            classes: dict[int, list[int]] = {}
+            for i, n in enumerate(sizes):
+                classes.setdefault(own_bits(n), []).append(i)
+            marked = np.zeros(len(sizes), bool)
+            for size, some in sorted(classes.items()):
+                both = some + classes.get(2 * size, [])
+                made = Prospects([sizes[i] for i in both], [fold(raw[i], own_bits(sizes[i]), size) for i in both], [known[i] for i in both], num, den)
+                of = lambda rows, side: made.build([k for k in rows if sides[both[k]] == side])  # noqa: B023, E731
+                low, high = range(len(some)), range(len(some), len(both))
+                own = of(low, 2)
+                for x, y in ((own, own), (own, of(high, 2)), (of(low, 0), of(low, 1)), (of(low, 0), of(high, 1)), (of(low, 1), of(high, 0))):
+                    if x and y:
+                        made.join(x, y)
+                marked[[i for i, m in zip(both, made.marked, strict=True) if m]] = True
+            if marked.any():
+                yield from t.filter(pa.array(marked)).drop_columns(["n", "bits"]).combine_chunks().to_batches()
+
+    return run
 
 
 def _join_parts(k: int, num: int, den: int):
@@ -258,6 +342,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     src = _source(docs, id_col, text_col)
     base = stored(index(src, k, num, den, frequent(src, k)), "index")
     by = ["f1", "f2", "n"]
+    # bitmaps and prefixes stay in the table until they are asked for
     usable = base.where("n > 0 AND doc_id IS NOT NULL")
     kept = stored(usable.groupBy(*by).agg(F.min("doc_id").alias("rep")), "kept")
     member = stored(base.select("doc_id", *by).join(kept, by, "left").select("doc_id", "n", "rep"), "member")
@@ -266,46 +351,59 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     shared = stored(tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("rep").alias("x"), F.max("rep").alias("y")).where("c > 1 AND x < y").select("token", "c"), "shared")
     posts = stored(tokens.join(shared, "token").select("token", "rep", "n", "c").distinct(), "posts")
     weight = stored(posts.groupBy("rep").agg(F.sum("c").alias("w")), "weight")
-    leader = stored(posts.join(weight, "rep").groupBy("token").agg(F.max(F.struct("w", (-F.col("rep")).alias("r"))).alias("m")).select("token", (-F.col("m.r")).alias("block")), "leader")
-    member_of = stored(posts.join(leader, "token").groupBy("block", "rep").agg(F.max("n").alias("n")), "blocks")
+    leader = stored(posts.join(weight, "rep").groupBy("token").agg(F.max(F.struct("w", (-F.col("rep")).alias("r"))).alias("m")).select("token", (-F.col("m.r")).alias("block"), F.col("m.w").alias("w")), "leader")
+    held = stored(posts.join(leader, "token").groupBy("block", "rep").agg(F.max("n").alias("n"), F.max("w").alias("w")), "held")
+    best = stored(held.groupBy("rep").agg(F.max(F.struct("w", (-F.col("block")).alias("r"))).alias("m"), F.max("n").alias("n")).select("rep", "n", (-F.col("m.r")).alias("block")), "best")
     cuts = F.ceil(F.greatest(F.sum("n") / PART_SHINGLES, F.count("*") / PART_SETS)).cast("int")
-    parted = stored(member_of.groupBy("block").agg(cuts.alias("cuts")).where("cuts > 1"), "parted")
-    placed = member_of.join(parted, "block", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    # a block of one is a leader that is in another's block
+    sized = stored(best.groupBy("block").agg(cuts.alias("cuts"), F.count_if(F.col("rep") != F.col("block")).alias("others")).where("others > 0").drop("others"), "sized")
     part = F.when(F.col("rep") == F.col("block"), F.sequence(F.lit(0), F.col("cuts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int")))
-    placed = placed.select("block", "rep", F.explode(part).alias("part"), F.lit(2).alias("side"), (F.col("rep") == F.col("block")).alias("first"), F.lit(None).cast("long").alias("component"))
-    links = stored(_links(placed, src, k, num, den), "links")
-    comps = connected_components(links)
-    if parted.take(1):
-        more = _across(posts, leader, parted, comps, src, k, num, den)
-        if more.take(1):
-            comps = connected_components(links.union(more))
+    led = best.select("block", "rep").union(sized.select("block", F.col("block").alias("rep"))).distinct().join(sized, "block")
+    placed = led.select("block", "rep", F.explode(part).alias("part"), F.lit(2).alias("side"), F.col("rep").alias("component")).withColumn("part", F.col("part").cast("long"))
+    # an id that is a representative and, by another row, a copy of one is one node
+    same = member.where("doc_id <> rep").join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    bits = usable.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "bits")
+    links = stored(_links(placed, bits, src, k, num, den).union(same), "links")
+    comps = stored(connected_components(links), "comps")
+    more = stored(_links(_across(held, comps), bits, src, k, num, den), "across")
+    if more.take(1):
+        comps = connected_components(links.union(more))
     out = member.join(comps, member.rep == comps.node, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _links(placed: DataFrame, src: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Deal parts with their texts out and join each."""
-    placed = stored(placed, "placed")
-    texts = maybe_in(src.where("doc_id IS NOT NULL"), F.col("doc_id"), stored(slots_of(placed, "rep"), "slots")).join(placed, F.col("doc_id") == F.col("rep"))
-    rows = texts.withColumn("component", F.coalesce("component", "doc_id")).select("block", "part", "side", "first", "component", "doc_id", "text")
+def _links(placed: DataFrame, bits: DataFrame, src: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links found in the parts of (block, part, side, component, rep): bitmaps first, then the texts of what they leave."""
     n = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ("block", "part", "side", "rep")
+    rows = stored(placed, "parts").join(bits, "rep").select(*order, "component", "n", "bits")
+    dealt = rows.repartition(n, "block", "part").sortWithinPartitions(*order)
+    left = dealt.mapInArrow(_prospects(num, den), "block long, part long, side int, rep long, component long")
+    left = stored(left.distinct(), "prospects")
+    texts = maybe_in(src.where("doc_id IS NOT NULL"), F.col("doc_id"), stored(slots_of(left, "rep"), "slots"))
+    rows = texts.join(left, F.col("doc_id") == F.col("rep")).select(*order[:3], (F.col("rep") == F.col("block")).alias("first"), "component", "doc_id", "text")
     dealt = rows.repartition(n, "block", "part").sortWithinPartitions("block", "part", "side", "doc_id")
     return dealt.mapInArrow(_join_parts(k, num, den), "a long, b long")
 
 
-def _across(posts: DataFrame, leader: DataFrame, parted: DataFrame, comps: DataFrame, src: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links between components that share a token of a block that was cut."""
-    cut = posts.join(leader.join(parted.select("block"), "block"), "token").select("token", "rep")
-    seen = stored(cut.join(comps, cut.rep == comps.node, "left").select("token", "rep", F.coalesce("component", "rep").alias("component")), "cut")
-    counts = seen.groupBy("token").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    grid = stored(counts.select("token", F.ceil(F.col("c") / CHUNK).cast("int").alias("g")), "grid")
-    own = F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")
-    each = seen.join(grid, "token").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    pair = (F.least("own", "other") * F.col("g") + F.greatest("own", "other")).alias("part")
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    placed = each.select(F.col("token").alias("block"), "rep", pair, side.alias("side"), F.lit(False).alias("first"), "component")
-    return stored(_links(placed, src, k, num, den), "across")
+def _across(held: DataFrame, comps: DataFrame) -> DataFrame:
+    """Parts that bring together every two members of a leader's block that are in different components."""
+    seen = stored(held.join(comps, held.rep == comps.node, "left").select("block", "rep", F.coalesce("component", "rep").alias("component")), "seen")
+    counts = seen.groupBy("block", "component").agg(F.count("*").alias("n"))
+    of = counts.groupBy("block").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all")).where("all > m.n")
+    size = lambda c: F.ceil(c / CHUNK).cast("long")
+    grid = stored(of.select("block", F.col("m.component").alias("main"), size(F.col("m.n")).alias("gm"), size(F.col("all") - F.col("m.n")).alias("go")), "grid")
+    j = seen.join(grid, "block").withColumn("h", F.xxhash64("rep"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("x")
+    cell = lambda i, o: (i * F.col("go") + o).alias("part")
+    i, o = F.pmod("h", "gm"), F.pmod("h", "go")
+    main = j.where("component = main").select("*", upto(F.col("go"))).select("block", cell(i, F.col("x")), F.lit(0).alias("side"), "component", "rep")
+    rest = j.where("component <> main")
+    to_main = rest.select("*", upto(F.col("gm"))).select("block", cell(F.col("x"), o), F.lit(1).alias("side"), "component", "rep")
+    side = F.when(o == F.col("x"), 2).when(o < F.col("x"), 0).otherwise(1)
+    among = rest.select("*", upto(F.col("go"))).select("block", cell(F.col("gm") + F.least(o, F.col("x")), F.greatest(o, F.col("x"))), side.alias("side"), "component", "rep")
+    return main.union(to_main).union(among)
 
 
 def op1_query(spark, sf_dir):
