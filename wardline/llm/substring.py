@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .common import Words, maybe_in, parts, runs, slices, slots_of, stored, table, text_buffer
@@ -143,10 +144,24 @@ def _reach(spans: list[tuple[int, int]], slack: int, least: int) -> list[bool]:
     return keep
 
 
+def _widest(found: list[tuple[int, list[int], list[int]]], k: int) -> list[tuple[int, list[int], list[int]]]:
+    """Chains of one document, widest first, without those that lie within wider ones."""
+    if len(found) < 2:
+        return found
+    covered = np.zeros(max(f[1][-1] for f in found) + k, bool)
+    out = []
+    for f in sorted(found, key=lambda f: (f[1][0] - f[1][-1], f[0], f[1][0])):
+        span = covered[f[1][0] : f[1][-1] + k]
+        if not span.all():
+            out.append(f)
+            span[:] = True
+    return out
+
+
 def _chain_runs(k: int, window: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "odoc", "a", "b", "low", "high"]
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int32()]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
         rows: list[tuple] = []
         for t in runs(batches, ["doc_id"]):
             doc = t.column("doc_id")[0].as_py()
@@ -156,11 +171,12 @@ def _chain_runs(k: int, window: int, least: int):
             for x, y in zip(cuts, cuts[1:], strict=False):
                 a, b = pos[x:y].tolist(), opos[x:y].tolist()
                 found += [(int(odocs[x]), [a[i] for i in c], [b[i] for i in c]) for c in chains(a, b, k)]
+            found = _widest(found, k)
             keep = _reach([(f[1][0], f[1][-1] + k) for f in found], k + window, least)
             for (o, a, b), good in zip(found, keep, strict=True):
                 if good:
                     low = max(0, (b[0] - MARGIN) // BLOCK * BLOCK)
-                    rows.append((doc, o, a, b, low, -(-(b[-1] + k + MARGIN) // BLOCK) * BLOCK))
+                    rows.append((doc, o, np.array(a, "<i4").tobytes(), np.array(b, "<i4").tobytes(), low, -(-(b[-1] + k + MARGIN) // BLOCK) * BLOCK))
             if len(rows) > 2000:
                 yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                 rows = []
@@ -199,24 +215,36 @@ def _common(x: list[int], y: list[int]) -> int:
     return row[-1]
 
 
-def align(doc: np.ndarray, other: np.ndarray, low: int, a: list[int], b: list[int], k: int = K) -> tuple[int, int, int] | None:
-    """(first word, end, equal words) of a chain's passage in ``doc``; ``other`` is the owner's slice from word ``low``."""
+def align(doc: np.ndarray, other: np.ndarray, low: int, a: list[int], b: list[int], k: int = K) -> list[tuple[int, int, int]]:
+    """(first word, end, equal words) of a chain's passages in ``doc``; ``other`` is the owner's slice from word ``low``.
+
+    A chain falls apart where a gap costs more than it brings; outer ends are extended as far as the score holds.
+    """
     b = [x - low for x in b]
-    left = _extend(doc[: a[0]][::-1], other[: b[0]][::-1])
-    ends = a[-1] + k, b[-1] + k
-    right = _extend(doc[ends[0] :], other[ends[1] :])
-    equal = k
+    pieces, first, equal = [], 0, k
     for i in range(1, len(a)):
         da, db = a[i] - a[i - 1], b[i] - b[i - 1]
         if da == db:
-            equal += int((doc[a[i - 1] + k : a[i] + k] == other[b[i - 1] + k : b[i] + k]).sum())
+            same = int((doc[a[i - 1] + k : a[i] + k] == other[b[i - 1] + k : b[i] + k]).sum())
         elif min(da, db) <= k:
-            equal += max(0, min(da, db))
+            same = min(da, db)
+        else:
+            same = k + _common(doc[a[i - 1] + k : a[i]].tolist(), other[b[i - 1] + k : b[i]].tolist())
+        if EQUAL * same < OTHER * (max(da, db) - same):
+            pieces.append((first, i - 1, equal))
+            first, equal = i, k
         else:
-            equal += k + _common(doc[a[i - 1] + k : a[i]].tolist(), other[b[i - 1] + k : b[i]].tolist())
-    equal += int((doc[a[0] - left : a[0]] == other[b[0] - left : b[0]]).sum()) + int((doc[ends[0] : ends[0] + right] == other[ends[1] : ends[1] + right]).sum())
-    first, end = a[0] - left, ends[0] + right
-    return (first, end, equal) if equal >= IDENTITY * (end - first) else None
+            equal += same
+    pieces.append((first, len(a) - 1, equal))
+    out = []
+    for x, y, equal in pieces:
+        left = _extend(doc[: a[x]][::-1], other[: b[x]][::-1])
+        end, oend = a[y] + k, b[y] + k
+        right = _extend(doc[end:], other[oend:])
+        equal += int((doc[a[x] - left : a[x]] == other[b[x] - left : b[x]]).sum()) + int((doc[end : end + right] == other[oend : oend + right]).sum())
+        if equal >= IDENTITY * (end + right - a[x] + left):
+            out.append((a[x] - left, end + right, equal))
+    return out
 
 
 def merge(spans: list[tuple[int, int, int, int]], least: int) -> list[list[tuple[int, int, int, int]]]:
@@ -237,7 +265,7 @@ def merge(spans: list[tuple[int, int, int, int]], least: int) -> list[list[tuple
 
 
 def _slices(src: DataFrame, asked: DataFrame) -> DataFrame:
-    """(odoc, low, high, words): hashes of the asked word ranges of documents, each once. A row that repeats an id counts once."""
+    """(odoc, low, high, words): 32-bit hashes of the asked word ranges of documents, each once. A row that repeats an id counts once."""
     texts = maybe_in(src, F.col("doc_id"), stored(slots_of(asked, "odoc"), "owner_slots"))
     wanted = asked.groupBy("odoc").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("ranges"))
     joined = wanted.join(texts, F.col("doc_id") == F.col("odoc")).select("odoc", "text", "ranges")
@@ -245,32 +273,42 @@ def _slices(src: DataFrame, asked: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, offsets = text_buffer(b.column(1))
+            rows = []
             for i, (o, ranges) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 w = Words(buf[offsets[i] : offsets[i + 1]], offsets[i : i + 2] - offsets[i])
-                rows = [(o, r["low"], r["high"], w.hash[r["low"] : r["high"]].tobytes()) for r in ranges]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), pa.int32(), pa.binary()], strict=True)], ["odoc", "low", "high", "words"])
+                words = w.hash.astype(np.uint32)
+                rows += [(o, r["low"], r["high"], words[r["low"] : r["high"]].tobytes()) for r in ranges]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.record_batch([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["odoc", "low", "high", "words"])
 
     return joined.mapInArrow(run, "odoc long, low int, high int, words binary")
 
 
-def _align_run(k: int, least: int):
-    """Adds to (row..., text, found) the passages: list of (first, end, equal, other)."""
-    kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("equal", pa.int32()), ("other", pa.int64()), ("passage", pa.int32())]))
+def _align_run(k: int, least: int, out: StructType):
+    """Of each document's rows (doc_id, kind, ...), its texts (kind 0) before its chains (kind 1), the texts with their passages:
+    a list of (first, end, equal, other, passage), and what is left of the text if there are any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, offsets = text_buffer(batch.column("text"))
-            out, texts = [], []
-            for i, found in enumerate(batch.column("found").to_pylist()):
+        kinds = [f.type for f in to_arrow_schema(out)]
+        for t in runs(batches, ["doc_id"]):
+            kind = t.column("kind").to_numpy()
+            own, chained = t.filter(pa.array(kind == 0)), t.filter(pa.array(kind == 1))
+            if not own.num_rows:
+                continue
+            odocs, low = chained.column("odoc").to_pylist(), chained.column("low").to_pylist()
+            a, b = ([np.frombuffer(x, "<i4").tolist() for x in chained.column(c).to_pylist()] for c in ("a", "b"))
+            others = [np.frombuffer(x, np.uint32) for x in chained.column("words").to_pylist()]
+            buf, offsets = text_buffer(own.column("text"))
+            found, texts = [], []
+            for i in range(own.num_rows):
                 data = buf[offsets[i] : offsets[i + 1]]
                 w = Words(data, offsets[i : i + 2] - offsets[i])
-                spans = []
-                for c in found or []:
-                    got = align(w.hash, np.frombuffer(c["words"], np.uint64), c["low"], c["a"], c["b"], k)
-                    if got:
-                        spans.append((*got, c["odoc"]))
+                words, spans = w.hash.astype(np.uint32), []
+                for o, x, y, from_, other in zip(odocs, a, b, low, others, strict=True):
+                    if x[-1] + k <= len(words):  # else of another text of this id
+                        spans += [(*g, o) for g in align(words, other, from_, x, y, k)]
                 passages = merge(spans, least)
-                out.append([{"first": s[0], "end": s[1], "equal": s[2], "other": s[3], "passage": n} for n, p in enumerate(passages) for s in p])
+                found.append([{"first": s[0], "end": s[1], "equal": s[2], "other": s[3], "passage": n} for n, p in enumerate(passages) for s in p])
                 at, left = 0, []
                 for p in passages:
                     left.append(data[at : w.start[p[0][0]]].tobytes())
@@ -278,9 +316,8 @@ def _align_run(k: int, least: int):
                     at = int(w.start[end]) if end < len(w.start) else len(data)
                 left.append(data[at:].tobytes())
                 texts.append(b"".join(left).decode("utf-8", "replace") if passages else None)
-            keep = [n for n in batch.schema.names if n not in ("text", "found")]
-            cols = [batch.column(n) for n in keep]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(out, kind), pa.array(texts, pa.string())], [*keep, "spans", "cut"])
+            cols = [own.column("row").combine_chunks(), own.column("doc_id").combine_chunks(), pa.array(found, kinds[2]), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "spans", "cut"])
 
     return run
 
@@ -298,16 +335,17 @@ def find(docs: DataFrame, k: int = K, window: int = WINDOW, least: int = LEAST,
     matches = all_seeds.join(owners, "seed").where("doc_id > odoc").select("doc_id", "odoc", "pos", "opos")
     n = parts(docs.sparkSession)
     sorted_ = matches.repartition(n, "doc_id").sortWithinPartitions("doc_id", "odoc", "pos", "opos")
-    found = stored(sorted_.mapInArrow(_chain_runs(k, window, least), "doc_id long, odoc long, a array<int>, b array<int>, low int, high int"), "chains")
+    found = stored(sorted_.mapInArrow(_chain_runs(k, window, least), "doc_id long, odoc long, a binary, b binary, low int, high int"), "chains")
     asked = found.select("odoc", "low", "high").distinct()
     cut = stored(_slices(src, stored(asked, "asked")), "slices")
-    grouped = found.join(cut, ["odoc", "low", "high"]).groupBy("doc_id").agg(F.collect_list(F.struct("odoc", "a", "b", "low", "words")).alias("found"))
     slots = stored(slots_of(found, "doc_id"), "slots")
     whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row") if keep else F.lit(True).alias("row")
     rows = docs.select(whole, docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    hit = maybe_in(rows, F.col("doc_id"), slots).join(grouped, "doc_id", "left")
+    texts = maybe_in(rows, F.col("doc_id"), slots).withColumn("kind", F.lit(0))
+    chained = found.join(cut, ["odoc", "low", "high"]).select("doc_id", "odoc", "a", "b", "low", "words", F.lit(1).alias("kind"))
+    both = texts.unionByName(chained, allowMissingColumns=True).repartition(n, "doc_id").sortWithinPartitions("doc_id", "kind", "odoc", "low")
     schema = StructType([*rows.select("row", "doc_id").schema, *StructType.fromDDL(SPANS)])
-    aligned = hit.select("row", "doc_id", "text", "found").mapInArrow(_align_run(k, least), schema)
+    aligned = both.mapInArrow(_align_run(k, least, schema), schema)
     from .common import slot
 
     none = rows.withColumn("slot", slot(F.col("doc_id"))).join(F.broadcast(slots), "slot", "left_anti").select("row", "doc_id")
