@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 PROJECTIONS, SHARE, Z, WIDEN, FIRST = 64, 0.6, 1.2, 1.4, 0.25
-INDEX_BLOCK, QUERY_BLOCK = 16384, 256
+INDEX_BLOCK, QUERY_BLOCK = 32768, 512
 
 
 class CollisionIndex:
