@@ -261,6 +261,17 @@ def merge(spans: list[tuple[int, int, int, int]], least: int) -> list[list[tuple
     return [p for p in out if max(x[1] for x in p) - p[0][0] >= least]
 
 
+def by_owner(passage: list[tuple[int, int, int, int]]) -> list[dict]:
+    """One entry for each document that the spans of a passage were found in: their reach, equal words (those of spans that
+    overlap count once each), and the passage's own bounds."""
+    low, high = passage[0][0], max(s[1] for s in passage)
+    out: dict[int, dict] = {}
+    for first, end, equal, other in passage:
+        x = out.setdefault(other, {"first": first, "end": end, "equal": 0, "other": other, "low": low, "high": high})
+        x["first"], x["end"], x["equal"] = min(x["first"], first), max(x["end"], end), x["equal"] + equal
+    return list(out.values())
+
+
 # ---------------------------------------------------------------- Spark
 
 
@@ -286,7 +297,7 @@ def _slices(src: DataFrame, asked: DataFrame) -> DataFrame:
 
 def _align_run(k: int, least: int, out: StructType):
     """Of each document's rows (doc_id, kind, ...), its texts (kind 0) before its chains (kind 1), the texts with their passages:
-    a list of (first, end, equal, other, passage), and what is left of the text if there are any."""
+    a list of (first, end, equal, other, low, high), and what is left of the text if there are any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [f.type for f in to_arrow_schema(out)]
@@ -308,7 +319,7 @@ def _align_run(k: int, least: int, out: StructType):
                     if x[-1] + k <= len(words):  # else of another text of this id
                         spans += [(*g, o) for g in align(words, other, from_, x, y, k)]
                 passages = merge(spans, least)
-                found.append([{"first": s[0], "end": s[1], "equal": s[2], "other": s[3], "passage": n} for n, p in enumerate(passages) for s in p])
+                found.append([x for p in passages for x in by_owner(p)])
                 at, left = 0, []
                 for p in passages:
                     left.append(data[at : w.start[p[0][0]]].tobytes())
@@ -322,7 +333,7 @@ def _align_run(k: int, least: int, out: StructType):
     return run
 
 
-SPANS = "spans array<struct<first: int, end: int, equal: int, other: long, passage: int>>, cut string"
+SPANS = "spans array<struct<first: int, end: int, equal: int, other: long, low: int, high: int>>, cut string"
 
 
 def find(docs: DataFrame, k: int = K, window: int = WINDOW, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -356,12 +367,9 @@ def passages(docs: DataFrame, **options) -> DataFrame:
     """One row for each document, passage and earlier document it is found in: words [start_word, end_word) of the document's
     ``[passage_start, passage_end)``, and how many of them are equal."""
     with_, _ = find(docs, **options)
-    each = with_.select("doc_id", F.explode("spans").alias("s"), "spans")
-    same = F.filter("spans", lambda x: x["passage"] == F.col("s.passage"))
-    return each.select(
-        "doc_id", F.col("s.other").alias("other_doc_id"), F.col("s.first").cast("long").alias("start_word"), F.col("s.end").cast("long").alias("end_word"), F.col("s.equal").cast("long").alias("equal_words"),
-        F.array_min(F.transform(same, lambda x: x["first"])).cast("long").alias("passage_start"), F.array_max(F.transform(same, lambda x: x["end"])).cast("long").alias("passage_end"),
-    )
+    each = with_.select("doc_id", F.explode("spans").alias("s"))
+    word = lambda c, name: F.col(f"s.{c}").cast("long").alias(name)
+    return each.select("doc_id", word("other", "other_doc_id"), word("first", "start_word"), word("end", "end_word"), word("equal", "equal_words"), word("low", "passage_start"), word("high", "passage_end"))
 
 
 def cut(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
