@@ -33,7 +33,7 @@ from .common import connected_components, maybe_in, mix, runs, shingle_sets, slo
 #: Slots of the table of frequent shingles, and the most that are entered; least count in a batch.
 FREQUENT_SLOTS, FREQUENT_MOST, OFTEN = 1 << 22, 1 << 18, 6
 #: Shingles and sets in one part of a block; sets in a chunk of step 5.
-PART_SHINGLES, PART_SETS, CHUNK = 60_000, 256, 128
+PART_SHINGLES, PART_SETS, CHUNK = 60_000, 256, 1024
 #: Bits for each shingle of the part's largest set, at most so many; sets in a leaf; children of a node.
 BITS_EACH, BITS_MOST, LEAF, FAN = 4, 1 << 16, 8, 4
 
@@ -393,8 +393,11 @@ def _across(held: DataFrame, comps: DataFrame) -> DataFrame:
     counts = seen.groupBy("block", "component").agg(F.count("*").alias("n"))
     of = counts.groupBy("block").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all")).where("all > m.n")
     size = lambda c: F.ceil(c / CHUNK).cast("long")
-    grid = stored(of.select("block", F.col("m.component").alias("main"), size(F.col("m.n")).alias("gm"), size(F.col("all") - F.col("m.n")).alias("go")), "grid")
+    grid = stored(of.select("block", "all", F.col("m.component").alias("main"), size(F.col("m.n")).alias("gm"), size(F.col("all") - F.col("m.n")).alias("go")), "grid")
     j = seen.join(grid, "block").withColumn("h", F.xxhash64("rep"))
+    # most blocks are small: one part
+    small = j.where(F.col("all") <= CHUNK).select("block", F.lit(0).cast("long").alias("part"), F.lit(2).alias("side"), "component", "rep")
+    j = j.where(F.col("all") > CHUNK)
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("x")
     cell = lambda i, o: (i * F.col("go") + o).alias("part")
     i, o = F.pmod("h", "gm"), F.pmod("h", "go")
@@ -403,7 +406,7 @@ def _across(held: DataFrame, comps: DataFrame) -> DataFrame:
     to_main = rest.select("*", upto(F.col("gm"))).select("block", cell(F.col("x"), o), F.lit(1).alias("side"), "component", "rep")
     side = F.when(o == F.col("x"), 2).when(o < F.col("x"), 0).otherwise(1)
     among = rest.select("*", upto(F.col("go"))).select("block", cell(F.col("gm") + F.least(o, F.col("x")), F.greatest(o, F.col("x"))), side.alias("side"), "component", "rep")
-    return main.union(to_main).union(among)
+    return small.union(main).union(to_main).union(among)
 
 
 def op1_query(spark, sf_dir):
