@@ -334,6 +334,29 @@ def test_chains_against_all_pairs():
         assert value == pytest.approx(max(best))
 
 
+def test_chains_inside_the_longest_gap():
+    rng = random.Random(9)
+    reach = substring.MOST_GAP + 8
+    for size in (60, 400):
+        for _ in range(20):
+            points = sorted({(rng.randrange(size), rng.randrange(size)) for _ in range(size)})
+            a, b = [p[0] for p in points], [p[1] for p in points]
+            best = []
+            for i in range(len(a)):
+                options = [best[j] - substring.GAP * (a[i] - a[j] + b[i] - b[j]) for j in range(i) if 0 < a[i] - a[j] <= reach and 0 < b[i] - b[j] <= reach]
+                best.append(8 + max([0, *options]))
+            got = substring.chains(a, b, 8)
+            assert sorted(i for c in got for i in c) == list(range(len(a)))
+            for c in got:
+                assert all(0 < a[y] - a[x] <= reach and 0 < b[y] - b[x] <= reach for x, y in zip(c, c[1:]))
+            first = got[0]
+            value = 8 * len(first) - substring.GAP * sum(a[y] - a[x] + b[y] - b[x] for x, y in zip(first, first[1:]))
+            assert value == pytest.approx(max(best))
+    # the far end of a long chain does not stand in the way of those behind a wide gap
+    at = [*range(0, 600, 6), *range(660, 780, 6)]
+    assert [len(c) for c in substring.chains(at, at)] == [100, 20]
+
+
 def test_passages_exact_and_fuzzy(spark):
     rng = random.Random(8)
     passage, fuzzy = words(rng, 55), words(rng, 120)

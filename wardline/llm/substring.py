@@ -3,8 +3,8 @@
 1. Minimisers of each text's k-word windows are seeds: two texts that share k + window - 1 words in a row share one.
 2. The first text that has a seed, by id, owns it; all others match with the owner only, so that a passage of m
    documents gives m - 1 matches and not m squared.
-3. Matches of two texts are chained in order of both with gap costs: a Fenwick tree over positions in the owner holds the
-   best chain ends. Documents whose chains cannot add up to a passage are left.
+3. Matches of two texts are chained in order of both with gap costs, each with the best chain end within the longest gap.
+   Documents whose chains cannot add up to a passage are left.
 4. Owners' slices around chains, by blocks of words, come once each and meet the chains; chains are aligned word by
    word: substitutions and gaps between seeds are scored and both ends extended until the score falls off.
 5. Aligned spans of a document that touch are one passage; those of ``least`` words or more count.
@@ -16,6 +16,7 @@ an empty table gives an empty result; further columns are kept by ``cut`` whatev
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,51 +70,43 @@ def seeds(src: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
 # ---------------------------------------------------------------- chaining
 
 
-class Fenwick:
-    """Best (value, index) over a prefix of positions."""
-
-    def __init__(self, n: int):
-        self.value, self.index = [float("-inf")] * (n + 1), [-1] * (n + 1)
-
-    def put(self, at: int, value: float, index: int) -> None:
-        at += 1
-        while at < len(self.value):
-            if value > self.value[at]:
-                self.value[at], self.index[at] = value, index
-            at += at & -at
-
-    def best(self, below: int) -> tuple[float, int]:
-        """Over positions less than ``below``."""
-        value, index = float("-inf"), -1
-        while below:
-            if self.value[below] > value:
-                value, index = self.value[below], self.index[below]
-            below &= below - 1
-        return value, index
-
-
 def chains(a: list[int], b: list[int], k: int = K, gap: float = GAP, most_gap: int = MOST_GAP) -> list[list[int]]:
     """Chains of matches (a[i], b[i]), sorted by a then b, as lists of indexes; every match is in one at most.
 
-    score(i) = k + max(0, max over j before i in both texts of score(j) - gap * (words from j to i in both)): with the
-    distance added to what the tree holds, the inner maximum is one prefix query.
+    score(i) = k + max(0, max over j before i in both texts, by most_gap + k words at most, of score(j) - gap * (words from
+    j to i in both)). ``near`` holds, by position in the owner, the predecessors within reach in the document: (value, index)
+    in order, without those that a later one of the same position beats; a match looks at most_gap + k positions at most.
     """
-    rank = {v: r for r, v in enumerate(sorted(set(b)))}
-    tree = Fenwick(len(rank))
+    reach = most_gap + k
+    near: dict[int, deque[tuple[float, int]]] = {}
     score, before = [0.0] * len(a), [-1] * len(a)
-    waiting: list[int] = []
+    put = gone = 0
     for i in range(len(a)):
-        if i and a[i] != a[i - 1]:
-            for j in waiting:
-                tree.put(rank[b[j]], score[j] + gap * (a[j] + b[j]), j)
-            waiting = []
-        value, j = tree.best(rank[b[i]])
-        gain = value - gap * (a[i] + b[i])
+        while a[put] < a[i]:
+            value, at = score[put] + gap * (a[put] + b[put]), near.setdefault(b[put], deque())
+            while at and at[-1][0] <= value:
+                at.pop()
+            at.append((value, put))
+            put += 1
+        while a[i] - a[gone] > reach:
+            at = near.get(b[gone])
+            if at and at[0][1] <= gone:
+                at.popleft()
+                if not at:
+                    del near[b[gone]]
+            gone += 1
+        low, high = b[i] - reach, b[i]
+        if len(near) <= reach:
+            within = [at[0] for p, at in near.items() if low <= p < high]
+        else:
+            within = [near[p][0] for p in range(low, high) if p in near]
         score[i] = float(k)
-        if j >= 0 and gain > 0 and a[i] - a[j] <= most_gap + k and b[i] - b[j] <= most_gap + k:
-            score[i] += gain
-            before[i] = j
-        waiting.append(i)
+        if within:
+            value, j = max(within)
+            gain = value - gap * (a[i] + b[i])
+            if gain > 0:
+                score[i] += gain
+                before[i] = j
     used, out = [False] * len(a), []
     for i in sorted(range(len(a)), key=lambda x: (-score[x], x)):
         chain = []
