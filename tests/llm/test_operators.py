@@ -370,6 +370,20 @@ def test_passages_exact_and_fuzzy(spark):
     assert kept == {i: (w[:5] + w[60:] if i == 2 else w[:30] if i == 4 else w) for i, w in rows if i != 6}
 
 
+def test_passages_of_a_filled_template(spark):
+    # the first owner of both ends has other words between them, a second one owns the middle, the third has all of it
+    rng = random.Random(10)
+    rows, passages = [], {}
+    for x in range(0, 60, 10):
+        first, slot, last = words(rng, 25), words(rng, 30), words(rng, 25)
+        rows += [(x + 1, words(rng, 20) + first + words(rng, 30) + last), (x + 2, words(rng, 20) + slot + words(rng, 20)), (x + 3, words(rng, 40) + first + slot + last + words(rng, 9)), (x + 4, words(rng, 15) + first + slot + last + words(rng, 35))]
+        passages |= {x + 3: (40, 120), x + 4: (15, 95)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert {(r.doc_id, (r.passage_start, r.passage_end)) for r in substring.passages(df).collect()} == set(passages.items())
+    kept = {r.doc_id: r.text.split() for r in substring.cut(df).collect()}
+    assert kept == {i: w[: passages[i][0]] + w[passages[i][1] :] if i in passages else w for i, w in rows}
+
+
 def test_passages_of_odd_rows(odd_docs, no_docs):
     got = {(r.doc_id, r.other_doc_id) for r in substring.passages(odd_docs).collect()}
     assert got == {(2, 1), (3, 1), (13, 1), (11, 10)}

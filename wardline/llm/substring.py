@@ -137,20 +137,6 @@ def _reach(spans: list[tuple[int, int]], slack: int, least: int) -> list[bool]:
     return keep
 
 
-def _widest(found: list[tuple[int, list[int], list[int]]], k: int) -> list[tuple[int, list[int], list[int]]]:
-    """Chains of one document, widest first, without those that lie within wider ones."""
-    if len(found) < 2:
-        return found
-    covered = np.zeros(max(f[1][-1] for f in found) + k, bool)
-    out = []
-    for f in sorted(found, key=lambda f: (f[1][0] - f[1][-1], f[0], f[1][0])):
-        span = covered[f[1][0] : f[1][-1] + k]
-        if not span.all():
-            out.append(f)
-            span[:] = True
-    return out
-
-
 def _chain_runs(k: int, window: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "odoc", "a", "b", "low", "high"]
@@ -164,7 +150,6 @@ def _chain_runs(k: int, window: int, least: int):
             for x, y in zip(cuts, cuts[1:], strict=False):
                 a, b = pos[x:y].tolist(), opos[x:y].tolist()
                 found += [(int(odocs[x]), [a[i] for i in c], [b[i] for i in c]) for c in chains(a, b, k)]
-            found = _widest(found, k)
             keep = _reach([(f[1][0], f[1][-1] + k) for f in found], k + window, least)
             for (o, a, b), good in zip(found, keep, strict=True):
                 if good:
