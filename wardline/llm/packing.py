@@ -28,7 +28,7 @@ from .common import Words, slices, stored, table, text_buffer
 
 CAPACITY = 4096
 END_ID = 2
-#: Pieces that a worker remembers, in some 25 bytes each; beyond, it forgets all.
+#: Pieces that a worker remembers, in some 25 bytes each; beyond, it forgets all. Longer texts are encoded so many at a time.
 MOST_KNOWN = 2_000_000
 #: Items that one part of a packing round holds, about.
 PART_ITEMS = 20_000
@@ -139,6 +139,35 @@ class PieceEncoder:
         part[first[whole]] = True
         return start, end, part, np.append(first, len(start))
 
+    def _ids(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, whole: np.ndarray) -> list[list[int]]:
+        """Ids of some pieces by the tokenizer."""
+        raw = data.tobytes()
+        texts = [raw[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True)]
+        plain, rest = np.flatnonzero(~whole).tolist(), np.flatnonzero(whole).tolist()
+        ids: list[list[int]] = [[]] * len(texts)
+        for k, e in zip(plain, self.plain.encode_batch_fast([texts[k].decode("ascii").lower() for k in plain], add_special_tokens=False), strict=True):
+            ids[k] = e.ids
+        for k, e in zip(rest, self.full.encode_batch_fast([texts[k].decode("utf-8", "replace") for k in rest], add_special_tokens=False), strict=True):
+            ids[k] = e.ids
+        return ids
+
+    def _some(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one after the other, and how many each has; MOST_KNOWN pieces at most, so that all can be known."""
+        h = Words.span_hash(data, start, end, ~whole)
+        unique, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+        begin, size = self.known.find(unique)
+        if len(self.known) + int((begin < 0).sum()) > MOST_KNOWN:
+            self.known = Known()
+            begin, size = self.known.find(unique)
+        new = np.flatnonzero(begin < 0)
+        if len(new):
+            pick = at[new]
+            self.known.add(unique[new], self._ids(data, start[pick], end[pick], whole[pick]))
+            begin, size = self.known.find(unique)
+        begin, size = begin[inverse], size[inverse].astype(np.int64)
+        total = np.cumsum(size)
+        return self.known.ids[np.arange(int(size.sum())) + np.repeat(begin - (total - size), size)], size
+
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
         """Ids of each row."""
         for i, j in slices(offsets):
@@ -146,30 +175,9 @@ class PieceEncoder:
             data = buf[offsets[i] : offsets[j]]
             w = Words(data, bounds, lower=False)
             start, end, whole, before = self._pieces(data, w)
-            h = w.span_hash(data, start, end, ~whole)
-            unique, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-            begin, size = self.known.find(unique)
-            new = np.flatnonzero(begin < 0)
-            if len(new):
-                raw = data.tobytes()
-                a, b, full = start[at[new]].tolist(), end[at[new]].tolist(), whole[at[new]]
-                texts = [raw[x:y] for x, y in zip(a, b, strict=True)]
-                plain, rest = np.flatnonzero(~full).tolist(), np.flatnonzero(full).tolist()
-                ids: list[list[int]] = [[]] * len(new)
-                for k, e in zip(plain, self.plain.encode_batch_fast([texts[k].decode("ascii").lower() for k in plain], add_special_tokens=False), strict=True):
-                    ids[k] = e.ids
-                for k, e in zip(rest, self.full.encode_batch_fast([texts[k].decode("utf-8", "replace") for k in rest], add_special_tokens=False), strict=True):
-                    ids[k] = e.ids
-                if len(self.known) + len(new) > MOST_KNOWN:
-                    self.known = Known()
-                    unique, begin = unique.copy(), np.full(len(unique), -1, np.int64)
-                    yield from self.encode(data, bounds)
-                    continue
-                self.known.add(unique[new], ids)
-                begin, size = self.known.find(unique)
-            begin, size = begin[inverse], size[inverse].astype(np.int64)
-            total = np.concatenate(([0], np.cumsum(size)))
-            flat = self.known.ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], size)]
+            got = [self._some(data, *(x[p : p + MOST_KNOWN] for x in (start, end, whole))) for p in range(0, len(start), MOST_KNOWN)]
+            flat = np.concatenate([g[0] for g in got]) if got else np.zeros(0, np.uint16)
+            total = np.concatenate(([0], np.cumsum(np.concatenate([g[1] for g in got])))) if got else np.zeros(1, np.int64)
             cut = total[before[w.first]]
             for r in range(w.rows):
                 yield flat[cut[r] : cut[r + 1]]
