@@ -6,7 +6,8 @@ its host's winning path, and from its own best container where it has none there
 
 Defined results: a null html is an empty page with empty text; a null url or one without a host votes with all of its
 kind; votes that tie go to the path first in order; repeated rows vote and come out each; a page cut anywhere is read as
-far as it goes; an empty table gives an empty result; only the named columns are read.
+far as it goes; nesting of any depth is read in linear time; an element that is never closed keeps its text unless it holds
+none by its kind; an empty table gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -19,143 +20,196 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import parts, stored, table
+
+#: The most that winning paths may take, by their own sizes, to be sent to every executor.
+BROADCAST_BYTES = 16 << 20
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|select|svg|iframe|object|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|<[a-zA-Z][^>]*\Z",
-    re.S | re.I,
+    re.S,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _CONTAINER = frozenset("article main section div body td blockquote html".split())
+#: Elements whose content is no text of the page; those of the second kind only where they are closed.
+_RAW = frozenset("script style noscript textarea iframe".split())
+_CLOSED_RAW = frozenset("template select svg object canvas".split())
 #: Start tags that end an open element of the first kind, up to the second.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
-#: Elements and class words of what surrounds an article.
+#: Elements of what surrounds an article, and words of classes, ids and roles that name it: such as speak for themselves,
+#: and such as an article's own parts may have too.
 _ASIDE_TAGS = frozenset("nav aside footer form head button dialog menu script style noscript template iframe select".split())
 _ASIDE_WORDS = frozenset(
-    "ad ads adv advert advertisement adverts advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer foot header masthead topbar toolbar "
-    "comment comments reply replies discussion disqus cookie cookies consent gdpr notice notification alert popup modal overlay subscribe newsletter signup login share sharing social related recommended "
-    "recommendations widget pagination pager form search skip copyright legal".split()
+    "ad ads adv advert advertisement adverts advertising sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar "
+    "comment comments reply replies disqus cookie cookies consent gdpr popup modal overlay subscribe newsletter signup login share sharing recommended recommendations widget pagination pager".split()
 )
+_DOUBTFUL_WORDS = frozenset("banner promotion side foot header discussion notice notification alert social related form search skip copyright legal".split())
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Element:
-    __slots__ = ("classes", "end", "linked", "number", "parent", "path", "size", "skip", "tag")
+    """``doubt``: named by a doubtful word inside an article; ``link``: in an anchor; ``article``: in an article or main."""
 
-    def __init__(self, tag: str, classes: str, parent: Element | None, number: int, skip: bool):
-        self.tag, self.classes, self.parent, self.number, self.skip = tag, classes, parent, number, skip
-        self.size = self.linked = 0
-        step = tag + "".join(f".{c}" for c in sorted({re.sub(r"\d+", "#", c) for c in classes.split()}))
-        self.path = f"{parent.path}/{step}" if parent else step
+    __slots__ = ("article", "doubt", "link", "linked", "number", "parent", "path", "size", "skip", "tag", "words")
+
+    def __init__(self, tag: str, parent: Element | None, number: int, path: int, skip: bool):
+        self.tag, self.parent, self.number, self.path, self.skip = tag, parent, number, path, skip
+        self.size = self.linked = self.words = 0
+        self.doubt = False
+        self.link = tag == "a" or parent is not None and parent.link
+        self.article = parent is not None and (parent.article or parent.tag in ("article", "main"))
 
 
 class Page:
-    """Elements in order and text runs with the element each stands in; ``breaks`` mark block bounds."""
+    """Elements in order and text runs with the element each stands in; a run of None marks a block's bound. Time and memory
+    are linear in the source: open elements are kept by tag, paths as (path of the parent, step)."""
 
     def __init__(self, source: str):
-        self.elements: list[Element] = [Element("", "", None, 0, False)]
+        self.steps: dict[tuple[int, str], int] = {}
+        self.by_path: list[tuple[int, str]] = [(0, "")]
+        self.elements: list[Element] = [Element("", None, 0, 0, False)]
         self.runs: list[tuple[Element, str | None]] = []
-        stack, at = [self.elements[0]], 0
-        for m in _TOKEN.finditer(source):
+        self.stack = [self.elements[0]]
+        self.open: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        unclosed: set[str] = set()
+        at = 0
+        while m := _TOKEN.search(source, at):
             if m.start() > at:
-                self._text(stack[-1], source[at : m.start()])
+                self._text(source[at : m.start()])
             at = m.end()
-            closing, tag, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+            closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
             if not tag:
                 continue
             tag = tag.lower()
             if closing:
-                self._close(stack, tag)
+                self._close(tag)
+            elif tag in _RAW or tag in _CLOSED_RAW and not attributes.endswith("/") and tag not in unclosed:
+                end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+                if end:
+                    at = end.end()
+                elif tag in _RAW:
+                    at = len(source)
+                else:
+                    unclosed.add(tag)
+                    self._start(tag, attributes)
             else:
-                self._open(stack, tag, attributes)
+                self._start(tag, attributes)
         if at < len(source):
-            self._text(stack[-1], source[at:])
+            self._text(source[at:])
+        self._weigh()
 
-    def _text(self, where: Element, text: str) -> None:
+    def _text(self, text: str) -> None:
         if "&" in text:
             text = entities.unescape(text)
-        self.runs.append((where, text))
-
-    def _pop(self, stack: list[Element], depth: int) -> None:
-        if any(e.tag in _BLOCK for e in stack[depth:]):
-            self.runs.append((stack[depth].parent, None))
-        del stack[depth:]
-
-    def _close(self, stack: list[Element], tag: str) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth].tag == tag:
-                self._pop(stack, depth)
-                return
-            if tag not in _BLOCK and stack[depth].tag in _BLOCK:
-                return  # an inline end tag does not reach out of its block
-
-    def _open(self, stack: list[Element], tag: str, attributes: str) -> None:
+        self.runs.append((self.stack[-1], text))
+
+    def _last(self, tags) -> int:
+        """Depth of the innermost open element of some tags; 0 where none is open."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
+
+    def _pop(self, depth: int) -> None:
+        broken, parent = False, self.stack[depth].parent
+        while len(self.stack) > depth:
+            e = self.stack.pop()
+            self.open[e.tag].pop()
+            if e.tag in _BLOCK:
+                self.blocks.pop()
+                broken = True
+        if broken:
+            self.runs.append((parent, None))
+
+    def _close(self, tag: str) -> None:
+        depth = self._last((tag,))
+        # an inline end tag does not reach out of its block
+        if depth and (tag in _BLOCK or not self.blocks or depth > self.blocks[-1]):
+            self._pop(depth)
+
+    def _start(self, tag: str, attributes: str) -> None:
         if tag == "br":
-            self.runs.append((stack[-1], "\n"))
+            self.runs.append((self.stack[-1], "\n"))
             return
-        if tag in _BLOCK:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == "p":
-                    self._pop(stack, depth)
-                    break
-                if stack[depth].tag in _BLOCK:
-                    break
+        if tag in _BLOCK and self.blocks and self.stack[self.blocks[-1]].tag == "p":
+            self._pop(self.blocks[-1])
         if tag in _ENDS:
             ended, bound = _ENDS[tag]
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag in ended:
-                    self._pop(stack, depth)
-                    if tag != "tr":
-                        break
-                elif stack[depth].tag in bound:
+            while (depth := self._last(ended)) > self._last(bound):
+                self._pop(depth)
+                if tag != "tr":
                     break
         if tag in _BLOCK:
-            self.runs.append((stack[-1], None))
-        if tag in _VOID or attributes.rstrip().endswith("/") and tag not in _BLOCK:
+            self.runs.append((self.stack[-1], None))
+        if tag in _VOID or attributes.endswith("/") and tag not in _BLOCK:
             return
-        classes = words = ""
+        parent = self.stack[-1]
+        classes = ids = ""
         if "=" in attributes:
             for name, *values in _ATTRIBUTE.findall(attributes):
                 value = "".join(values)
-                words += f" {value}"
                 if name.lower() == "class":
                     classes = value
-        inside = any(e.tag in ("article", "main") for e in stack)
-        aside = tag in _ASIDE_TAGS or tag == "header" and not inside or tag not in ("html", "body", "article", "main") and words != "" and not _ASIDE_WORDS.isdisjoint(_SPLIT.split(words.lower()))
-        e = Element(tag, classes, stack[-1], len(self.elements), stack[-1].skip or aside)
+                ids += f" {value}" if name.lower() == "role" or name.lower() == "id" and not parent.article else ""
+        step = tag + "".join(f".{c}" for c in sorted({re.sub(r"\d+", "#", c) for c in classes.split()}))
+        path = self.steps.get((parent.path, step))
+        if path is None:
+            path = self.steps[parent.path, step] = len(self.by_path)
+            self.by_path.append((parent.path, step))
+        e = Element(tag, parent, len(self.elements), path, parent.skip)
+        named = set(_SPLIT.split(f"{classes} {ids}".lower())) if classes or ids else ()
+        plain = tag in ("html", "body", "article", "main") or tag in _HEADING and e.article
+        e.skip |= tag in _ASIDE_TAGS or tag == "header" and not e.article
+        if named and not plain:
+            e.skip |= not _ASIDE_WORDS.isdisjoint(named)
+            doubtful = not _DOUBTFUL_WORDS.isdisjoint(named)
+            e.skip |= doubtful and not e.article
+            e.doubt = doubtful and not e.skip
         self.elements.append(e)
-        stack.append(e)
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag in _BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(e)
+
+    def _weigh(self) -> None:
+        """Signs of each element's text, inside links and out of them, summed from the leaves up. A doubtful part of an article
+        is surroundings if most of it is links or it has few words; then sizes are summed again without it."""
+        for where, text in self.runs:
+            if text is not None and not where.skip:
+                parts = text.split()
+                where.words += len(parts)
+                n = sum(map(len, parts))
+                where.linked += n if where.link else 0
+                where.size += 0 if where.link else n
+        own = [(e.size, e.linked, e.words) for e in self.elements]
+        self._sum(own)
+        doubted = False
+        for e in self.elements[1:]:
+            e.skip |= e.parent.skip
+            if e.doubt and not e.skip and (e.linked > e.size or e.words < 12):
+                e.skip = doubted = True
+        if doubted:
+            self._sum([(0, 0, 0) if e.skip else x for e, x in zip(self.elements, own, strict=True)])
+
+    def _sum(self, own: list[tuple[int, int, int]]) -> None:
+        for e, (size, linked, words) in zip(self.elements, own, strict=True):
+            e.size, e.linked, e.words = size, linked, words
+        for e in reversed(self.elements[1:]):
+            e.parent.size += e.size
+            e.parent.linked += e.linked
+            e.parent.words += e.words
 
     def best(self) -> Element:
         """The deepest container that holds most of the page's text outside of surroundings and links."""
         children: dict[int, list[Element]] = {}
         for e in self.elements[1:]:
             children.setdefault(e.parent.number, []).append(e)
-            e.size = 0
-        self.elements[0].size = 0
-        for where, text in self.runs:
-            if text is None or where.skip:
-                continue
-            n = sum(map(len, text.split()))
-            e: Element | None = where
-            while e is not None:
-                if e.tag == "a":
-                    break  # links do not speak for a container
-                e = e.parent
-            if e is not None:
-                continue
-            e = where
-            while e is not None:
-                e.size += n
-                e = e.parent
         root = self.elements[0]
         marked = [e for e in self.elements if e.tag in ("article", "main") and not e.skip and e.size * 5 >= root.size * 2 and e.size]
         e = max(marked, key=lambda x: (x.size, x.tag == "article", x.number)) if marked else root
@@ -167,9 +221,20 @@ class Page:
             if e.tag not in _CONTAINER:
                 return e.parent
 
+    def path_of(self, e: Element) -> str:
+        steps, at = [], e.path
+        while at:
+            at, step = self.by_path[at]
+            steps.append(step)
+        return "/".join(["", *reversed(steps)])
+
     def text(self, chosen: list[Element]) -> str:
         """Blocks of the chosen elements in page order."""
-        inside: dict[int, bool] = {e.number: True for e in chosen}
+        inside = [False] * len(self.elements)
+        for e in chosen:
+            inside[e.number] = True
+        for e in self.elements[1:]:
+            inside[e.number] |= inside[e.parent.number]
         blocks: list[str] = []
         held: list[str] = []
 
@@ -181,27 +246,25 @@ class Page:
         for where, text in self.runs:
             if text is None:
                 flush()
-            elif not where.skip and self._within(where, inside):
+            elif not where.skip and inside[where.number]:
                 held.append(text)
         flush()
         return "\n\n".join(blocks)
 
-    @staticmethod
-    def _within(e: Element | None, known: dict[int, bool]) -> bool:
-        chain = []
-        while e is not None and e.number not in known:
-            chain.append(e.number)
-            e = e.parent
-        answer = e is not None and known[e.number]
-        known.update(dict.fromkeys(chain, answer))
-        return answer
-
     def at(self, path: str) -> list[Element]:
-        return [e for e in self.elements if not e.skip and e.path == path]
+        number = 0
+        for step in path.split("/")[1:]:
+            number = self.steps.get((number, step), -1)
+            if number < 0:
+                return []
+        return [e for e in self.elements if not e.skip and e.path == number]
 
 
 def vote(source: str) -> str:
-    return Page(source).best().path if source else ""
+    if not source:
+        return ""
+    page = Page(source)
+    return page.path_of(page.best())
 
 
 def extract(source: str, path: str | None) -> str:
@@ -232,7 +295,13 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """(page_id, url, text): every page's main text by its host's winning path."""
     winners = stored(consensus(pages, url_col, html_col), "winners")
     src = pages.select(pages[id_col].alias("page_id"), pages[url_col].cast("string").alias("url"), host(url_col).alias("host"), pages[html_col].cast("string").alias("html"))
-    joined = src.join(winners, "host", "left").select("page_id", "url", "html", "path")
+    if winners.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 64), F.lit(0))).first()[0] <= BROADCAST_BYTES:
+        joined = src.join(F.broadcast(winners), "host", "left")
+    else:  # a host's pages are dealt over all parts
+        n = parts(pages.sparkSession)
+        each = winners.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("salt"))
+        joined = src.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(n)).cast("int")).join(each, ["host", "salt"], "left")
+    joined = joined.select("page_id", "url", "html", "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
