@@ -3,8 +3,8 @@
 1. Minimisers of each text's k-word windows are seeds: two texts that share k + window - 1 words in a row share one.
 2. The first text that has a seed, by id, owns it; all others match with the owner only, so that a passage of m
    documents gives m - 1 matches and not m squared.
-3. Matches of two texts are chained in order of both with gap costs, each with the best chain end within the longest gap.
-   Documents whose chains cannot add up to a passage are left.
+3. Matches of two texts are chained in order of both with gap costs, each with the best chain end within the longest gap,
+   which a Fenwick tree with expiring entries finds. Documents whose chains cannot add up to a passage are left.
 4. Owners' slices around chains, by blocks of words, come once each and meet the chains; chains are aligned word by
    word: substitutions and gaps between seeds are scored and both ends extended until the score falls off.
 5. Aligned spans of a document that touch are one passage; those of ``least`` words or more count.
@@ -16,6 +16,7 @@ an empty table gives an empty result; further columns are kept by ``cut`` whatev
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 
@@ -70,45 +71,88 @@ def seeds(src: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
 # ---------------------------------------------------------------- chaining
 
 
-def chains(a: list[int], b: list[int], k: int = K, gap: float = GAP, most_gap: int = MOST_GAP) -> list[list[int]]:
-    """Chains of matches (a[i], b[i]), sorted by a then b, as lists of indexes; every match is in one at most.
+class WindowTree:
+    """A Fenwick tree of maxima over positions 1 to n in which older entries expire.
 
-    score(i) = k + max(0, max over j before i in both texts, by most_gap + k words at most, of score(j) - gap * (words from
-    j to i in both)). ``near`` holds, by position in the owner, the predecessors within reach in the document: (value, index)
-    in order, without those that a later one of the same position beats; a match looks at most_gap + k positions at most.
+    A node keeps its entries (value, index) as a queue of falling values and rising indexes: what a later entry beats is
+    dropped when that one comes, and what has expired is dropped from the front when the node is asked.
     """
-    reach = most_gap + k
-    near: dict[int, deque[tuple[float, int]]] = {}
-    score, before = [0.0] * len(a), [-1] * len(a)
-    put = gone = 0
-    for i in range(len(a)):
+
+    def __init__(self, n: int):
+        self.n = n
+        self.node: list[deque | None] = [None] * (n + 1)
+        self.leaf: list[deque | None] = [None] * (n + 1)
+
+    @staticmethod
+    def _push(queues: list[deque | None], at: int, entry: tuple[float, int]) -> None:
+        queue = queues[at]
+        if queue is None:
+            queues[at] = deque((entry,))
+            return
+        while queue and queue[-1][0] <= entry[0]:
+            queue.pop()
+        queue.append(entry)
+
+    def add(self, at: int, value: float, index: int) -> None:
+        entry = (value, index)
+        self._push(self.leaf, at, entry)
+        while at <= self.n:
+            self._push(self.node, at, entry)
+            at += at & -at
+
+    def best(self, low: int, high: int, oldest: int) -> tuple[float, int] | None:
+        """The largest entry at positions low to high whose index is ``oldest`` or later; the latest of equals."""
+        found = None
+        while high >= low:
+            step = high & -high
+            queue, after = (self.node[high], high - step) if high - step >= low - 1 else (self.leaf[high], high - 1)
+            if queue:
+                while queue and queue[0][1] < oldest:
+                    queue.popleft()
+                if queue and (found is None or queue[0] > found):
+                    found = queue[0]
+            high = after
+        return found
+
+
+def _scores(a: list[int], b: list[int], k: int, gap: float, reach: int, score: list[float], before: list[int], low: int, high: int) -> None:
+    """Scores and predecessors of the matches ``low`` to ``high``, which no others reach, by a tree over their owner positions."""
+    places = sorted(set(b[low:high]))
+    rank = {x: i + 1 for i, x in enumerate(places)}
+    tree = WindowTree(len(places))
+    put = oldest = low
+    for i in range(low, high):
         while a[put] < a[i]:
-            value, at = score[put] + gap * (a[put] + b[put]), near.setdefault(b[put], deque())
-            while at and at[-1][0] <= value:
-                at.pop()
-            at.append((value, put))
+            tree.add(rank[b[put]], score[put] + gap * (a[put] + b[put]), put)
             put += 1
-        while a[i] - a[gone] > reach:
-            at = near.get(b[gone])
-            if at and at[0][1] <= gone:
-                at.popleft()
-                if not at:
-                    del near[b[gone]]
-            gone += 1
-        low, high = b[i] - reach, b[i]
-        if len(near) <= reach:
-            within = [at[0] for p, at in near.items() if low <= p < high]
-        else:
-            within = [near[p][0] for p in range(low, high) if p in near]
+        while a[i] - a[oldest] > reach:
+            oldest += 1
+        found = tree.best(bisect_left(places, b[i] - reach) + 1, rank[b[i]] - 1, oldest)
         score[i] = float(k)
-        if within:
-            value, j = max(within)
-            gain = value - gap * (a[i] + b[i])
+        if found:
+            gain = found[0] - gap * (a[i] + b[i])
             if gain > 0:
                 score[i] += gain
-                before[i] = j
-    used, out = [False] * len(a), []
-    for i in sorted(range(len(a)), key=lambda x: (-score[x], x)):
+                before[i] = found[1]
+
+
+def chains(a: list[int], b: list[int], k: int = K, gap: float = GAP, most_gap: int = MOST_GAP) -> list[list[int]]:
+    """Chains of matches (a[i], b[i]), sorted by a then b, as lists of indexes; every match is in one at most.
+
+    score(i) = k + max(0, max over j before i in both texts, by most_gap + k words at most, of score(j) - gap * (words from
+    j to i in both)). Matches come in order of the document; a Fenwick tree over the owner's positions gives the best
+    predecessor among those within reach.
+    """
+    reach, n = most_gap + k, len(a)
+    da, db = np.diff(a), np.diff(b)
+    if n and ((da == db) & (da > 0) & (2 * gap * da < k) & (da <= reach)).all():
+        return [list(range(n))]  # on one diagonal each is best chained with the one before
+    score, before = [0.0] * n, [-1] * n
+    cuts = [0, *(np.flatnonzero(da > reach) + 1).tolist(), n]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        _scores(a, b, k, gap, reach, score, before, low, high)
+    used, out = [False] * n, []
+    for i in sorted(range(n), key=lambda x: (-score[x], x)):
         chain = []
         j = i
         while j >= 0 and not used[j]:
