@@ -29,8 +29,9 @@ _QUERIES = {
     "op8_mixing": mixing.op8_query,
     "op9_warc": warc.op9_query,
     "op10_token_counts": rollups.op10_query,
+    "rollup_word_counts": rollups.rollup_words_query,
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": signature.OP1_SQL, "op8_mixing": mixing.OP8_SQL, "op9_warc": warc.OP9_SQL, "op10_token_counts": rollups.OP10_SQL}
+    return {"op1_jaccard_join": signature.OP1_SQL, "op8_mixing": mixing.OP8_SQL, "op9_warc": warc.OP9_SQL, "rollup_word_counts": rollups.ROLLUP_WORDS_SQL}

@@ -1,72 +1,160 @@
 """Token counts as delta-maintained rollups.
 
-A ``TokenRollup`` keeps two append-only tables below one folder: a ledger with the last count of each (document,
-tokenizer version) a batch touched, and that batch's change of the totals by source, language and version. A batch
-becomes visible when its commit marker is made, a single create that fails if it exists; a batch that was committed
-is not applied again, and the files of one that died are overwritten. Totals are sums of the committed changes.
-
-Defined results: events of one batch on one document and version apply in ``seq`` order, the last alone counting;
-an insert of a known document acts as a revision, a delete or revision of an unknown one as nothing or as an insert;
-null sources and languages are groups of their own; a null document id is one document; a null count is 0; an empty
-batch commits with no change; further columns of events are ignored.
+A ``TokenRollup`` keeps append-only tables below one folder. An attempt to apply a batch writes the last count of each
+(document, tokenizer version) the batch touches, dealt into hash buckets, and the batch's change of the totals by source,
+language and version. It takes effect when the next numbered commit file is made, a create that fails if the number is
+taken; the file names the batch and the attempt. Who loses a number works out the change anew from the state then at
+hand, so that writers at the same time do not count a document twice. A batch that was committed is not applied again,
+and what a dead attempt left behind is never read. A batch reads the buckets that it touches only, and ``compact`` folds
+all commits so far into one table of states and one of totals.
+
+Defined results: events of one batch on one document and version apply in ``seq`` order, the last alone counting (of
+equal ``seq`` a deletion loses, then the largest count, source and language win); an insert of a known document acts as a
+revision, a delete of an unknown one as nothing and a revision of one as an insert; null sources and languages are groups
+of their own; a null document id is one document; a null count is 0; any string is a batch id; an empty batch commits
+with no change; further columns of events are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import n_words, scratch, stored, table
+from .common import n_words, scratch, stored, table, text_buffer
+from .packing import PieceEncoder
 
 KEYS = ["source", "lang", "version"]
-LEDGER = "doc string, version string, source string, lang string, tokens long, live boolean, batch_no long"
+LEDGER = "doc string, version string, source string, lang string, tokens long, live boolean, batch_no long, bucket int"
 DELTA = "source string, lang string, version string, docs long, tokens long"
+#: Buckets that the states of documents are dealt into by a hash of their id.
+BUCKETS = 64
 
 
 class TokenRollup:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self._path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self._path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{p}")
+        self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+        self._seen: dict[str, list[str]] = {}
+
+    # commit files
+
+    def _records(self, kind: str) -> list[tuple[int, list[str]]]:
+        """(number, lines) of the numbered files of a kind, in order; a file is read once. One whose writer died before it
+        had filled it counts for nothing."""
+        at = self._path(kind)
+        names = sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
+        out = []
+        for name in (n for n in names if n.isdigit()):
+            key = f"{kind}/{name}"
+            if not self._seen.get(key):
+                source = self._fs.open(self._path(key))
+                try:
+                    self._seen[key] = bytes(source.readAllBytes()).decode().split("\n", 1)
+                finally:
+                    source.close()
+            out.append((int(name), self._seen[key]))
+        return out
+
+    def _create(self, kind: str, number: int, *lines: str) -> bool:
+        """Make a numbered file; False if there is one. The file system's create without overwriting decides."""
+        path = self._path(f"{kind}/{number:012d}")
+        try:
+            out = self._fs.create(path, False)
+        except Py4JJavaError:
+            if self._fs.exists(path):
+                return False
+            raise
+        out.write(bytearray("\n".join(lines).encode()))
+        out.close()
+        return True
 
     def committed(self) -> list[tuple[int, str]]:
         """(number, id) of the batches in effect, in order."""
-        at = self._path(f"{self.root}/commits")
-        names = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
-        return sorted((int(n.split("-", 1)[0]), n.split("-", 1)[1]) for n in names)
+        return [(n, lines[1]) for n, lines in self._records("commits") if len(lines) == 2]
 
-    def _read(self, what: str, schema: str) -> DataFrame:
-        paths = [f"{self.root}/{what}/{n}-{b}" for n, b in self.committed()]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+    def _since(self) -> tuple[int, str | None, list[str]]:
+        """Number and folder of the newest compaction, and the attempts committed after it."""
+        done = [(n, lines[0]) for n, lines in self._records("compactions") if lines[0]]
+        base, folder = done[-1] if done else (0, None)
+        return base, folder, [lines[0] for n, lines in self._records("commits") if n > base and len(lines) == 2]
 
-    def ledger(self) -> DataFrame:
-        """The last state of every (document, version)."""
+    def _read(self, what: str, schema: str) -> DataFrame:
+        _, folder, attempts = self._since()
+        paths = [f"{self.root}/{what}/{a}" for a in [*([folder] if folder else []), *attempts]]
+        frames = [self.spark.read.schema(schema).parquet(p) for p in paths]
+        out = self.spark.createDataFrame([], schema)
+        for f in frames:
+            out = out.unionByName(f)
+        return out
+
+    # state
+
+    def ledger(self, buckets: list[int] | None = None) -> DataFrame:
+        """The last state of every (document, version), of some buckets or of all."""
+        rows = self._read("ledger", LEDGER)
+        if buckets is not None:
+            rows = rows.where(F.col("bucket").isin(buckets))
         last = F.max_by(F.struct("source", "lang", "tokens", "live"), "batch_no").alias("x")
-        return self._read("ledger", LEDGER).groupBy("doc", "version").agg(last).select("doc", "version", "x.*")
+        return rows.groupBy("bucket", "doc", "version").agg(last).select("bucket", "doc", "version", "x.*")
 
     def apply(self, batch_id: str, events: DataFrame) -> bool:
         """Apply (doc_id, source, lang, version, tokens, op, seq); op: insert, revise, delete. False if it was committed before."""
-        done = self.committed()
-        if batch_id in {b for _, b in done}:
-            return False
-        number = (done[-1][0] if done else 0) + 1
-        new = (
-            events.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), *KEYS, F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), (F.col("op") != "delete").alias("live"), "seq")
-            .groupBy("doc", "version").agg(F.max_by(F.struct("source", "lang", "tokens", "live"), F.struct("seq", "live", "tokens")).alias("new"))
-        )
-        old = self.ledger().withColumnsRenamed({"source": "old_source", "lang": "old_lang", "tokens": "old_tokens", "live": "old_live"})
-        change = new.join(old, ["doc", "version"], "left").where("new.live OR old_live")
+        new = None
+        while True:
+            commits = self._records("commits")
+            if batch_id in {lines[1] for _, lines in commits if len(lines) == 2}:
+                return False
+            number = (commits[-1][0] if commits else 0) + 1
+            new = self._last(events) if new is None else new
+            if self._create("commits", number, self._attempt(number, new), batch_id):
+                return True
+
+    def _last(self, events: DataFrame) -> DataFrame:
+        """The event of a batch that counts for each (document, version)."""
+        order = F.struct("seq", "live", "tokens", "source", "lang")
+        rows = events.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), *KEYS, F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), (F.col("op") != "delete").alias("live"), "seq")
+        last = rows.groupBy("doc", "version").agg(F.max_by(F.struct("source", "lang", "tokens", "live"), order).alias("new"))
+        return stored(last.withColumn("bucket", F.pmod(F.xxhash64("doc"), F.lit(self.buckets)).cast("int")), "batch")
+
+    def _attempt(self, number: int, new: DataFrame) -> str:
+        """Write the change that a batch makes to the present state; the name of its folders."""
+        attempt = uuid.uuid4().hex
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # a number below ``buckets`` each
+        old = self.ledger(touched).withColumnsRenamed({"source": "old_source", "lang": "old_lang", "tokens": "old_tokens", "live": "old_live"})
+        change = new.join(old, ["bucket", "doc", "version"], "left").where("new.live OR old_live")
         # a delete keeps the place the document was counted in
-        row = change.select("doc", "version", F.expr("IF(new.live, new.source, old_source)").alias("source"), F.expr("IF(new.live, new.lang, old_lang)").alias("lang"), F.col("new.tokens").alias("tokens"), F.col("new.live").alias("live"), "old_source", "old_lang", "old_tokens", F.coalesce("old_live", F.lit(False)).alias("old_live"))
-        where = f"{self.root}/ledger/{number}-{batch_id}"
-        row.withColumn("batch_no", F.lit(number).cast("long")).write.mode("overwrite").parquet(where)
-        row = self.spark.read.parquet(where)
+        row = change.select("doc", "version", F.expr("IF(new.live, new.source, old_source)").alias("source"), F.expr("IF(new.live, new.lang, old_lang)").alias("lang"), F.col("new.tokens").alias("tokens"), F.col("new.live").alias("live"), "old_source", "old_lang", "old_tokens", F.coalesce("old_live", F.lit(False)).alias("old_live"), F.lit(number).cast("long").alias("batch_no"), "bucket")
+        where = f"{self.root}/ledger/{attempt}"
+        row.repartition("bucket").write.partitionBy("bucket").parquet(where)
+        row = self.spark.read.schema(row.schema).parquet(where)
         plus = row.where("live").select(*KEYS, F.lit(1).alias("d"), F.col("tokens").alias("t"))
         minus = row.where("old_live").select(F.col("old_source").alias("source"), F.col("old_lang").alias("lang"), "version", F.lit(-1).alias("d"), (-F.col("old_tokens")).alias("t"))
         delta = plus.union(minus).groupBy(*KEYS).agg(F.sum("d").cast("long").alias("docs"), F.sum("t").cast("long").alias("tokens"))
-        delta.write.mode("overwrite").parquet(f"{self.root}/delta/{number}-{batch_id}")
-        self._fs.create(self._path(f"{self.root}/commits/{number}-{batch_id}"), False).close()
-        return True
+        delta.write.parquet(f"{self.root}/delta/{attempt}")
+        return attempt
+
+    def compact(self) -> bool:
+        """Fold all commits so far into one table of the documents that live and one of totals; False if there is nothing
+        new or another writer has done so. Older tables stay for readers that began before."""
+        base, _, attempts = self._since()
+        if any(len(lines) != 2 for _, lines in self._records("commits")):
+            return False  # a commit file that is being filled, or whose writer died in between
+        number = max([n for n, _ in self.committed()], default=0)
+        if number <= base or not attempts:
+            return False
+        folder = uuid.uuid4().hex
+        live = self.ledger().where("live").withColumn("batch_no", F.lit(number).cast("long"))
+        live.select("doc", "version", "source", "lang", "tokens", "live", "batch_no", "bucket").repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/ledger/{folder}")
+        self.totals().write.parquet(f"{self.root}/delta/{folder}")
+        if number != max([n for n, _ in self.committed()], default=0):
+            return False  # a batch came in between: its change may or may not be in what was read
+        return self._create("compactions", number, folder)
 
     def totals(self) -> DataFrame:
         """Documents and tokens by source, language and version; groups that came to nothing are left out."""
@@ -80,36 +168,63 @@ class TokenRollup:
         return self.totals().groupingSets(sets, *cols).agg(level, F.sum("docs").cast("long").alias("docs"), F.sum("tokens").cast("long").alias("tokens"))
 
 
-PIECES = r"[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"
-MOST_WORDS = 2000
+def token_counts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` but the text, and ``tokens``: the ids that the tokenizer gives for the whole text (null: 0)."""
+    rest = [c for c in docs.columns if c != text_col]
+    src = docs.select(*[docs[f"`{c}`"] for c in rest], docs[f"`{text_col}`"].cast("string").alias(text_col))
 
+    def run(batches):
+        encoder = PieceEncoder.of(tokenizer)
+        for b in batches:
+            buf, offsets = text_buffer(b.column(len(rest)))
+            n = np.fromiter((len(ids) for ids in encoder.encode(buf, offsets)), np.int64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n)], [*rest, "tokens"])
 
-def op10_query(spark, sf_dir):
-    """Four batches over all documents: counts of version words-1; the same batch again, which changes nothing;
-    counts of version pieces-1; then later copies of a text are deleted and words-1 counts of long texts revised."""
-    docs = table(spark, sf_dir, "documents")
-    counts = stored(docs.select("doc_id", "source", "lang", F.md5(F.coalesce("text", F.lit(""))).alias("h"), n_words().alias("words"), F.coalesce(F.regexp_count("text", F.lit(PIECES)), F.lit(0)).cast("long").alias("pieces")), "counts")
-    event = lambda d, version, tokens, op, seq: d.select("doc_id", "source", "lang", F.lit(version).alias("version"), tokens.cast("long").alias("tokens"), F.lit(op).alias("op"), F.lit(seq).alias("seq"))
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    return src.mapInArrow(run, StructType([*src.schema[:-1], StructField("tokens", LongType())]))
+
+
+def _event(d: DataFrame, version: str, tokens, op: str, seq: int) -> DataFrame:
+    return d.select("doc_id", "source", "lang", F.lit(version).alias("version"), tokens.cast("long").alias("tokens"), F.lit(op).alias("op"), F.lit(seq).alias("seq"))
+
+
+def _maintained(spark, counts: DataFrame, estimate, exact: str, version: str) -> DataFrame:
+    """Four batches over all documents of (doc_id, source, lang, h, ...): estimated counts; the same batch again, which changes
+    nothing; the exact counts of whole texts as revisions; and, after a compaction, deletions of later copies of a text."""
     state = TokenRollup(spark, scratch(spark, "rollup"))
-    first = event(counts, "words-1", F.col("words"), "insert", 0)
-    state.apply("insert-words", first)
-    state.apply("insert-words", first)
-    state.apply("insert-pieces", event(counts, "pieces-1", F.col("pieces"), "insert", 0))
+    first = _event(counts, version, estimate, "insert", 0)
+    state.apply("estimates", first)
+    state.apply("estimates", first)
+    state.apply("exact counts", _event(counts, version, F.col(exact), "revise", 1))
+    state.compact()
     groups = stored(counts.groupBy("h").agg(F.min("doc_id").alias("kept"), F.count("*").alias("n")).where("n > 1"), "groups")
-    later = stored(counts.join(groups, "h").where("doc_id > kept").select("doc_id", "source", "lang"), "later")
-    revised = event(counts.where(F.col("words") > MOST_WORDS), "words-1", F.lit(MOST_WORDS), "revise", 1)
-    gone = event(later, "words-1", F.lit(0), "delete", 2).union(event(later, "pieces-1", F.lit(0), "delete", 2))
-    state.apply("revise-and-delete", revised.union(gone))
+    later = counts.join(groups, "h").where("doc_id > kept")
+    state.apply("later copies", _event(later, version, F.lit(0), "delete", 2))
     return state.rollup()
 
 
-OP10_SQL = rf"""
+def op10_query(spark, sf_dir):
+    """Token counts of all documents by the tokenizer word_bpe_49k, but for later copies of a text."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.md5(F.coalesce("text", F.lit(""))).alias("h"), F.octet_length("text").alias("n_bytes"), "text")
+    counts = stored(token_counts(docs, public_tokenizers.path("word_bpe_49k.json")), "counts")
+    return _maintained(spark, counts, F.coalesce(F.ceil(F.col("n_bytes") / 4), F.lit(0)), "tokens", "word_bpe_49k")
+
+
+def rollup_words_query(spark, sf_dir):
+    """The same with counts of words, which SQL can check."""
+    docs = table(spark, sf_dir, "documents")
+    counts = stored(docs.select("doc_id", "source", "lang", F.md5(F.coalesce("text", F.lit(""))).alias("h"), F.octet_length("text").alias("n_bytes"), n_words().alias("words")), "counts")
+    return _maintained(spark, counts, F.coalesce(F.ceil(F.col("n_bytes") / 6), F.lit(0)), "words", "words-1")
+
+
+ROLLUP_WORDS_SQL = r"""
 WITH d AS (
   SELECT *, doc_id > min(doc_id) OVER (PARTITION BY md5(coalesce(text, ''))) AS later FROM documents),
 c AS (
-  SELECT source, lang, 'words-1' AS version, least({MOST_WORDS}, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS t FROM d WHERE NOT later
-  UNION ALL
-  SELECT source, lang, 'pieces-1', len(regexp_extract_all(coalesce(text, ''), '{PIECES}')) FROM d WHERE NOT later)
+  SELECT source, lang, 'words-1' AS version, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS t FROM d WHERE NOT later)
 SELECT source, lang, version,
        CASE WHEN grouping(source) = 0 AND grouping(lang) = 0 THEN 'source_lang' WHEN grouping(source) = 0 THEN 'source'
             WHEN grouping(lang) = 0 THEN 'lang' ELSE 'version' END AS level,
