@@ -90,3 +90,21 @@ def test_tree_prunes_and_is_exact():
         up = [min(a, b) if x in (a, b) else x for x in up]
     assert [up.index(x) for x in up] == [[tree.find(j) for j in range(len(sets))].index(tree.find(i)) for i in range(len(sets))]
     assert tree.compared < len(sets) ** 2 / 20
+
+
+def test_rows_that_repeat_an_id_are_one_node(spark):
+    a, b, c = (" ".join(words(random.Random(s), 40)) for s in (1, 2, 3))
+    check(spark, [(3, a), (5, a), (2, b), (5, b)])
+    check(spark, [(1, a), (2, b), (5, a), (5, b)])
+    check(spark, [(7, a), (7, b), (7, b), (7, c), (9, c), (1, b), (4, a), (None, a)])
+
+
+def test_scratch_tables_go(spark):
+    """Only what the result still reads is left in shared storage."""
+    from wardline.llm import common
+
+    before = len(common.opened())
+    got = signature.jaccard_components(spark.createDataFrame(corpus(2), "doc_id long, text string"), 4, 85, 100)
+    names = [p for p in common.opened()[before:]]
+    size = got.count()
+    assert size and len(names) < 25

@@ -16,12 +16,14 @@ _OPEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver see. Only where the session names none (tests), set a local one."""
+    """The folder every executor and the driver see. Only a local master that names none (tests) gets one of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             return found.get()
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         path = "file://" + tempfile.mkdtemp(prefix="wardline-")
@@ -30,17 +32,42 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; ``release`` removes it."""
+    """A fresh path below the shared folder. ``discard`` and ``release`` remove it, or else the end of the application."""
     path = f"{shared_dir(spark).rstrip('/')}/scratch/{uuid.uuid4().hex}/{name}"
     _OPEN.append(path.rsplit("/", 1)[0])
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_OPEN[-1])
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
     return path
 
 
+#: Shuffle files of a query go as soon as it ends; its table in shared storage is what later steps read.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write as Parquet to shared storage and read it back."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut the lineage: write as Parquet to shared storage and read it back. The write's shuffle files are removed."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path.rsplit("/", 1)[0]
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove tables made by ``stored`` that nothing reads any more: all their readers have been stored themselves."""
+    for df in frames:
+        path = df._scratch
+        if path in _OPEN:
+            _OPEN.remove(path)
+            release(df.sparkSession, [path])
 
 
 def opened() -> list[str]:
@@ -229,8 +256,9 @@ def n_words(col: str = "text"):
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable. Alternates large-star and small-star until no edge changes.
 
-    Every step is a join-free aggregation whose groups are reduced by min before they are dealt out, followed by
-    a join back; edges never meet in one task. The round limit only guards against a defect: it raises.
+    Every step is an aggregation whose groups are reduced by min before they are dealt out, and a join back of one row a
+    node, whose hubs the adaptive skew join splits. Only the newest tables are kept. The round limit only guards against a
+    defect: it raises.
     """
     spark = edges.sparkSession
     e = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u > v").distinct()
@@ -246,13 +274,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         # large star: every neighbour larger than u hangs on u's least neighbour
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        e = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        e = stored(e, "large")
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = stored(large, "large")
+        discard(e, least)
+        e = large
         # small star: u and its smaller neighbours hang on the least of them
         least = stored(e.groupBy("u").agg(F.min("v").alias("m")), "least")
         joined = e.join(least, "u")
         e = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
-        e = stored(e, "small")
+        small = stored(e, "small")
+        discard(large, least)
+        e = small
         now = mark(e)
         if now == was:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, maybe_in, mix, runs, shingle_sets, slots_of, stored, table, text_buffer
+from .common import connected_components, discard, maybe_in, mix, runs, shingle_sets, slots_of, stored, table, text_buffer
 
 #: Slots of the table of frequent shingles, and the most that are entered; least count in a batch.
 FREQUENT_SLOTS, FREQUENT_MOST, OFTEN = 1 << 22, 1 << 18, 6
@@ -346,13 +346,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     usable = base.where("n > 0 AND doc_id IS NOT NULL")
     kept = stored(usable.groupBy(*by).agg(F.min("doc_id").alias("rep")), "kept")
     member = stored(base.select("doc_id", *by).join(kept, by, "left").select("doc_id", "n", "rep"), "member")
-    reps = member.where("doc_id = rep").select("doc_id").distinct()
+    reps = stored(kept.select(F.col("rep").alias("doc_id")).distinct(), "reps")
+    discard(kept)
     tokens = usable.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", F.explode("prefix").alias("token"))
-    shared = stored(tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("rep").alias("x"), F.max("rep").alias("y")).where("c > 1 AND x < y").select("token", "c"), "shared")
+    # the widest shuffle: one number a token, and its count
+    shared = stored(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "shared")
     posts = stored(tokens.join(shared, "token").select("token", "rep", "n", "c").distinct(), "posts")
+    discard(shared)
     weight = stored(posts.groupBy("rep").agg(F.sum("c").alias("w")), "weight")
     leader = stored(posts.join(weight, "rep").groupBy("token").agg(F.max(F.struct("w", (-F.col("rep")).alias("r"))).alias("m")).select("token", (-F.col("m.r")).alias("block"), F.col("m.w").alias("w")), "leader")
     held = stored(posts.join(leader, "token").groupBy("block", "rep").agg(F.max("n").alias("n"), F.max("w").alias("w")), "held")
+    discard(posts, weight, leader)
     best = stored(held.groupBy("rep").agg(F.max(F.struct("w", (-F.col("block")).alias("r"))).alias("m"), F.max("n").alias("n")).select("rep", "n", (-F.col("m.r")).alias("block")), "best")
     cuts = F.ceil(F.greatest(F.sum("n") / PART_SHINGLES, F.count("*") / PART_SETS)).cast("int")
     # a block of one is a leader that is in another's block
@@ -360,19 +364,27 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     part = F.when(F.col("rep") == F.col("block"), F.sequence(F.lit(0), F.col("cuts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int")))
     led = best.select("block", "rep").union(sized.select("block", F.col("block").alias("rep"))).distinct().join(sized, "block")
     placed = led.select("block", "rep", F.explode(part).alias("part"), F.lit(2).alias("side"), F.col("rep").alias("component")).withColumn("part", F.col("part").cast("long"))
-    # an id that is a representative and, by another row, a copy of one is one node
-    same = member.where("doc_id <> rep").join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     bits = usable.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "bits")
-    links = stored(_links(placed, bits, src, k, num, den).union(same), "links")
-    comps = stored(connected_components(links), "comps")
+    links = stored(_links(placed, bits, src, k, num, den).union(_of_one_id(member)), "links")
+    discard(best, sized)
+    comps = connected_components(links)
     more = stored(_links(_across(held, comps), bits, src, k, num, den), "across")
     if more.take(1):
         comps = connected_components(links.union(more))
+    comps = stored(comps, "comps")
+    discard(base, reps, held, links, more)
     out = member.join(comps, member.rep == comps.node, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def _of_one_id(member: DataFrame) -> DataFrame:
+    """Links between the representatives of an id whose rows have different texts, each with the smallest."""
+    of = member.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most"))
+    several = stored(of.where("least < most").select("doc_id", "least"), "several")
+    return member.join(several, "doc_id").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+
+
 def _links(placed: DataFrame, bits: DataFrame, src: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links found in the parts of (block, part, side, component, rep): bitmaps first, then the texts of what they leave."""
     n = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
