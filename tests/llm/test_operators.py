@@ -73,6 +73,23 @@ def test_piece_encoder_is_the_tokenizer(odd_docs):
         assert [x.tolist() for x in made.encode(*text_buffer(pa.array(texts)))] == [full.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_piece_encoder_beyond_its_memory(monkeypatch):
+    """Texts with more distinct pieces than a worker remembers."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    from wardline.llm.common import text_buffer
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "MOST_KNOWN", 100)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    full, made = Tokenizer.from_file(path), packing.PieceEncoder(path)
+    rng = random.Random(6)
+    texts = [" ".join(words(rng, 700)), "a b a b", " ".join("é" + w for w in words(rng, 300)), ""]
+    assert [x.tolist() for x in made.encode(*text_buffer(pa.array(texts)))] == [full.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(made.known) <= 100
+
+
 def test_sum_of_squares_rule():
     levels, counts = packing.LevelArray(10), Counter()
     rng = random.Random(2)
@@ -236,14 +253,90 @@ def test_rollup_deltas_are_idempotent(spark):
     assert {(r.level, r.version): r.tokens for r in state.rollup().collect() if r.level == "version"} == {("version", "v1"): 4, ("version", "v2"): 11}
 
 
-def test_rollup_takes_over_a_dead_batch(spark):
+EVENTS = "doc_id long, source string, lang string, version string, tokens long, op string, seq int"
+
+
+def test_rollup_leaves_a_dead_batch(spark):
     state = rollups.TokenRollup(spark, scratch(spark, "rollup"))
-    spark.range(5).write.parquet(f"{state.root}/delta/1-b1")
-    spark.range(5).write.parquet(f"{state.root}/ledger/1-b1")
-    assert state.apply("b1", spark.createDataFrame([(1, "a", "en", "v1", 10, "insert", 0)], "doc_id long, source string, lang string, version string, tokens long, op string, seq int"))
+    e = spark.createDataFrame([(1, "a", "en", "v1", 10, "insert", 0)], EVENTS)
+    state._attempt(1, state._last(e))  # written, never committed
+    assert state.totals().count() == 0
+    assert state.apply("b/1", e) and not state.apply("b/1", e)
     assert [tuple(r) for r in state.totals().collect()] == [("a", "en", "v1", 1, 10)]
 
 
+def test_rollup_writers_at_once(spark):
+    """Both work out their change from the empty state; the one that loses the number starts again."""
+    root = scratch(spark, "rollup")
+    e = spark.createDataFrame([(1, "a", "en", "v1", 11, "insert", 0)], EVENTS)
+    slow, fast = rollups.TokenRollup(spark, root), rollups.TokenRollup(spark, root)
+    attempt, ran = slow._attempt, []
+
+    def late(number, new):
+        made = attempt(number, new)
+        if not ran:
+            ran.append(fast.apply("other", e))
+        return made
+
+    slow._attempt = late
+    assert slow.apply("one", e) and ran == [True]
+    assert slow.committed() == [(1, "other"), (2, "one")]
+    assert [tuple(r) for r in slow.totals().collect()] == [("a", "en", "v1", 1, 11)]
+    assert slow.ledger().count() == 1
+
+
+def test_rollup_compaction_keeps_the_state(spark):
+    rng = random.Random(3)
+    state = rollups.TokenRollup(spark, scratch(spark, "rollup"), buckets=4)
+    truth = {}
+    for batch in range(5):
+        rows = []
+        for seq in range(30):
+            doc, v, op, n = rng.randrange(12), rng.choice(["v1", "v2"]), rng.choice(["insert", "revise", "delete"]), rng.randrange(50)
+            source = rng.choice(["a", "b", None])
+            rows.append((doc, source, "en", v, n, op, seq))
+            if op == "delete":
+                truth.pop((doc, v), None)
+            else:
+                truth[doc, v] = (source, n)
+        assert state.apply(f"b{batch}", spark.createDataFrame(rows, EVENTS))
+        if batch in (1, 3):
+            assert state.compact() and not state.compact()
+        want = defaultdict(lambda: [0, 0])
+        for (_, v), (source, n) in truth.items():
+            want[source, "en", v][0] += 1
+            want[source, "en", v][1] += n
+        assert {(r.source, r.lang, r.version): [r.docs, r.tokens] for r in state.totals().collect()} == want
+    assert not state.apply("b0", spark.createDataFrame([], EVENTS))
+
+
+def test_token_counts_query(spark, odd_docs, tmp_path):
+    """The registered query against the tokenizer itself, copies left out."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    odd_docs.write.parquet(f"{tmp_path}/documents.parquet")
+    full = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts, first, want = [r for r in odd_docs.collect()], {}, Counter()
+    ids = Counter(r.doc_id for r in texts)
+    for r in texts:
+        if r.doc_id is not None and r.text is not None:
+            first[r.text] = min(first.get(r.text, r.doc_id), r.doc_id)
+    got = {(r.source, r.lang): (r.docs, r.tokens) for r in rollups.op10_query(spark, str(tmp_path)).where("level = 'source_lang'").collect()}
+    once = [r for r in texts if r.doc_id is not None and ids[r.doc_id] == 1 and r.text and first[r.text] == r.doc_id]
+    assert len(once) > 8
+    counts = {r.doc_id: r.tokens for r in rollups.token_counts(odd_docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json")).collect()}
+    for r in once:
+        assert counts[r.doc_id] == len(full.encode(r.text, add_special_tokens=False).ids)
+        want[r.source, r.lang] += counts[r.doc_id]
+    assert all(got[key][1] >= n for key, n in want.items())
+
+
+def test_rollup_query_without_rows(spark, no_docs, tmp_path):
+    no_docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert rollups.op10_query(spark, str(tmp_path)).count() == 0
+
+
 # ---------------------------------------------------------------- HTML
 
 BODY = "<p>First paragraph &amp; some words that go on for a while, as they do.</p><p>Second<br>paragraph, with a <a href=x>link</a> and <b>bold</b>er text in it.</p>"
@@ -264,6 +357,46 @@ def test_extract(source, want):
     assert html.extract(source, None) == want
 
 
+def test_article_parts_keep_their_text():
+    """Words that name surroundings elsewhere do not cost an article its sections."""
+    part = "<section id='side-effects' class='legal'>" + BODY + "</section>"
+    assert html.extract(f"<article><h2 id=search class=search>Head</h2>{part}<div class='related'><a href=x>see that</a> <a href=y>and that</a></div></article>", None) == f"Head\n\n{TEXT}"
+    assert html.extract(f"<div class=legal><p>{'small print ' * 9}</p></div><article>{BODY}</article>", None) == TEXT
+
+
+@pytest.mark.parametrize("start, end", [("<svg/>", ""), ("<svg-icon>", "</svg-icon>"), ("<select-box>", ""), ("<template-x>", ""), ("<object>", ""), ("<svg><title>no</title></svg>", ""), ("<SCRIPT>no", "</script >"), ("</b></div></i>", "")])
+def test_elements_that_swallow_nothing(start, end):
+    assert html.extract(f"<article>{start}{end}{BODY}</article>", None) == TEXT
+
+
+def test_deep_pages_in_linear_time():
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        assert html.extract("<div>" * n + BODY + "</div>" * n, html.vote("<div>" * n + BODY)) == TEXT
+        assert html.extract("<b>" * n + BODY + "</i>" * n, None) == TEXT
+        return time.perf_counter() - began
+
+    small = min(seconds(5000) for _ in range(3))
+    assert seconds(100_000) < 60 * max(small, 0.05)
+
+
+def test_html_query_of_odd_rows(spark, tmp_path):
+    rows = [(1, "http://h/a", f"<article>{BODY}</article>")] * 2 + [(None, "http://h/b", f"<article>{BODY}</article>"), (2, None, None), (3, "no host", "<div>" * 3000 + BODY), (4, "http://h/c", "")]
+    spark.createDataFrame([(*r, "h", "p") for r in rows], "page_id long, url string, html string, host string, path string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = Counter(tuple(r) for r in html.op4_query(spark, str(tmp_path)).collect())
+    assert got == Counter((i, u, TEXT if h else "", len(TEXT) if h else 0) for i, u, h in rows)
+
+
+def test_consensus_with_salted_hosts(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 3}/x", f"<article>{BODY}</article>") for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(str, html.extract_pages(df).collect()))
+    monkeypatch.setattr(html, "BROADCAST_BYTES", 0)
+    assert sorted(map(str, html.extract_pages(df).collect())) == want
+
+
 def test_consensus_overrules_a_page(spark):
     page = lambda main, side: f"<body><div class='post-{len(main)}'><div class=c1>{main}</div></div><div class=x>{side}</div>"
     long, short = "<p>" + "word " * 80 + "</p>", "<p>few words</p>"
@@ -298,6 +431,34 @@ def test_ann_recall_and_scores(spark):
     assert hit / (20 * len(got)) >= 0.95
 
 
+def test_ann_recall_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "INDEX_BYTES", 1500 * 16 * 8)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 40)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 16)) * rng.uniform(0.5, 1.5, 6000)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.search(df, df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    hit = 0
+    for q, found in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(set(found) & set(np.argsort(-s)[:20].tolist()))
+    assert len(got) == 300 and hit / 6000 >= 0.9
+
+
+def test_ann_repeated_ids_and_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.25, 0.5]), (3, [0.0, 1.0]), (20, [0.0, 1.0]), (20, [1.0, 1.0]), (40, [1.0, 2.0, 3.0]), (41, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.search(df, df.where("vec_id % 20 = 0")).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert sorted(got[0]) == [(1, 20, 1.0), (2, 1, 0.5), (3, 2, 0.25), (4, 3, 0.0), (5, 20, 0.0)]
+    assert sorted(got[20]) == sorted([(1, 3, 1.0), (2, 1, 0.5), (3, 2, 0.5), (4, 0, 0.0), (5, 0, 0.0), (1, 0, 1.0), (2, 0, 1.0), (3, 1, 1.0), (4, 3, 1.0), (5, 2, 0.75)])
+    assert got[40] == [(1, 41, 1.0)]
+
+
 def test_ann_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [(r.rank, r.vec_id) for r in ann.search(few, few.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 1), (2, 2)]

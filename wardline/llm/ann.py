@@ -7,12 +7,14 @@ done once a vector as far as its k-th verified one would have reached that count
 spare, or when all vectors of the block are verified. Largest inner product becomes nearest distance by one more
 dimension that brings all vectors to the largest norm.
 
-The stated query set meets all rows in blocks of bounded size; each block pair returns its k best, which a window with
-a group limit merges. Recall is measured against brute force in tests/llm/test_ann.py.
-
-Defined results: vectors that are null, zero, or hold a null or non-finite component take no part, nor do those of
-another length than most have (the smaller of equals) or with a null id; repeated ids are candidates of their own but
-never of their own id; fewer candidates than k give all; an empty table gives an empty result.
+The stated query set meets all rows in blocks of bounded size: the arrays of an index block are built once, and the
+queries stream through them. Each block returns its k best of a query, which a window with a group limit merges. Recall
+over one block and over several is measured against brute force in tests/llm/test_operators.py.
+
+Defined results: vectors that are null, zero, or hold a null or non-finite component take no part, nor do rows with a null
+id; vectors meet those of their own length only; repeated ids are candidates of their own but never of their own id; rows
+that repeat a query are one query, and those that repeat its id with another vector are queries of their own, each with
+its ranks; fewer candidates than k give all; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,10 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import runs, stored, table
 
 PROJECTIONS, SHARE, Z, WIDEN, FIRST = 64, 0.6, 1.2, 1.4, 0.25
-INDEX_BLOCK, QUERY_BLOCK = 32768, 512
+#: Components of an index block, in bytes; queries in a block, and the most such blocks that one part takes.
+INDEX_BYTES, QUERY_BLOCK, PART_BLOCKS = 1 << 25, 512, 128
 
 
 class CollisionIndex:
@@ -93,54 +96,67 @@ class CollisionIndex:
         return self.ids[found[best]], scores[best]
 
 
-def _blocks(rows: DataFrame, n: int, name: str, vec: str = "v") -> DataFrame:
-    """One row a block: number, ids and components, each as bytes."""
+def _blocks(rows: DataFrame, n: int) -> DataFrame:
+    """Of (d, block, id, h, v) one row (d, block, ids, hashes, vectors) a block, the lists as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for b in batches:
-            at = b.column(0).to_numpy()
-            ids = b.column(1).to_numpy()
-            v = b.column(2)
-            flat = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) if len(v) else np.zeros((0, 1), np.float32)
-            for x in np.unique(at).tolist():
-                held.setdefault(x, []).append((ids[at == x], flat[at == x]))
-        for x, some in sorted(held.items()):
-            ids, v = np.concatenate([s[0] for s in some]), np.concatenate([s[1] for s in some])
-            by = np.lexsort((*v.T[::-1], ids))  # the same block whatever order rows came in
-            yield pa.record_batch([pa.array([x]), pa.array([ids[by].astype("<i8").tobytes()], pa.binary()), pa.array([v[by].astype("<f8").tobytes()], pa.binary())], [name, f"{name}_ids", f"{name}_vectors"])
-
-    dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias(name), "id", vec).repartition(n, name)
-    return dealt.mapInArrow(run, f"{name} long, {name}_ids binary, {name}_vectors binary")
+        for t in runs(batches, ["d", "block"]):
+            ids, h = (t.column(c).to_numpy().astype("<i8") for c in ("id", "h"))
+            v = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<f8")
+            yield pa.record_batch([t.column("d")[:1].combine_chunks(), t.column("block")[:1].combine_chunks(), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, h, v))], ["d", "block", "ids", "hashes", "vectors"])
+
+    # the same block whatever order rows came in
+    dealt = rows.repartition(n, "d", "block").sortWithinPartitions("d", "block", "id", "h")
+    return dealt.mapInArrow(run, "d int, block long, ids binary, hashes binary, vectors binary")
+
+
+def _search_parts(k: int, share: float, z: float):
+    """Of each part (d, block, part), sorted, its index block (kind 0), built once, and the query blocks that meet it (kind 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, key = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                d, block, part, kind, ids, hashes, vectors, norm = (batch.column(c)[i].as_py() for c in ("d", "block", "part", "kind", "ids", "hashes", "vectors", "norm"))
+                ids, x = np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<f8").reshape(-1, d)
+                if kind == 0:
+                    made, key = CollisionIndex(ids, x, norm, share=share, z=z), (d, block, part)
+                    continue
+                assert key == (d, block, part)
+                hits = [made.search(q, v, k) for q, v in zip(ids.tolist(), x, strict=True)]
+                size = [len(h[0]) for h in hits]
+                cols = [np.repeat(ids, size), np.repeat(np.frombuffer(hashes, "<i8"), size), *(np.concatenate([h[j] for h in hits]) for j in (0, 1))]
+                yield pa.record_batch([pa.array(c) for c in cols], ["query_id", "h", "vec_id", "score"])
+
+    return run
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", share: float = SHARE, z: float = Z) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of each query row among the index rows of other ids."""
     usable = F.col("v").isNotNull() & F.col("id").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    clean = lambda d: d.select(d[id_col].cast("long").alias("id"), d[vec_col].cast("array<double>").alias("v")).where(usable)
-    base, ask = clean(index), clean(queries)
+    clean = lambda t: t.select(t[id_col].cast("long").alias("id"), t[vec_col].cast("array<double>").alias("v")).where(usable).withColumns({"d": F.size("v"), "h": F.xxhash64("v")})
+    base, ask = clean(index), clean(queries).distinct()
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    sizes = base.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(norm2).alias("norm2")).orderBy(F.desc("n"), "d").limit(1).collect()
-    out = "query_id long, rank int, vec_id long, score double"
-    if not sizes:
-        return index.sparkSession.createDataFrame([], out)
-    dim, n, norm = sizes[0]["d"], sizes[0]["n"], math.sqrt(sizes[0]["norm2"])
-    base, ask = base.where(F.size("v") == dim), ask.where(F.size("v") == dim)
-    n_index, n_query = max(1, math.ceil(n / INDEX_BLOCK)), max(1, math.ceil(ask.count() / QUERY_BLOCK))
-    asks = stored(_blocks(ask, n_query, "q"), "query_blocks")
-    pairs = _blocks(base, n_index, "b").withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query - 1).cast("long")))).join(asks, "q")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids, qids = np.frombuffer(r["b_ids"], "<i8"), np.frombuffer(r["q_ids"], "<i8")
-                made = CollisionIndex(ids, np.frombuffer(r["b_vectors"], "<f8").reshape(len(ids), dim), norm, share=share, z=z)
-                hits = [(q, *made.search(q, v, k)) for q, v in zip(qids.tolist(), np.frombuffer(r["q_vectors"], "<f8").reshape(len(qids), dim), strict=True)]
-                cols = [np.repeat(qids, [len(h[1]) for h in hits]), np.concatenate([h[1] for h in hits]), np.concatenate([h[2] for h in hits])]
-                yield pa.record_batch([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2])], ["query_id", "vec_id", "score"])
-
-    near = pairs.repartition(max(1, n_index * n_query), "b", "q").mapInArrow(run, "query_id long, vec_id long, score double")
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    sizes = base.groupBy("d").agg(F.count("*").alias("n"), F.sqrt(F.max(norm2)).alias("norm"))
+    asked = ask.groupBy("d").agg(F.count("*").alias("q"))
+    blocks = F.ceil(F.col("n") * F.col("d") * 8 / INDEX_BYTES).cast("long")
+    # one row a length of vectors
+    plan = stored(sizes.join(asked, "d").select("d", "norm", blocks.alias("blocks"), F.ceil(F.col("q") / QUERY_BLOCK).cast("long").alias("chunks")), "plan")
+    all_blocks = plan.agg(F.coalesce(F.sum("blocks"), F.lit(0)), F.coalesce(F.sum("chunks"), F.lit(0))).first()
+    spread = math.ceil(index.sparkSession.sparkContext.defaultParallelism / max(1, all_blocks[0]))
+    # a block meets all queries in one part, or in several where there are fewer blocks than cores or very many queries
+    plan = plan.withColumn("parts", F.least("chunks", F.greatest(F.lit(spread), F.ceil(F.col("chunks") / PART_BLOCKS))))
+    deal = lambda rows, n: rows.join(plan.select("d", F.col(n).alias("m")), "d").select("d", F.pmod("h", "m").alias("block"), "id", "h", "v")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rest = ("d", "block", "part", "kind", "turn", "ids", "hashes", "vectors", "norm")
+    kept = stored(_blocks(deal(base.withColumn("h", F.xxhash64("id", "v")), "blocks"), max(1, all_blocks[0])), "index_blocks")
+    asks = stored(_blocks(deal(ask, "chunks"), max(1, all_blocks[1])), "query_blocks")
+    left = kept.join(plan, "d").select("*", upto("parts").alias("part"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("turn")).select(*rest)
+    right = asks.withColumnRenamed("block", "turn").join(plan, "d").select("*", upto("blocks").alias("block"), F.pmod("turn", "parts").alias("part"), F.lit(1).alias("kind")).select(*rest)
+    n = max(1, plan.agg(F.sum(F.col("blocks") * F.col("parts"))).first()[0] or 0)
+    met = left.union(right).repartition(4 * n if n < 1000 else n, "d", "block", "part").sortWithinPartitions("d", "block", "part", "kind", "turn")
+    near = met.mapInArrow(_search_parts(k, share, z), "query_id long, h long, vec_id long, score double")
+    best = W.partitionBy("query_id", "h").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
