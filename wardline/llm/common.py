@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------- scratch storage
@@ -310,18 +310,39 @@ def ready(spark: SparkSession) -> None:
 
 # ---------------------------------------------------------------- bounded filters
 
-SLOTS = 1 << 18
+#: Hash slots of a filter: at most 1024 bitmaps of 4 kB.
+SLOTS = 1 << 25
+_BITMAP = 1 << 15
 
 
 def slot(col):
-    return F.pmod(F.xxhash64(col), F.lit(SLOTS)).cast("int")
+    return F.pmod(F.xxhash64(col), F.lit(SLOTS))
 
 
 def slots_of(ids: DataFrame, col: str) -> DataFrame:
-    """The hash slots of some ids: at most SLOTS rows of one int, whatever the input, so it may be broadcast."""
-    return ids.select(slot(F.col(col)).alias("slot")).distinct()
+    """(bucket, bitmap): the hash slots of some ids, SLOTS / 8 bytes at most, whatever the input, so it may be broadcast."""
+    at = ids.select(slot(F.col(col)).alias("slot"))
+    parts_ = at.groupBy(F.floor(F.col("slot") / _BITMAP).alias("bucket"))
+    return parts_.agg(F.bitmap_construct_agg(F.col("slot") % _BITMAP).alias("bitmap"))
+
+
+def _met(df: DataFrame, id_col, slots: DataFrame) -> tuple[DataFrame, Column]:
+    """The rows with the bitmap that their id's slot is in, and whether the slot is set there."""
+    of = F.floor(slot(id_col) / _BITMAP)
+    bit = slot(id_col) % _BITMAP
+    byte = F.conv(F.hex(F.substring("bitmap", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    power = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (bit % 8).cast("int") + 1)
+    hit = F.coalesce(byte.bitwiseAND(power) != 0, F.lit(False))
+    return df.withColumn("bucket", of).join(F.broadcast(slots), "bucket", "left"), hit
 
 
 def maybe_in(df: DataFrame, id_col, slots: DataFrame) -> DataFrame:
-    """Rows whose id may be among those of ``slots``; spares a shuffle most of the others."""
-    return df.withColumn("slot", slot(id_col)).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
+    """Rows whose id may be among those of ``slots``; spares most of the others a shuffle."""
+    met, hit = _met(df, id_col, slots)
+    return met.where(hit).select(*[met[f"`{c}`"] for c in df.columns])
+
+
+def not_in(df: DataFrame, id_col, slots: DataFrame) -> DataFrame:
+    """The other rows: those whose slot no id of ``slots`` has."""
+    met, hit = _met(df, id_col, slots)
+    return met.where(~hit).select(*[met[f"`{c}`"] for c in df.columns])

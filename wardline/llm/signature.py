@@ -2,8 +2,8 @@
 
 1. Texts become sets of hashed shingles; rows with equal sets are one representative, their smallest id.
 2. A representative is indexed under the tokens of its prefix: |s| - ceil(t |s|) + 1 of its shingles, the first in
-   one global order. Sets of similarity t or more share a prefix token. Shingles that are frequent in some part of the
-   input come last in the order (a fixed-size table), so that common passages do not gather rows.
+   one global order. Sets of similarity t or more share a prefix token. The order goes by about how often a shingle occurs
+   (a fixed-size table), so that common passages do not gather rows.
 3. Tokens with two or more representatives get a leader, the one that shares most with others. First every representative
    joins the block of the strongest of its tokens' leaders; blocks of many shingles are cut by hash, the leader in each part.
 4. Within a part, signature trees over small bitmaps drop the sets that no other can be similar enough to, so that few
@@ -21,6 +21,7 @@ one node, with the links of each; an empty table gives an empty result; only the
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, maybe_in, mix, runs, shingle_sets, slots_of, stored, table, text_buffer
+from .common import connected_components, discard, maybe_in, mix, not_in, runs, shingle_sets, slots_of, stored, table, text_buffer
 
 #: Slots of the table of frequent shingles, and the most that are entered; least count in a batch.
-FREQUENT_SLOTS, FREQUENT_MOST, OFTEN = 1 << 22, 1 << 18, 6
+FREQUENT_SLOTS, FREQUENT_MOST, OFTEN = 1 << 22, 1 << 18, 2
 #: Shingles and sets in one part of a block; sets in a chunk of step 5.
 PART_SHINGLES, PART_SETS, CHUNK = 60_000, 256, 1024
 #: Bits for each shingle of the part's largest set, at most so many; sets in a leaf; children of a node.
@@ -234,37 +235,38 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def frequent(src: DataFrame, k: int) -> np.ndarray:
-    """A table of slots: whether a shingle there is frequent in some batch. It only orders prefixes, so that any table
-    gives the same links; at most FREQUENT_MOST counts reach the driver."""
+    """A table of slots: about how often a shingle there occurs, as a power of two. A batch counts what it has OFTEN times or
+    more. It only orders prefixes, so that any table gives the same links; at most FREQUENT_MOST counts reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, offsets = text_buffer(b.column(0))
             sets = shingle_sets(buf, offsets, k)
             value, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
-            often = n >= max(OFTEN, b.num_rows // 1000)
+            often = n >= OFTEN
             yield pa.record_batch([pa.array(value[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["h", "n"])
 
     counts = src.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    slots = np.zeros(FREQUENT_SLOTS, bool)
-    top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT_MOST).select("h").toArrow()["h"].to_numpy().view(np.uint64)
-    slots[(top & np.uint64(FREQUENT_SLOTS - 1)).astype(np.int64)] = True
+    slots = np.zeros(FREQUENT_SLOTS, np.uint8)
+    top = stored(counts.orderBy(F.desc("n"), "h").limit(FREQUENT_MOST), "frequent").toArrow()
+    at = (top["h"].to_numpy().view(np.uint64) & np.uint64(FREQUENT_SLOTS - 1)).astype(np.int64)
+    np.maximum.at(slots, at, np.log2(top["n"].to_numpy().astype(np.float64)).astype(np.uint8))
     return slots
 
 
 def index(src: DataFrame, k: int, num: int, den: int, slots: np.ndarray) -> DataFrame:
     """(doc_id, n, f1, f2, prefix, bits): size and fingerprint of the shingle set, its prefix tokens and bitmap."""
-    packed = np.packbits(slots)
+    packed = zlib.compress(slots.tobytes(), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = np.unpackbits(packed).astype(bool)
+        often = np.frombuffer(zlib.decompress(packed), np.uint8)
         for b in batches:
             buf, offsets = text_buffer(b.column(1))
             size, prints, maps, prefixes = [], [], [], [np.zeros(0, np.uint64)]
             for s in shingle_sets(buf, offsets, k):
                 late = often[(s & np.uint64(FREQUENT_SLOTS - 1)).astype(np.int64)]
                 most = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
-                prefixes.append(np.concatenate((s[~late], s[late]))[:most])
+                prefixes.append(s[np.argsort(late, kind="stable")[:most]])
                 size.append(len(s))
                 maps.append(bitmap(s, b_ := own_bits(len(s))).to_bytes(b_ // 8, "little") if len(s) else b"")
                 prints.append((np.bitwise_xor.reduce(mix(s)), s.sum(dtype=np.uint64)))
@@ -342,17 +344,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     src = _source(docs, id_col, text_col)
     base = stored(index(src, k, num, den, frequent(src, k)), "index")
     by = ["f1", "f2", "n"]
-    # bitmaps and prefixes stay in the table until they are asked for
     usable = base.where("n > 0 AND doc_id IS NOT NULL")
     kept = stored(usable.groupBy(*by).agg(F.min("doc_id").alias("rep")), "kept")
     member = stored(base.select("doc_id", *by).join(kept, by, "left").select("doc_id", "n", "rep"), "member")
-    reps = stored(kept.select(F.col("rep").alias("doc_id")).distinct(), "reps")
-    discard(kept)
-    tokens = usable.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", F.explode("prefix").alias("token"))
+    # prefixes and bitmaps are shuffled of those rows alone that a filter takes for copies
+    copies = stored(slots_of(member.where("doc_id <> rep"), "doc_id"), "copies")
+    own = kept.withColumnRenamed("rep", "doc_id")
+    first = not_in(usable, F.col("doc_id"), copies).unionByName(maybe_in(usable, F.col("doc_id"), copies).join(own, [*by, "doc_id"], "left_semi").select(*usable.columns))
+    reps = first.withColumnRenamed("doc_id", "rep")
+    tokens = reps.select("rep", "n", F.explode("prefix").alias("token"))
     # the widest shuffle: one number a token, and its count
     shared = stored(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "shared")
-    posts = stored(tokens.join(shared, "token").select("token", "rep", "n", "c").distinct(), "posts")
-    discard(shared)
+    filters = stored(slots_of(shared, "token"), "filters")
+    posts = stored(maybe_in(tokens, F.col("token"), filters).join(shared, "token").select("token", "rep", "n", "c").distinct(), "posts")
+    discard(shared, filters)
     weight = stored(posts.groupBy("rep").agg(F.sum("c").alias("w")), "weight")
     leader = stored(posts.join(weight, "rep").groupBy("token").agg(F.max(F.struct("w", (-F.col("rep")).alias("r"))).alias("m")).select("token", (-F.col("m.r")).alias("block"), F.col("m.w").alias("w")), "leader")
     held = stored(posts.join(leader, "token").groupBy("block", "rep").agg(F.max("n").alias("n"), F.max("w").alias("w")), "held")
@@ -364,7 +369,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     part = F.when(F.col("rep") == F.col("block"), F.sequence(F.lit(0), F.col("cuts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int")))
     led = best.select("block", "rep").union(sized.select("block", F.col("block").alias("rep"))).distinct().join(sized, "block")
     placed = led.select("block", "rep", F.explode(part).alias("part"), F.lit(2).alias("side"), F.col("rep").alias("component")).withColumn("part", F.col("part").cast("long"))
-    bits = usable.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "bits")
+    bits = reps.select("rep", "n", "bits")
     links = stored(_links(placed, bits, src, k, num, den).union(_of_one_id(member)), "links")
     discard(best, sized)
     comps = connected_components(links)
@@ -372,7 +377,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     if more.take(1):
         comps = connected_components(links.union(more))
     comps = stored(comps, "comps")
-    discard(base, reps, held, links, more)
+    discard(base, kept, copies, held, links, more)
     out = member.join(comps, member.rep == comps.node, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

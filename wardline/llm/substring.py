@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import Words, maybe_in, parts, runs, slices, slots_of, stored, table, text_buffer
+from .common import Words, maybe_in, not_in, parts, runs, slices, slots_of, stored, table, text_buffer
 
 K, WINDOW, LEAST = 8, 12, 50
 #: Gap cost of each word skipped in either text; the longest gap inside a chain; words around a chain for alignment.
@@ -379,9 +379,7 @@ def find(docs: DataFrame, k: int = K, window: int = WINDOW, least: int = LEAST,
     both = texts.unionByName(chained, allowMissingColumns=True).repartition(n, "doc_id").sortWithinPartitions("doc_id", "kind", "odoc", "low")
     schema = StructType([*rows.select("row", "doc_id").schema, *StructType.fromDDL(SPANS)])
     aligned = both.mapInArrow(_align_run(k, least, schema), schema)
-    from .common import slot
-
-    none = rows.withColumn("slot", slot(F.col("doc_id"))).join(F.broadcast(slots), "slot", "left_anti").select("row", "doc_id")
+    none = not_in(rows, F.col("doc_id"), slots).select("row", "doc_id")
     return aligned, none
 
 
