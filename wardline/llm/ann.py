@@ -33,7 +33,7 @@ from .common import runs, stored, table
 
 PROJECTIONS, SHARE, Z, WIDEN, FIRST = 64, 0.6, 1.2, 1.4, 0.25
 #: Components of an index block, in bytes; queries in a block, and the most such blocks that one part takes.
-INDEX_BYTES, QUERY_BLOCK, PART_BLOCKS = 1 << 25, 512, 128
+INDEX_BYTES, QUERY_BLOCK, PART_BLOCKS = 1 << 24, 256, 256
 
 
 class CollisionIndex:
@@ -43,7 +43,7 @@ class CollisionIndex:
         rest = np.sqrt(np.maximum(0, 1 - (unit**2).sum(1)))
         self.directions = np.random.Generator(np.random.PCG64(7)).standard_normal((unit.shape[1] + 1, projections))
         value = unit @ self.directions[:-1] + rest[:, None] * self.directions[-1]
-        self.order = np.ascontiguousarray(np.argsort(value, axis=0, kind="stable").T.astype(np.int32))
+        self.order = np.ascontiguousarray(np.argsort(value, axis=0, kind="stable").T)
         self.sorted = np.take_along_axis(value, self.order.T, axis=0).T.copy()
         self.verified = 0
         # half a window, for each unit of distance, in which a vector collides often enough with z deviations to spare
@@ -74,11 +74,13 @@ class CollisionIndex:
             pick = np.flatnonzero((count >= need) & ~done)
             done[pick] = True
             self.verified += len(pick)
-            near = self.vectors[pick] @ q
+            some = self.vectors[pick]
+            near = some @ q
             if len(near) > k:  # what rounding cannot bring to the k best is left
-                pick = pick[near >= np.partition(near, -k)[-k] - 1e-9 * (1 + size * self.norm)]
+                best = near >= np.partition(near, -k)[-k] - 1e-9 * (1 + size * self.norm)
+                pick, some = pick[best], some[best]
             found = np.concatenate((found, pick))
-            scores = np.concatenate((scores, (self.vectors[pick] * q).sum(1)))
+            scores = np.concatenate((scores, (some * q).sum(1)))
             if len(found) > k:
                 best = np.lexsort((self.ids[found], -scores))[:k]
                 found, scores = found[best], scores[best]
