@@ -1,13 +1,12 @@
 """A training corpus from raw documents: filter, deduplicate, cut repeats, mix, pack.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet before the next stage starts:
-a stage removes the scratch tables of the one before. All but the last return the columns of ``documents``.
+a stage removes the scratch tables of the one before, the end of the application what is left. All but the last return the
+columns of ``documents``. Each stage takes nulls, repeated ids and empty tables as its operator does.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from wardline.llm import common, mixing, packing, signature, substring, toxicity
@@ -37,11 +36,18 @@ def drop_toxic(spark, docs, sf_dir):
 
 def drop_near_duplicates(spark, docs, sf_dir):
     """Of documents connected by a Jaccard similarity of 0.8 of five-word shingles, the smallest id stays; of rows that
-    repeat an id, one. Rows without an id stay."""
-    found = signature.jaccard_components(docs, k=5, num=4, den=5)
+    repeat an id and a text, one: the least by its other columns. Rows without an id stay."""
+    found = common.stored(signature.jaccard_components(docs, k=5, num=4, den=5).where("doc_id IS NOT NULL"), "found")
     gone = common.stored(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    known = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return known.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
+    repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    # most rows stay where they are: a filter tells which may have to go or be one of several
+    slots = common.stored(common.slots_of(gone.union(repeated), "doc_id"), "slots")
+    known = docs.where(F.col("doc_id").isNotNull())
+    doubtful = common.maybe_in(known, F.col("doc_id"), slots).join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = doubtful.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("x")) if rest else doubtful.distinct()
+    one = one.select("doc_id", "text", "x.*").select(*docs.columns) if rest else one
+    return common.not_in(known, F.col("doc_id"), slots).union(one).union(docs.where(F.col("doc_id").isNull()))
 
 
 def cut_repeats(spark, docs, sf_dir):
@@ -77,7 +83,7 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     """All stages on ``documents``."""
     docs = common.table(spark, sf_dir, "documents")
-    root = f"{common.shared_dir(spark).rstrip('/')}/pipeline/{uuid.uuid4().hex}"
+    root = common.scratch(spark, "pipeline")
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{root}/{name}")
