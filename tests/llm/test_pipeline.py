@@ -37,3 +37,20 @@ def test_stages_take_effect(spark, tmp_path):
     assert {r.doc_id for r in packed} == ids[3]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(packed)
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_without_rows_and_with_repeated_ids(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now = spark.createDataFrame([], schema)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, now, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/none{k}")
+        now = spark.read.schema(out.schema).parquet(f"{tmp_path}/none{k}")
+        assert now.count() == 0
+    rng = random.Random(4)
+    a, b = " ".join(words(rng, 40)), " ".join(words(rng, 40))
+    rows = [(1, a, "en", "s", 2), (1, a, "de", "s", 1), (2, b, "en", "s", 3), (2, a + " x", "en", "s", 3), (3, b, None, None, None), (4, None, "en", "s", 0), (4, None, "en", "s", 0), (5, "", "en", "s", 0), (None, a, "en", "s", 7)]
+    for n in (1, 4):
+        got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, schema).repartition(n), "").collect()
+        assert sorted(map(str, got)) == sorted(map(str, [r for r in spark.createDataFrame([rows[1], rows[5], rows[7], rows[8]], schema).collect()]))
