@@ -107,7 +107,7 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[first : int(offsets[-1]) if len(offsets) else 0], offsets - first
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` bytes (one row at least), so that kernels need bounded memory."""
     n, i = len(offsets) - 1, 0
     while i < n:
@@ -167,7 +167,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWER or len(_POWER[0]) < n:
         inverse = np.uint64(pow(int(_BASE), -1, 2**64))
-        _POWER[:] = [np.cumprod(np.full(max(n, 1 << 21), b, np.uint64)) for b in (_BASE, inverse)]
+        _POWER[:] = [np.cumprod(np.full(max(n, 1 << 20), b, np.uint64)) for b in (_BASE, inverse)]
     return _POWER[0][:n], _POWER[1][:n]
 
 
@@ -292,7 +292,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     raise RuntimeError("connected components did not settle")
 
 
-ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
+ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
 
 
 def ready(spark: SparkSession) -> None:
