@@ -56,22 +56,77 @@ def if_framework(language: Column, condition: Column, statements: Column) -> Col
     return F.concat(head, body, F.when(language == "python", "").otherwise("\n}"))
 
 
-#: Ways a branch ends a request, tried in order, by language.
-TERMINATIONS = {
-    "php": (("exit", r"(?i)\b(?:exit|die)\b"), ("redirect", r"(?i)\bheader\s*\(\s*[\"']location"), ("status", r"(?i)\bhttp_response_code\s*\(\s*40[13]"), ("return", r"(?i)\breturn\s+(?:false|null|0)\b"), ("exception", r"(?i)\bthrow\b")),
-    "python": (("exception", r"\braise\s+(?:PermissionDenied|PermissionError|Http404|HTTPException|SuspiciousOperation)"), ("abort", r"\babort\s*\("), ("redirect", r"\bredirect\s*\("), ("status", r"HttpResponse(?:Forbidden|NotFound)|status(?:_code)?\s*=\s*40[134]"), ("return", r"\breturn\s+(?:False|None)\b")),
-    "java": (("exception", r"\bthrow\b"), ("redirect", r"\bsendRedirect\s*\("), ("status", r"\bsendError\s*\("), ("forward", r"\bforward\s*\("), ("return", r"\breturn\s+(?:false|null)\b")),
-    "go": (("status", r"\bhttp\.Error\s*\("), ("redirect", r"\bhttp\.Redirect\s*\("), ("abort", r"\bAbort\w*\s*\("), ("panic", r"\bpanic\s*\("), ("return", r"\breturn\b(?:\s+(?:false|nil|err))?")),
+#: Texts that announce a denial, by language.
+DENIAL_TEXT = {
+    "php": r"(?i)access\s+denied|permission\s+denied|unauthori[sz]ed|forbidden|don't\s+have\s+access|must\s+be\s+logged|not\s+allowed|login\s+required|authentication\s+required",
+    "java": r"(?i)\b(?:access|permission|authentication|authorization)\s+(?:denied|required|failed)\b|\b(?:forbidden|unauthori[sz]ed|securityexception|accessdenied|login|log[_ ]?in|sign[_ ]?in)\b",
+    "python": r"(?i)\b(?:access|permission|authentication|authorization)\s+(?:denied|required|failed)\b|\b(?:forbidden|unauthori[sz]ed|not[_ ]authenticated|not[_ ]authorized)\b|\b(?:login|log[_ ]?in|sign[_ ]?in)\b",
+    "go": r"(?i)\b(?:access|permission|authentication|authorization)\s+(?:denied|required|failed)\b|\b(?:forbidden|unauthori[sz]ed|login|log[_ ]?in|sign[_ ]?in)\b",
 }
+#: Names of calls that deny, and of those that do so whatever their arguments say.
+DENIAL_CALL = {
+    "python": r"(?i)(?:^|\.)(?:abort|redirect|permissiondenied|http404|httpresponseforbidden|forbidden|unauthorized|deny|exit|quit)$",
+    "go": r"(?i)(?:^|\.)(?:Error|Redirect|Abort|AbortWithStatus|AbortWithStatusJSON|Forbidden|Unauthorized|Panic|Fatal|Fatalf)$",
+}
+PLAIN_DENIAL = {
+    "python": r"(?i)(?:^|\.)(?:PermissionDenied|HttpResponseForbidden|Forbidden|Unauthorized|Deny)$",
+    "go": r"(?i)(?:^|\.)(?:Forbidden|Unauthorized|AbortWithStatus(?:JSON)?)$",
+}
+#: Statements that deny by themselves, as (kind, pattern), and those that do so with a text of denial.
+_GATE = r"(?:login|log[_-]?in|signin|auth|denied|forbidden|unauthor)"
+DENYING = {
+    "php": (
+        ("", r"(?i)\b(?:mysql|mysqli|pg|sqlite)[A-Za-z_]*_?error\s*\("),
+        ("redirect", rf"(?is)\bheader\s*\([^)]*location\s*:[^)]*{_GATE}"),
+        ("redirect", rf"(?is)(?:<meta[^>]+http-equiv\s*=\s*['\"]?refresh|window\.location|location\.href).*{_GATE}"),
+        ("http_denial", r"(?i)\bhttp_response_code\s*\(\s*40[13]\s*\)"),
+        ("redirect", r"(?is)\b(?:http_redirect|wp_redirect|dvwaredirect)\s*\([^;]*(?:login|auth|denied|forbidden|unauthor)"),
+        ("denial_output", DENIAL_TEXT["php"]),
+        ("exception", r"(?is)^\s*throw\b.*(?:permission|forbidden|unauthori[sz]ed|access|security|auth)"),
+    ),
+    "java": (("http_denial", r"(?i)\b(?:sendError|setStatus)\s*\(\s*(?:40[13]|HttpServletResponse\.SC_(?:UNAUTHORIZED|FORBIDDEN))"),),
+    "python": (("http_denial", r"(?i)\b(?:status(?:_code)?\s*=\s*40[13]|HTTPStatus\.(?:UNAUTHORIZED|FORBIDDEN))\b"), ("http_denial", r"(?i)^[^(]*\babort\s*\(\s*40[13]")),
+    "go": (("http_denial", r"\b(?:StatusForbidden|StatusUnauthorized|StatusProxyAuthRequired)\b"),),
+}
+DENYING_WITH_TEXT = {
+    "php": (),
+    "java": (("exception", r"^\s*throw\b"), ("execution_termination", r"\bSystem\s*\.\s*exit\s*\("), ("redirect", r"\bsendRedirect\s*\("), ("redirect", r"\.forward\s*\(")),
+    "python": (("exception", r"^\s*raise\b"),),
+    "go": (),
+}
+#: Statements that end a branch, which deny where the context matches a configured pattern.
+ENDING = {
+    "php": r"(?is)\b(?:die|exit)\s*(?:\(|;)|\breturn\s+[^;]+;|\b(?:header|http_redirect|wp_redirect|dvwaredirect)\s*\(|<meta[^>]+http-equiv\s*=\s*['\"]?refresh|window\.location|location\.href|^\s*throw\b",
+    "java": r"(?is)^\s*(?:return|throw)\b|\b(?:sendRedirect|sendError|forward|System\s*\.\s*exit)\s*\(",
+    "python": r"(?is)^\s*(?:return|raise)\b|\b(?:redirect|abort|exit|quit)\s*\(",
+    "go": r"(?i)^\s*return\b",
+}
+
 
+def termination_kind(language: Column, code: Column, configured: tuple[str, ...] = (), context: Column | None = None) -> Column:
+    """How a statement denies access, or null: the first rule of its language that fits. A failure of the database is none.
 
-def termination_kind(language: Column, code: Column) -> Column:
-    """How a statement denies, or null."""
+    ``configured`` patterns count as denials in the statement itself, and in ``context`` where the statement ends the branch.
+    """
+    test = lambda c, p: F.rlike(c, F.lit(p))
+    called = F.regexp_extract(code, r"\b([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)\s*\(", 1)
+    listed = lambda c: F.exists(F.array(*map(F.lit, configured)), lambda p: F.rlike(c, F.concat(F.lit("(?is)"), p))) if configured else F.lit(False)
     out = F.lit(None).cast("string")
-    for name, rules in TERMINATIONS.items():
+    for name, text in DENIAL_TEXT.items():
+        rules = [(test(code, p) & test(code, text), kind) for kind, p in DENYING_WITH_TEXT[name]]
+        plain = [(test(code, p), kind) for kind, p in DENYING[name]]
+        rules = rules + plain if name == "java" else plain + rules
+        if name in DENIAL_CALL:
+            denies = test(called, DENIAL_CALL[name]) & (test(called, PLAIN_DENIAL[name]) | test(code, text))
+            redirect = F.contains(F.lower(code), F.lit("redirect")) if name == "python" else F.endswith(F.lower(called), F.lit("redirect"))
+            rules += [(denies & redirect, "redirect"), (denies, "denial")]
+        if name == "python":
+            rules.append((test(code, r"(?i)\b(?:sys\.)?(?:exit|quit)\s*\(") & test(code, text), "execution_termination"))
+        ends = test(code, ENDING[name]) | (test(called, DENIAL_CALL["go"]) if name == "go" else F.lit(False))
+        rules += [(listed(code), "configured_denial"), (listed(context) & ends if context is not None else F.lit(False), "configured_denial")]
         own = F.lit(None).cast("string")
-        for kind, pattern in reversed(rules):
-            own = F.when(F.rlike(code, F.lit(pattern)), kind).otherwise(own)
+        for fits, kind in reversed(rules):
+            own = F.when(fits, F.lit(kind or None).cast("string")).otherwise(own)
         out = F.when(language == name, own).otherwise(out)
     return out
 

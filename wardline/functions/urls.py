@@ -96,6 +96,31 @@ def absolute(base: Column, value: Column) -> Column:
     )
 
 
+def joined(base: Column, value: Column) -> Column:
+    """A reference seen in the document at ``base``, as a browser resolves it: dot segments of the path are taken out."""
+    root = F.concat(scheme(base), F.lit("://"), netloc(base))
+    tail = F.regexp_extract(value, r"([?#].*)?$", 1)
+    own = F.regexp_extract(value, r"^([^?#]*)", 1)
+    full = F.when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(F.regexp_extract(path(base), r"^(.*/)", 1), own))
+    parts = F.filter(F.split(full, "/"), lambda x: x != ".")
+    kept = F.aggregate(parts, F.expr("CAST(array() AS array<string>)"), lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))).otherwise(F.concat(a, F.array(x))))
+    closed = F.when(F.rlike(full, F.lit(r"(^|/)\.\.?$")), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    clean = F.array_join(closed, "/")
+    return (
+        F.when(scheme(value) != "", value).when(F.startswith(value, F.lit("//")), F.concat(scheme(base), F.lit(":"), value))
+        .when(own == "", F.concat(F.when(F.startswith(value, F.lit("?")), strip_query_fragment(base)).otherwise(F.substring_index(base, "#", 1)), tail))
+        .otherwise(F.concat(root, F.when(F.startswith(clean, F.lit("/")), "").otherwise("/"), clean, tail))
+    )
+
+
+def effective_page(page: Column, params: Column) -> Column:
+    """A page with a request's parameters laid over its query, in the place of equal names and after the others."""
+    own = pairs(query(page))
+    changed = F.transform(own, lambda x: F.struct(x["key"].alias("key"), F.coalesce(F.try_element_at(params, x["key"]), x["value"]).alias("value")))
+    more = F.filter(F.transform(F.array_sort(F.map_keys(params)), lambda k: F.struct(k.alias("key"), F.element_at(params, k).alias("value"))), lambda x: ~F.exists(own, lambda o: o["key"] == x["key"]))
+    return with_query(F.substring_index(page, "?", 1), F.concat(changed, more))
+
+
 def vulnerability_page(page: Column) -> Column:
     """The spelling under which findings of a page are one: distinct sorted keys, every value a star."""
     keys = F.array_sort(F.array_distinct(F.transform(pairs(query(page)), lambda x: x["key"])))

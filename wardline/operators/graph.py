@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the session's checkpoint folder; a local one is set where there is none, as in tests."""
     context = df.sparkSession.sparkContext
+    local = context.master == "local" or context.master.startswith("local[")
+    if not local and not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="wardline-"))
     return df.checkpoint()
@@ -80,11 +83,21 @@ def fixpoint(seeds: DataFrame, calls: DataFrame, gate: DataFrame, most_rounds: i
 
 def chain_of_flags(branches: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """Branches that deny in the end: ``branches`` has id, start, sets, tests, denies; a branch that sets a flag denies if a later
-    branch of the scope that tests the flag does. Adds ``denies_by``, the round in which that was found (0 for its own)."""
+    branch of the scope that tests the flag does. Adds ``denies_by``, the round in which that was found (0 for its own).
+
+    Of the branches found in a round that test one flag, the last decides for all that set it: a round joins one row for
+    each (scope, flag), so that pairs of branches are never listed."""
     b = checkpointed(branches.select("scope", "id", "start", "sets", "tests", "denies"))
-    flow = b.alias("x").join(b.alias("y"), (F.col("x.scope") == F.col("y.scope")) & (F.col("x.sets") == F.col("y.tests")) & (F.col("x.start") < F.col("y.start"))).select(F.col("y.id").alias("from"), F.col("x.id").alias("to"))
-    reached = closure(flow, b.where("denies").select(F.col("id").alias("node")), most_rounds)
-    return b.join(reached, b["id"] == reached["node"], "left").select("scope", "id", F.col("depth").alias("denies_by"))
+    found = frontier = checkpointed(b.where("denies").select("scope", "id", "start", "tests").withColumn("denies_by", F.lit(0)))
+    open_ = checkpointed(b.where("NOT coalesce(denies, false)"))
+    for depth in range(1, most_rounds + 1):
+        last = frontier.groupBy("scope", F.col("tests").alias("sets")).agg(F.max("start").alias("last"))
+        frontier = checkpointed(open_.join(last, ["scope", "sets"]).where("start < last").select("scope", "id", "start", "tests", F.lit(depth).alias("denies_by")))
+        if not frontier.take(1):
+            return b.select("scope", "id").join(found.select("id", "denies_by"), "id", "left").select("scope", "id", "denies_by")
+        found = checkpointed(found.unionByName(frontier))
+        open_ = checkpointed(open_.join(frontier.select("id"), "id", "left_anti"))
+    raise RuntimeError("chain of flags did not settle")
 
 
 def labelled_closure(edges: DataFrame, starts: DataFrame, most_rounds: int = 1000) -> DataFrame:

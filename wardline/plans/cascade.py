@@ -46,7 +46,7 @@ def first_marker(content: Column, markers: list[str]) -> Column:
 
 def denial(oracle: Oracle, status: Column, url: Column, headers: Column, body: Column) -> Column:
     """Evidence of a denial, in a fixed order; empty without any."""
-    target = html.redirect_target(headers, body)
+    target = html.redirect_target(headers, body, url)
     folded = F.lower(body)
     marked = lambda c, markers: F.rlike(F.lower(c), F.lit("|".join(rf"\Q{m.lower()}\E" for m in markers))) if markers else F.lit(False)
     marker = first_marker(folded, oracle.deny_markers)
@@ -58,7 +58,7 @@ def denial(oracle: Oracle, status: Column, url: Column, headers: Column, body: C
             F.when(marked(url, oracle.login_markers), F.concat(F.lit("authentication page: "), url)),
             F.when(marker.isNotNull(), F.concat(F.lit("denial marker: "), marker)),
             F.when(F.rlike(body, F.lit(r"(?i)history\.back\s*\(")), F.lit("client-side denial: history.back()")),
-            F.when(html.has_login_form(body, url), F.lit("login form in response")) if oracle.login_form_denies else F.lit(None).cast("string"),
+            F.when(html.has_login_form(body, url, tuple(oracle.login_markers)), F.lit("login form in response")) if oracle.login_form_denies else F.lit(None).cast("string"),
             F.when(trace, F.lit("exception trace in response body")),
             F.when(~trace & (html.body_length(body) == 0) & (status == 200), F.lit("empty response body")),
         )
@@ -85,7 +85,7 @@ def classify(responses: DataFrame, oracle: Oracle) -> DataFrame:
     absent = (F.size(wanted) > 0) & (status == 200) & F.forall(wanted, lambda m: ~F.contains(squeezed, m))
     denied, get = F.size("evidence") > 0, F.upper("method") == "GET"
     redirected = (status >= 300) & (status < 400)
-    location = F.coalesce(html.redirect_target(F.coalesce("headers", F.expr("CAST(map() AS map<string,string>)")), body), F.lit(""))
+    location = F.coalesce(html.redirect_target(F.coalesce("headers", F.expr("CAST(map() AS map<string,string>)")), body, F.coalesce("url", F.lit(""))), F.lit(""))
     write_ok = F.lit(oracle.write_redirect_is_vulnerable) & ~get & redirected
     listed = F.lit(False)
     for p in oracle.write_redirects:

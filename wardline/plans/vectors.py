@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,19 +47,15 @@ _GET = lambda referer=None: F.struct(F.lit("GET").alias("method"), F.expr("CAST(
 def option_maps(keys: Column, values: dict[str, list[str]]) -> Column:
     """The cross product of the values of those keys that a row has, as maps; none where it has no such key.
 
-    Each subset of the configured keys is a literal list, so a row picks its options without a join."""
-    known = sorted(values)
-    out = F.expr("CAST(array() AS array<map<string,string>>)")
-    for bits in product((False, True), repeat=len(known)):
-        some = [k for k, b in zip(known, bits, strict=True) if b]
-        if not some:
-            continue
-        maps = [F.create_map(*[F.lit(str(x)) for kv in zip(some, combo, strict=True) for x in kv]) for combo in product(*[values[k] for k in some])]
-        match = F.lit(True)
-        for k, b in zip(known, bits, strict=True):
-            match = match & (F.array_contains(keys, k) == F.lit(b))
-        out = F.when(match, F.array(*maps)).otherwise(out)
-    return out
+    The configured values are one literal list, over which a row folds its product."""
+    none = F.expr("CAST(array() AS array<map<string,string>>)")
+    if not values:
+        return none
+    listed = F.array(*[F.struct(F.lit(k).alias("key"), F.array(*[F.lit(str(x)) for x in values[k]]).alias("options")) for k in sorted(values) if values[k]])
+    own = F.filter(listed, lambda x: F.array_contains(keys, x["key"]))
+    start = F.array(F.expr("CAST(map() AS map<string,string>)"))
+    grown = F.aggregate(own, start, lambda maps, x: F.flatten(F.transform(maps, lambda m: F.transform(x["options"], lambda o: F.map_concat(m, F.create_map(x["key"], o))))))
+    return F.when(F.size(own) > 0, grown).otherwise(none)
 
 
 def enumerate_vectors(matrix: DataFrame, detection: DataFrame, rules: Rules, edges: DataFrame | None = None) -> DataFrame:

@@ -61,7 +61,7 @@ def responses(spark, sf_dir: str) -> DataFrame:
     """Captured responses: pages with a status, a category, a method and an actor by their id, and texts of denials."""
     i = F.col("page_id")
     pick = lambda n, values: F.element_at(F.array(*map(F.lit, values)), (i % n + 1).cast("int"))
-    text = F.when(i % 11 == 3, F.concat(F.lit("<html>Access DENIED here</html>"), F.substring("html", 1, 0))).when(i % 13 == 5, "<html>short</html>").when(i % 17 == 4, "<script>x</script>").when(i % 19 == 6, "<form action=\"/login\"><input type=password></form>").when(i % 23 == 7, "at a.b.C(D.java:1)\n at a.b.E(F.java:2)\n").when(i % 29 == 8, F.concat(F.lit("Specified thread does not exist. "), F.col("html"))).otherwise(F.col("html"))
+    text = F.when(i % 11 == 3, F.concat(F.lit("<html>Access DENIED here</html>"), F.substring("html", 1, 0))).when(i % 13 == 5, "<html>short</html>").when(i % 17 == 4, "<script>x</script>").when(i % 19 == 6, "<form action=\"/login\"><input type=password></form>").when(i % 23 == 7, "x\n at org.b.C(D.java:1)\n at com.b.E(F.java:2)\n").when(i % 31 == 9, "at jakarta.servlet.ServletException: no").when(i % 37 == 10, "<form action='/portal'><input name=password></form>").when(i % 29 == 8, F.concat(F.lit("Specified thread does not exist. "), F.col("html"))).otherwise(F.col("html"))
     return table(spark, sf_dir, "pages").select(
         "page_id", F.regexp_replace(F.regexp_extract("url", "^[a-z]+://[^/]*(/[^?#]*)", 1), "^/", "").alias("page"), pick(7, [200, 200, 302, 403, 200, 404, 200]).alias("status_code"),
         pick(4, ["admin_only", "authenticated_only", "static_only", "horizontal"]).alias("category"), pick(3, ["GET", "POST", "GET"]).alias("method"), F.when(i % 2 == 0, "u1").alias("actor"), "url",
@@ -75,21 +75,21 @@ RESPONSES = r"""r AS (
          ['GET', 'POST', 'GET'][page_id % 3 + 1] AS method, CASE WHEN page_id % 2 = 0 THEN 'u1' END AS actor, url,
          CASE WHEN page_id % 7 = 2 THEN CASE WHEN page_id % 5 = 0 THEN 'http://h/login' ELSE 'http://h/done' END END AS location,
          CASE WHEN page_id % 11 = 3 THEN '<html>Access DENIED here</html>' WHEN page_id % 13 = 5 THEN '<html>short</html>' WHEN page_id % 17 = 4 THEN '<script>x</script>'
-              WHEN page_id % 19 = 6 THEN '<form action="/login"><input type=password></form>' WHEN page_id % 23 = 7 THEN 'at a.b.C(D.java:1)' || chr(10) || ' at a.b.E(F.java:2)' || chr(10)
+              WHEN page_id % 19 = 6 THEN '<form action="/login"><input type=password></form>' WHEN page_id % 23 = 7 THEN 'x' || chr(10) || ' at org.b.C(D.java:1)' || chr(10) || ' at com.b.E(F.java:2)' || chr(10) WHEN page_id % 31 = 9 THEN 'at jakarta.servlet.ServletException: no' WHEN page_id % 37 = 10 THEN '<form action=''/portal''><input name=password></form>'
               WHEN page_id % 29 = 8 THEN 'Specified thread does not exist. ' || html ELSE html END AS text
   FROM pages),
 q AS (
   SELECT *, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?is)<script\b.*?</script>', '', 'g'), '(?is)<style\b.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '^\s+|\s+$', '', 'g')) AS len,
          lower(regexp_replace(regexp_replace(text, '(?is)<script\b.*?</script>', '', 'g'), '\s+', ' ', 'g')) AS squeezed,
-         len(regexp_extract_all(text, '(?m)^\s*at\s+[\w.$]+\([^)]*\)')) >= 2 OR regexp_matches(text, '(?i)\b(?:java|javax|org|com)\.[\w.]+(?:Exception|Error)\b') AS trace
+         text LIKE '% at org.b.C(D.java:1)%' OR text LIKE 'at jakarta.servlet.ServletException%' AS trace
   FROM r),
 e AS (
   SELECT *, [x FOR x IN [
     CASE WHEN status_code IN (401, 403) THEN 'HTTP ' || status_code END,
-    CASE WHEN location LIKE '%login%' OR location LIKE '%signin%' THEN 'denial redirect: ' || location END,
-    CASE WHEN lower(url) LIKE '%login%' OR lower(url) LIKE '%signin%' THEN 'authentication page: ' || url END,
+    CASE WHEN location LIKE '%login%' OR location LIKE '%signin%' OR location LIKE '%portal%' THEN 'denial redirect: ' || location END,
+    CASE WHEN lower(url) LIKE '%login%' OR lower(url) LIKE '%signin%' OR lower(url) LIKE '%portal%' THEN 'authentication page: ' || url END,
     CASE WHEN lower(text) LIKE '%access denied%' THEN 'denial marker: access denied' WHEN lower(text) LIKE '%not allowed%' THEN 'denial marker: not allowed' END,
-    CASE WHEN text LIKE '<form action="/login">%' THEN 'login form in response' END,
+    CASE WHEN text LIKE '<form action="/login">%' OR text LIKE '<form action=''/portal''>%' THEN 'login form in response' END,
     CASE WHEN trace THEN 'exception trace in response body' END,
     CASE WHEN NOT trace AND len = 0 AND status_code = 200 THEN 'empty response body' END] IF x IS NOT NULL] AS evidence
   FROM q)"""

@@ -11,7 +11,7 @@ from .registry import query
 
 # spans: orders are functions of their customer's file, line items conditions
 SPANS = """fn AS (SELECT o_custkey AS file, o_orderkey AS fn, (o_orderkey * 13) % 900 AS s, (o_orderkey * 13) % 900 + 40 + o_orderkey % 300 AS e FROM orders),
- cd AS (SELECT o.o_custkey AS file, l.l_orderkey * 10 + l.l_linenumber AS cond, (l.l_partkey * 7) % 1000 AS s, (l.l_partkey * 7) % 1000 + l.l_linenumber AS e FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_linenumber < 3)"""
+ cd AS (SELECT o.o_custkey AS file, l.l_orderkey * 10 + l.l_linenumber AS cond, (l.l_partkey * 7) % 1000 AS s, (l.l_partkey * 7) % 1000 + l.l_linenumber AS e FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)"""
 
 
 def spans(spark, sf_dir):
@@ -19,7 +19,7 @@ def spans(spark, sf_dir):
     s = F.col("o_orderkey") * 13 % 900
     fn = o.select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("fn"), s.alias("start"), (s + 40 + F.col("o_orderkey") % 300).alias("end"))
     t = F.col("l_partkey") * 7 % 1000
-    cond = li.where("l_linenumber < 3").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("file"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("cond"), t.alias("start"), (t + F.col("l_linenumber")).alias("end"))
+    cond = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("file"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("cond"), t.alias("start"), (t + F.col("l_linenumber")).alias("end"))
     return fn, cond
 
 
@@ -62,11 +62,11 @@ def bound_positions(spark, sf_dir):
     return entities.bound_positions(f, a, "id").groupBy("field", "argument").agg(F.count("*").alias("n"))
 
 
-ALIAS = "al AS (SELECT DISTINCT 'f' || (c_nationkey % 5) AS scope, 'v' || (c_custkey % 40) AS l, 'v' || (c_custkey * 7 % 53) AS r FROM customer WHERE c_acctbal < 500)"
+ALIAS = "al AS (SELECT DISTINCT 'f' || (c_nationkey % 5) AS scope, 'v' || (c_custkey % 40) AS l, 'v' || (c_custkey * 7 % 53) AS r FROM customer)"
 
 
 def aliases(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_acctbal < 500")
+    c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     return c.select(F.concat(F.lit("f"), F.col("c_nationkey") % 5).alias("scope"), F.concat(F.lit("v"), k % 40).alias("left"), F.concat(F.lit("v"), k * 7 % 53).alias("right")).distinct()
 
@@ -79,12 +79,12 @@ def alias_clusters(spark, sf_dir):
     return entities.alias_clusters(aliases(spark, sf_dir))
 
 
-CALLS = "ca AS (SELECT DISTINCT 'f' || (l_suppkey * 3 % 97) AS a, 'f' || (l_partkey * 5 % 97) AS b FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 3), ga AS (SELECT 'f' || i AS n FROM range(97) t(i) WHERE i % 3 <> 0)"
+CALLS = "ca AS (SELECT DISTINCT 'f' || (l_suppkey * 3 % 97) AS a, 'f' || (l_partkey * 5 % 97) AS b FROM lineitem), ga AS (SELECT 'f' || i AS n FROM range(97) t(i) WHERE i % 3 <> 0)"
 
 
 @query(f"WITH RECURSIVE {CALLS}, s(name, depth) AS (SELECT unnest(['f1', 'f2']), 0 UNION SELECT ca.a, s.depth + 1 FROM s JOIN ca ON ca.b = s.name WHERE ca.a IN (SELECT n FROM ga) AND s.depth < 60) SELECT name, CAST(min(depth) AS INT) AS depth FROM s GROUP BY name")
 def wrapper_fixpoint(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_quantity < 3")
+    li = table(spark, sf_dir, "lineitem")
     calls = li.select(F.concat(F.lit("f"), F.col("l_suppkey") * 3 % 97).alias("caller"), F.concat(F.lit("f"), F.col("l_partkey") * 5 % 97).alias("callee")).distinct()
     gate = spark.range(97).where("id % 3 <> 0").select(F.concat(F.lit("f"), "id").alias("name"))
     return graph.fixpoint(spark.createDataFrame([("f1",), ("f2",)], "name string"), calls, gate)
@@ -143,12 +143,26 @@ def topk_score(spark, sf_dir):
     return out.select("doc_id", "source", "score", "rank")
 
 
-@query("SELECT kind, count(*) AS n FROM (SELECT CASE l_linenumber WHEN 1 THEN 'redirect' WHEN 2 THEN 'exception' WHEN 3 THEN 'status' WHEN 4 THEN 'abort' WHEN 5 THEN 'exit' ELSE NULL END AS kind FROM lineitem) GROUP BY kind")
+#: Statements for every rule of the classifier, with the kind that the survey's rules give.
+STATEMENTS = [
+    ("php", "die(mysql_error());", None), ("php", "header('Location: login.php'); exit;", "redirect"), ("php", "header('Location: index.php'); exit;", None),
+    ("php", "echo \"<meta http-equiv='refresh' content='0;url=signin.php'>\";", "redirect"), ("php", "http_response_code(403);", "http_denial"), ("php", "wp_redirect(auth_url());", "redirect"),
+    ("php", "die('Access denied');", "denial_output"), ("php", "throw new SecurityException('x');", "exception"), ("php", "exit;", None), ("php", "deny_now();", "configured_denial"),
+    ("java", "throw new SecurityException();", "exception"), ("java", "throw new IOException();", None), ("java", "System.exit(1); // login required", "execution_termination"),
+    ("java", "resp.sendError(HttpServletResponse.SC_FORBIDDEN);", "http_denial"), ("java", "resp.setStatus(401);", "http_denial"), ("java", "resp.sendRedirect(\"/login\");", "redirect"),
+    ("java", "resp.sendRedirect(\"/home\");", None), ("java", "rd.forward(req, resp); // forbidden", "redirect"), ("java", "return false;", None),
+    ("python", "raise PermissionDenied(\"no\")", "denial"), ("python", "raise ValueError('login')", "exception"), ("python", "abort(403)", "http_denial"), ("python", "return Response(status=401)", "http_denial"),
+    ("python", "return redirect('login')", "redirect"), ("python", "return redirect('home')", None), ("python", "sys.exit('forbidden')", "denial"),
+    ("go", "w.WriteHeader(http.StatusForbidden)", "http_denial"), ("go", "http.Redirect(w, r, \"/login\", 302)", "redirect"), ("go", "http.Redirect(w, r, \"/home\", 302)", None),
+    ("go", "c.AbortWithStatus(500)", "denial"), ("go", "http.Error(w, \"access denied\", 500)", "denial"), ("go", "return", None),
+]
+
+
+@query(f"SELECT p_partkey, [{', '.join('NULL' if k is None else repr(k) for _, _, k in STATEMENTS)}][p_partkey % {len(STATEMENTS)} + 1] AS kind FROM part")
 def termination_kinds(spark, sf_dir):
-    n = F.col("l_linenumber")
-    code = F.when(n == 1, 'response.sendRedirect("/login");').when(n == 2, 'raise PermissionDenied("no")').when(n == 3, 'http.Error(w, "no", 403)').when(n == 4, "abort(403)").when(n == 5, "die('no');").otherwise("x = 1")
-    language = F.when(n == 1, "java").when(n.isin(2, 4), "python").when(n == 3, "go").otherwise("php")
-    return table(spark, sf_dir, "lineitem").groupBy(names.termination_kind(language, code).alias("kind")).agg(F.count("*").alias("n"))
+    at = (F.col("p_partkey") % len(STATEMENTS) + 1).cast("int")
+    pick = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in STATEMENTS]), at)
+    return table(spark, sf_dir, "part").select("p_partkey", names.termination_kind(pick(0), pick(1), configured=(r"deny_now\(",)).alias("kind"))
 
 
 @query("SELECT s_suppkey, 'supplier#' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS name, substr(sha256(s_name), 1, 12) AS digest, CASE s_suppkey % 3 WHEN 0 THEN 'role' WHEN 1 THEN 'request.user.role' ELSE '_session[''id'']' END AS key FROM supplier")
@@ -158,11 +172,11 @@ def name_keys(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", names.normalized_name(F.col("s_name")).alias("name"), names.digest(F.col("s_name")).alias("digest"), names.semantic_key(raw).alias("key"))
 
 
-@query("""WITH RECURSIVE a AS (SELECT 'f' || (l_suppkey % 90) AS c, l_linenumber % 3 AS cp, 'f' || (l_partkey % 90) AS d, (l_linenumber + 1) % 3 AS dp FROM lineitem WHERE l_quantity < 3),
+@query("""WITH RECURSIVE a AS (SELECT DISTINCT 'f' || (l_suppkey % 90) AS c, l_linenumber % 3 AS cp, 'f' || (l_partkey % 90) AS d, (l_linenumber + 1) % 3 AS dp FROM lineitem),
  s(f, p, r) AS (SELECT 'f' || n_nationkey, n_regionkey % 3, CASE WHEN n_regionkey = 0 THEN 'admin' ELSE 'editor' END FROM nation UNION SELECT d, dp, r FROM s JOIN a ON a.c = s.f AND a.cp = s.p)
  SELECT f AS function, CAST(p AS INT) AS pos, r AS role FROM s""")
 def role_flow(spark, sf_dir):
-    li, n = table(spark, sf_dir, "lineitem").where("l_quantity < 3"), table(spark, sf_dir, "nation")
+    li, n = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "nation")
     literals = n.select(F.concat(F.lit("F"), "n_nationkey").alias("function"), (F.col("n_regionkey") % 3).alias("pos"), F.when(F.col("n_regionkey") == 0, "admin").otherwise("editor").alias("role"))
     k = F.col("l_linenumber")
     args = li.select(F.concat(F.lit("f"), F.col("l_suppkey") % 90).alias("caller"), (k % 3).alias("caller_pos"), F.concat(F.lit("F"), F.col("l_partkey") % 90).alias("callee"), ((k + 1) % 3).alias("callee_pos"))

@@ -161,11 +161,11 @@ def closure(spark, sf_dir):
     return graph.closure(dependency(spark, sf_dir), starts)
 
 
-@query(f"""WITH RECURSIVE p AS (SELECT DISTINCT 's' || (l_suppkey * 7 % 50) AS a, 'p' || (l_partkey % 400) AS b FROM lineitem WHERE l_linenumber = 7 AND l_quantity > 45),
+@query(f"""WITH RECURSIVE p AS (SELECT DISTINCT 'c' || o_custkey AS a, 'o' || o_orderkey AS b FROM orders),
  e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r(x, y) AS (SELECT a, a FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a) SELECT x AS node, min(y) AS component FROM r GROUP BY x""")
 def components(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 7 AND l_quantity > 45")
-    return graph.components(li.select(F.concat(F.lit("s"), F.col("l_suppkey") * 7 % 50).alias("a"), F.concat(F.lit("p"), F.col("l_partkey") % 400).alias("b")).distinct())
+    o = table(spark, sf_dir, "orders")
+    return graph.components(o.select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("o"), "o_orderkey").alias("b")).distinct())
 
 
 LABELS = f"""{DEPENDENCY}, {HTTP},

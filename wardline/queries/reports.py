@@ -34,11 +34,11 @@ def findings_report(spark, sf_dir):
     return r.select("category", "page", *[F.array_join(c, ",").alias(c) for c in ("actors", "confidence", "evidence")], "requests")
 
 
-ATTEMPTS = "WITH a AS (SELECT l_orderkey AS item, l_linenumber AS attempt, l_discount < 0.08 AS syntax_ok, l_tax < 0.05 AS exploit_blocked, l_quantity > 10 AS regression_passed, l_discount < 0.08 AND l_tax < 0.05 AND l_quantity > 10 AS successful FROM lineitem WHERE l_linenumber <= 3)"
+ATTEMPTS = "WITH a AS (SELECT l_orderkey AS item, l_linenumber AS attempt, l_discount < 0.08 AS syntax_ok, l_tax < 0.05 AS exploit_blocked, l_quantity > 10 AS regression_passed, l_discount < 0.08 AND l_tax < 0.05 AND l_quantity > 10 AS successful FROM lineitem)"
 
 
 def attempts(spark, sf_dir):
-    a = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").selectExpr("l_orderkey AS item", "l_linenumber AS attempt", "l_discount < 0.08 AS syntax_ok", "l_tax < 0.05 AS exploit_blocked", "l_quantity > 10 AS regression_passed")
+    a = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS item", "l_linenumber AS attempt", "l_discount < 0.08 AS syntax_ok", "l_tax < 0.05 AS exploit_blocked", "l_quantity > 10 AS regression_passed")
     return a.withColumn("successful", F.expr("syntax_ok AND exploit_blocked AND regression_passed"))
 
 
@@ -148,7 +148,7 @@ def predicted_entities(spark, sf_dir):
 
 @query()
 def greedy_match(spark, sf_dir):
-    """Order decides, so there is no SQL; tests/test_evaluate.py holds it against a loop."""
+    """Order decides, so there is no SQL; tests/test_plans.py holds it against a loop."""
     c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
     e = evaluate.unique_expected(c.select(F.col("c_nationkey").alias("app"), F.concat(F.lit("user."), F.col("c_mktsegment")).alias("name"), F.col("c_custkey").alias("ord")), ["app"])
     p = c.where("c_custkey % 3 = 0").select(F.col("c_nationkey").alias("app"), F.lower("c_mktsegment").alias("name"), F.col("c_custkey").alias("ord")).dropDuplicates(["app", "name"]).withColumn("variants", names.name_variants(F.col("name")))

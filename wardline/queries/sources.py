@@ -44,11 +44,14 @@ def nested_routes(spark, sf_dir):
     return extract.nested_routes(part_files(spark, sf_dir, 'r.Route("/api", func(r R) { r.Route("/{id}", func(r R) { r.Get("/x@self", h.Get) }) })\nr.Post("/top", home) // r.Get("/no", x)\n', ".go"))
 
 
-@query("SELECT DISTINCT 'd' || (a.p_partkey % 5) || '/f' || a.p_partkey || '.go' AS \"from\", 'd' || ((a.p_partkey + 1) % 5) || '/f' || b.p_partkey || '.go' AS \"to\" FROM part a JOIN part b ON b.p_partkey % 5 = (a.p_partkey + 1) % 5 WHERE a.p_partkey <= 40 AND b.p_partkey <= 40")
+@query("SELECT 'd' || (a.p_partkey - a.p_partkey % 20) || '/f' || a.p_partkey || '.go' AS \"from\", 'd' || (b.p_partkey - b.p_partkey % 20) || '/f' || b.p_partkey || '.go' AS \"to\" FROM part a JOIN part b ON b.p_partkey - b.p_partkey % 20 = a.p_partkey - a.p_partkey % 20 + 20")
 def go_edges(spark, sf_dir):
-    files = part_files(spark, sf_dir, 'import (\n\t"fmt"\n\tx "example.com/app/@next"\n)\n', ".go").where(F.regexp_extract("path", r"f(\d+)", 1).cast("int") <= 40)
-    found = extract.go_imports(files).withColumn("target", F.regexp_replace("target", r"/f\d+$", ""))
-    return extract.package_edges(found, files)
+    """Folders of twenty files, each of which imports the next folder."""
+    k = F.col("p_partkey")
+    folder = lambda n: F.concat(F.lit("d"), n - n % 20)
+    code = F.concat(F.lit('import (\n\t"fmt"\n\tx "example.com/app/'), folder(k + 20), F.lit('"\n)\n'))
+    files = table(spark, sf_dir, "part").select(F.concat(folder(k), F.lit("/f"), k, F.lit(".go")).alias("path"), code.alias("code"))
+    return extract.package_edges(extract.go_imports(files), files)
 
 
 @query("SELECT 'd' || (p_partkey % 5) || '/f' || p_partkey || '.java' AS path, 'app/d' || ((p_partkey + 1) % 5) || '/f' || (p_partkey + 1) || '.java' AS target FROM part UNION ALL SELECT 'd' || (p_partkey % 5) || '/f' || p_partkey || '.java', '/head.jsp' FROM part")

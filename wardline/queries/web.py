@@ -44,13 +44,14 @@ def link_extract(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(links).alias("n_links"), F.array_join(links, " ").alias("links"))
 
 
-@query(r"""WITH x AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)\b(?:href|action|src)\s*=\s*["'']([^"'']+)["'']', 1)) AS t FROM pages)
- SELECT target, count(DISTINCT page_id) AS pages FROM (SELECT page_id, regexp_replace(regexp_replace(split_part(split_part(t, '#', 1), '?', 1), '^/+', ''), '/+', '/', 'g') AS target, t FROM x)
- WHERE t LIKE '/%' AND NOT regexp_matches(split_part(split_part(t, '#', 1), '?', 1), '[<>|*]') AND NOT regexp_matches(lower(target), '\.(css|js|jpe?g|png|gif|svg|ico|webp|pdf|zip|rar|7z|tar|gz|mp3|mp4|avi|woff2?|ttf|eot)$') AND regexp_replace(target, '^[./]+', '') <> '' AND regexp_replace(target, '^[./]+', '') = target GROUP BY target""")
+@query(r"""WITH x AS (SELECT page_id, trim(unnest(regexp_extract_all(html, '(?i)\b(?:href|action|formaction|src)\s*=\s*["'']([^"'']+)["'']', 1))) AS t FROM pages),
+ y AS (SELECT page_id, t, split_part(split_part(t, '#', 1), '?', 1) AS bare FROM x WHERE t <> '' AND NOT starts_with(t, '#') AND NOT regexp_matches(t, '(?i)^(https?://|mailto:|tel:|javascript:|data:)')),
+ z AS (SELECT page_id, regexp_replace(regexp_replace(bare, '/+', '/', 'g'), '^[./]+', '') AS target FROM y WHERE bare <> '' AND NOT regexp_matches(bare, '[<>|*]') AND NOT regexp_matches(lower(bare), '\.(css|js|jpe?g|png|gif|svg|ico|webp|pdf|zip|rar|7z|tar|gz|mp3|mp4|avi|woff2?|ttf|eot)$'))
+ SELECT CASE WHEN target = '' THEN './' ELSE target END AS target, count(DISTINCT page_id) AS pages FROM z GROUP BY 1""")
 def http_targets(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(html.http_targets(F.col("html"))).alias("t")).where("t LIKE '/%'")
+    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(html.http_targets(F.col("html"))).alias("t"))
     target = urls.link_target(F.col("t"), F.lit("index.php"))
-    return rows.withColumn("target", target).where(F.col("target").isNotNull() & (F.col("target") != "./")).groupBy("target").agg(F.count_distinct("page_id").alias("pages"))
+    return rows.withColumn("target", target).where(F.col("target").isNotNull()).groupBy("target").agg(F.count_distinct("page_id").alias("pages"))
 
 
 @query(r"SELECT page_id, md5(c) AS digest, CAST(length(c) AS INT) AS n FROM (SELECT page_id, substr(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', '', 'g'), '\s+', ' ', 'g'), 1, 200000) AS c FROM pages)")
@@ -64,7 +65,7 @@ def body_length(spark, sf_dir):
     return responses(spark, sf_dir).select("page_id", html.body_length(F.col("text")).alias("n"))
 
 
-ORACLE = cascade.Oracle(deny_markers=["Access denied", "not allowed"], public_pages=["^en/1"], authenticated_pages=["^fr/"], static_confirm=["^(en|de)/"], protected=[("^es/", "que")], write_redirects=["done$"])
+ORACLE = cascade.Oracle(login_markers=["login", "signin", "portal"], deny_markers=["Access denied", "not allowed"], public_pages=["^en/1"], authenticated_pages=["^fr/"], static_confirm=["^(en|de)/"], protected=[("^es/", "que")], write_redirects=["done$"])
 
 
 @query(rf"WITH {RESPONSES} SELECT page_id, array_to_string(evidence, ' | ') AS evidence FROM e")

@@ -152,20 +152,41 @@ def servlet_routes(web_xml: DataFrame) -> DataFrame:
     return mapped.join(servlets, ["path", "servlet"]).select("path", F.regexp_replace("url", "^/+", "").alias("url"), "class")
 
 
-#: Source literals that speak of a denial.
-DENIAL_PATTERNS = (
-    r"(?i)(?:die|exit|echo|print)\s*\(?\s*\"([^\"]{3,200})\"",
-    r"(?i)(?:raise\s+\w+|abort)\s*\([^\"]*\"([^\"]{3,200})\"",
-    r"(?i)(?:sendError|http\.Error)\s*\([^\"]*\"([^\"]{3,200})\"",
-    r"(?i)alert\s*\(\s*'([^']{3,200})'",
+#: Literals that speak of a denial by their text, and keys that name one.
+DENIAL_WORDS = (
+    r"(?i)(?:do not have permission|don't have permission|do not have access|don't have access|must be logged in|not logged in|please enter your username and password|"
+    r"invalid administration session|username and password combination|access denied|not authorized|permission denied|no permission|forbidden|login failed|email or password|username or password|"
+    r"direct initialization of this file is not allowed|hacking attempt|you are not authorized|bad referer|invalid username or password|你没有权限|没有权限|无权访问|未授权|请登录|需要登录|登录失败|用户名或密码)"
 )
-DENIAL_WORDS = r"(?i)(denied|permission|not allowed|forbidden|unauthori[sz]ed|log ?in|access|must be|only admin)"
+#: A literal between quotes of one kind; one that ends a program may hold the other kind.
+_LITERAL = r"([\"'])([^\"']{3,240})\1"
+_ENDING = r"(?is)(?:\b(?:die|exit)\s*\(\s*|\becho\s+)([\"'])((?:(?!\1).)*)\1"
 
 
 def denial_markers(sources: DataFrame) -> DataFrame:
     """(marker, folded): literals of (path, code) that announce a denial, one for each folded text, the first by path and place."""
     from ..functions.html import denial_message
 
-    found = F.concat(*[F.regexp_extract_all("code", F.lit(p), F.lit(1)) for p in DENIAL_PATTERNS])
+    found = F.concat(*[F.regexp_extract_all("code", F.lit(p), F.lit(2)) for p in (_ENDING, f"(?s){_LITERAL}")])
     rows = sources.select("path", F.posexplode(found).alias("pos", "raw")).withColumn("marker", denial_message(F.col("raw"))).where(F.rlike("marker", F.lit(DENIAL_WORDS)))
     return rows.groupBy(F.lower("marker").alias("folded")).agg(F.min_by("marker", F.struct("path", "pos")).alias("marker"))
+
+
+def schema_fields(dumps: DataFrame) -> DataFrame:
+    """(path, table, field, enum_values) of the CREATE TABLE statements of SQL texts (path, code): one row for each quoted column."""
+    table = r"(?is)create\s+table\s+(?:if\s+not\s+exists\s+)?[`\"]?([A-Za-z_]\w*)[`\"]?\s*\((.*?)\)\s*(?:engine|;)"
+    each = dumps.select("path", F.explode(F.regexp_extract_all("code", F.lit(table), F.lit(0))).alias("b"))
+    lines = each.select("path", F.regexp_extract("b", table, 1).alias("table"), F.explode(F.split(F.regexp_extract("b", table, 2), r"\r?\n")).alias("line"))
+    column = r"(?i)^\s*[`\"]([A-Za-z_]\w*)[`\"]\s+(.+)$"
+    field, definition = F.regexp_extract("line", column, 1), F.regexp_extract("line", column, 2)
+    enums = F.regexp_extract_all(F.regexp_extract(definition, r"(?is)\benum\s*\((.*?)\)", 1), F.lit(r"'((?:\\'|[^'])*)'"), F.lit(1))
+    return lines.where(field != "").select("path", "table", field.alias("field"), enums.alias("enum_values"))
+
+
+def safe_path(relative):
+    """A relative path with its dot segments taken out; null where it leads out of the root, is absolute or empty."""
+    parts = F.filter(F.split(F.replace(relative, F.lit("\\"), F.lit("/")), "/"), lambda x: ~x.isin("", "."))
+    start = F.struct(F.expr("CAST(array() AS array<string>)").alias("kept"), F.lit(True).alias("inside"))
+    step = lambda a, x: F.struct(F.when(x == "..", F.slice(a["kept"], 1, F.greatest(F.size(a["kept"]) - 1, F.lit(0)))).otherwise(F.concat(a["kept"], F.array(x))).alias("kept"), (a["inside"] & ~((x == "..") & (F.size(a["kept"]) == 0))).alias("inside"))
+    walked = F.aggregate(parts, start, step)
+    return F.when(walked["inside"] & (F.size(walked["kept"]) > 0) & ~F.startswith(relative, F.lit("/")), F.array_join(walked["kept"], "/"))

@@ -53,7 +53,7 @@ def go_imports(sources: DataFrame) -> DataFrame:
 
 def resolved_edges(found: DataFrame, files: DataFrame) -> DataFrame:
     """(from, to) of relative targets: beside the file first, then from the root. ``files`` has path."""
-    rows = found.select(F.monotonically_increasing_id().alias("id"), "path", F.array(normalised(F.concat(folder(F.col("path")), "target")), normalised(F.col("target"))).alias("candidates"))
+    rows = found.distinct().select(F.struct("path", "target").alias("id"), "path", F.array(normalised(F.concat(folder(F.col("path")), "target")), normalised(F.col("target"))).alias("candidates"))
     known = files.select(F.col("path").alias("spelling"), F.col("path").alias("to"))
     return first_match(rows, known, "id", "candidates", "to").where("`to` IS NOT NULL").select(F.col("path").alias("from"), "to").distinct()
 
@@ -99,7 +99,7 @@ def _python_facts(path: str, code: str) -> list[tuple[str, str, str, str]]:
     """(path, kind, name, value): imports as candidate files, routes with their handlers; nothing of a file that does not parse."""
     try:
         tree = ast.parse(code)
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
     package = path.split("/")[:-1]
     out = []
