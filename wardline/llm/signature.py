@@ -33,8 +33,8 @@ from .common import connected_components, discard, maybe_in, mix, not_in, runs,
 
 #: Slots of the table of frequent shingles, and the most that are entered; least count in a batch.
 FREQUENT_SLOTS, FREQUENT_MOST, OFTEN = 1 << 22, 1 << 18, 2
-#: Shingles and sets in one part of a block; sets in a chunk of step 5.
-PART_SHINGLES, PART_SETS, CHUNK = 60_000, 256, 1024
+#: Shingles and sets in one part of a block; sets and shingles in a chunk of step 5.
+PART_SHINGLES, PART_SETS, CHUNK, CHUNK_SHINGLES = 60_000, 256, 1024, 1_000_000
 #: Bits for each shingle of the part's largest set, at most so many; sets in a leaf; children of a node.
 BITS_EACH, BITS_MOST, LEAF, FAN = 4, 1 << 16, 8, 4
 
@@ -172,7 +172,6 @@ class SignatureTree(Signatures):
         self.up = list(range(len(sets)))
         self.links: list[tuple[int, int]] = []
         self.compared = 0
-        self.hashed: dict[int, frozenset] = {}
 
     # union-find
 
@@ -191,10 +190,9 @@ class SignatureTree(Signatures):
         if not self.may_link(i, j):
             return False
         self.compared += 1
-        for k in (i, j):
-            if k not in self.hashed:
-                self.hashed[k] = frozenset(self.sets[k].tolist())
-        return self._enough(len(self.hashed[i] & self.hashed[j]), self.sizes[i] + self.sizes[j])
+        a, b = sorted((self.sets[i], self.sets[j]), key=len)
+        at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+        return self._enough(int(np.count_nonzero(b[at] == a)), self.sizes[i] + self.sizes[j])
 
     def _connected(self, node: Node) -> int:
         """The component of all sets below, or -1. Sets once connected stay so, so the answer is kept."""
@@ -406,15 +404,17 @@ def _links(placed: DataFrame, bits: DataFrame, src: DataFrame, k: int, num: int,
 
 def _across(held: DataFrame, comps: DataFrame) -> DataFrame:
     """Parts that bring together every two members of a leader's block that are in different components."""
-    seen = stored(held.join(comps, held.rep == comps.node, "left").select("block", "rep", F.coalesce("component", "rep").alias("component")), "seen")
-    counts = seen.groupBy("block", "component").agg(F.count("*").alias("n"))
-    of = counts.groupBy("block").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all")).where("all > m.n")
-    size = lambda c: F.ceil(c / CHUNK).cast("long")
-    grid = stored(of.select("block", "all", F.col("m.component").alias("main"), size(F.col("m.n")).alias("gm"), size(F.col("all") - F.col("m.n")).alias("go")), "grid")
+    seen = stored(held.join(comps, held.rep == comps.node, "left").select("block", "rep", "n", F.coalesce("component", "rep").alias("component")), "seen")
+    counts = seen.groupBy("block", "component").agg(F.count("*").alias("n"), F.sum("n").alias("s"))
+    of = counts.groupBy("block").agg(F.max(F.struct("n", "component", "s")).alias("m"), F.sum("n").alias("all"), F.sum("s").alias("long")).where("all > m.n")
+    size = lambda c, s: F.ceil(F.greatest(c / CHUNK, s / CHUNK_SHINGLES)).cast("long")
+    main, others = size(F.col("m.n"), F.col("m.s")), size(F.col("all") - F.col("m.n"), F.col("long") - F.col("m.s"))
+    few = (F.col("all") <= CHUNK) & (F.col("long") <= CHUNK_SHINGLES)
+    grid = stored(of.select("block", few.alias("few"), F.col("m.component").alias("main"), main.alias("gm"), others.alias("go")), "grid")
     j = seen.join(grid, "block").withColumn("h", F.xxhash64("rep"))
     # most blocks are small: one part
-    small = j.where(F.col("all") <= CHUNK).select("block", F.lit(0).cast("long").alias("part"), F.lit(2).alias("side"), "component", "rep")
-    j = j.where(F.col("all") > CHUNK)
+    small = j.where("few").select("block", F.lit(0).cast("long").alias("part"), F.lit(2).alias("side"), "component", "rep")
+    j = j.where("NOT few")
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("x")
     cell = lambda i, o: (i * F.col("go") + o).alias("part")
     i, o = F.pmod("h", "gm"), F.pmod("h", "go")
