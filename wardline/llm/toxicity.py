@@ -1,7 +1,8 @@
 """Toxicity scores: gradient-boosted trees over dense features of the text, calibrated by isotonic regression.
 
 Lexicon and trees are learned from a bounded sample of labelled rows (``TRAIN_ROWS``, those of smallest hash); words
-and five-letter stems enter the lexicon by their log odds, since insults come inflected. Scoring is one narrow pass
+and five-letter stems enter the lexicon by their log odds, since insults come inflected. Trees and calibration learn
+from features whose lexicon has not seen the row's fold, as it has not seen a new text. Scoring is one narrow pass
 over all whole texts with the model, a few hundred kB, in the closure.
 
 Defined results: a null text scores as an empty one; null labels are not learned from; without a row of each label
@@ -25,6 +26,7 @@ from .common import stored, table
 
 TRAIN_ROWS = 20_000
 LEXICON_TERMS = 1500
+FOLDS = 4
 STEM = 5
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
@@ -162,13 +164,13 @@ class Model:
     def matrix(self, texts: list[str]) -> np.ndarray:
         return np.array([features(t, self.words, self.stems) for t in texts], np.float64).reshape(len(texts), len(NAMES))
 
-    def fit(self, x: np.ndarray, y: np.ndarray, folds: int = 4) -> Model:
+    def fit(self, x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Model:
+        """Features by a lexicon of the other folds, labels and folds of the rows."""
         self.flat = float(y.mean()) if len(y) else 0.0
-        if len(y) < 4 * folds or not 0 < y.sum() < len(y):
+        if len(y) < 4 * FOLDS or not 0 < y.sum() < len(y):
             return self
-        fold = np.arange(len(y)) % folds
         out = np.zeros(len(y))
-        for k in range(folds):
+        for k in np.unique(fold):
             some = y[fold != k]
             if not 0 < some.sum() < len(some):
                 return self
@@ -190,13 +192,29 @@ class Model:
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
     for b in batches:
-        for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for text, y, fold in zip(*(c.to_pylist() for c in b.columns), strict=True):
             words = {w for w in _WORD.findall(text.lower()) if len(w) > 2}
-            seen.update(("w", w, y) for w in words)
-            seen.update(("s", s, y) for s in {w[:STEM] for w in words if len(w) >= STEM})
-    rows = [(k, t, n if y else 0, 0 if y else n) for (k, t, y), n in seen.items()]
+            seen.update(("w", w, y, fold) for w in words)
+            seen.update(("s", s, y, fold) for s in {w[:STEM] for w in words if len(w) >= STEM})
+    rows = [(*key, n) for key, n in seen.items()]
     if rows:
-        yield pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], ["kind", "term", "pos", "neg"])
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TERM, strict=True)], ["kind", "term", "y", "fold", "n"])
+
+
+_TERM = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64()]
+
+
+def _lexicon(terms: DataFrame, rows: dict[int, tuple[int, int]], left_out: int | None = None) -> tuple[frozenset, frozenset]:
+    """Words and stems that tell label 1, counted outside one fold; ``rows`` has the rows of each label by fold."""
+    use = [k for k in range(FOLDS) if k != left_out]
+    neg, pos = (sum(rows.get(k, (0, 0))[y] for k in use) for y in (0, 1))
+    if not (pos and neg):
+        return frozenset(), frozenset()
+    n = [sum((F.col(f"n{y}{k}") for k in use), F.lit(0)) for y in (0, 1)]
+    odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
+    some = terms.select("kind", "term", n[0].alias("neg"), n[1].alias("pos")).where(F.col("pos") >= max(3, pos // 300)).withColumn("odds", odds)
+    top = some.where("odds > 1.8").orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "kind", "term").limit(LEXICON_TERMS).collect()
+    return frozenset(r["term"] for r in top if r["kind"] == "w"), frozenset(r["term"] for r in top if r["kind"] == "s")
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -207,22 +225,23 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     some = docs.select(docs[id_col].alias("id"), text.alias("text")).join(F.broadcast(sample), "id").select("text", "y", F.xxhash64("text").alias("h"))
     # ``rows`` bounds the sample and so this broadcast; copies of a text teach once
-    some = stored(some.groupBy("h").agg(F.first("text").alias("text"), F.max("y").alias("y")), "train")
-    n = some.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("pos"), F.count("*").alias("n")).first()
-    pos, neg = n["pos"], n["n"] - n["pos"]
-    odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
-    terms = some.select("text", "y").mapInArrow(_terms, "kind string, term string, pos long, neg long").groupBy("kind", "term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    top = terms.where(F.col("pos") >= max(3, pos // 300)).withColumn("odds", odds).where("odds > 1.8").orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "kind", "term").limit(LEXICON_TERMS).collect() if pos and neg else []
-    model = Model(frozenset(r["term"] for r in top if r["kind"] == "w"), frozenset(r["term"] for r in top if r["kind"] == "s"))
+    some = some.groupBy("h").agg(F.first("text").alias("text"), F.max("y").alias("y"))
+    some = stored(some.withColumn("fold", F.pmod("h", F.lit(FOLDS)).cast("int")), "train")
+    rows_of = {r["fold"]: (r["neg"], r["pos"]) for r in some.groupBy("fold").agg(F.sum(1 - F.col("y")).alias("neg"), F.sum("y").alias("pos")).collect()}
+    found = some.select("text", "y", "fold").mapInArrow(_terms, "kind string, term string, y int, fold int, n long")
+    counts = [F.coalesce(F.sum(F.when((F.col("y") == y) & (F.col("fold") == k), F.col("n"))), F.lit(0)).alias(f"n{y}{k}") for y in (0, 1) for k in range(FOLDS)]
+    terms = stored(found.groupBy("kind", "term").agg(*counts).where(sum((F.col(f"n1{k}") for k in range(FOLDS)), F.lit(0)) >= 3), "terms")
+    by_fold = [_lexicon(terms, rows_of, k) for k in range(FOLDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column(0), b.column(2), pa.array(list(model.matrix(b.column(1).to_pylist())), pa.list_(pa.float64()))], ["h", "y", "x"])
+            x = [features(t, *by_fold[k]) for t, k in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.record_batch([b.column(0), b.column(2), b.column(3), pa.array(x, pa.list_(pa.float64()))], ["h", "y", "fold", "x"])
 
-    got = some.select("h", "text", "y").mapInArrow(run, "h long, y int, x array<double>").toArrow().sort_by("h")
+    got = some.select("h", "text", "y", "fold").mapInArrow(run, "h long, y int, fold int, x array<double>").toArrow().sort_by("h")
     y = got["y"].to_numpy().astype(np.float64)
     x = np.array(got["x"].combine_chunks().flatten() if len(y) else [], np.float64).reshape(len(y), len(NAMES))
-    return model.fit(x, y)
+    return Model(*_lexicon(terms, rows_of)).fit(x, y, got["fold"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
