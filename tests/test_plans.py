@@ -189,3 +189,26 @@ def test_streamed_matrix(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.page, r.admin, r.user, r.visitor) for r in spark.table("kinds").collect()} == {(f"p{i}", 1, 1, 0) for i in range(3)}
+
+
+def test_roles_flow_by_name_and_arity(spark):
+    methods = spark.createDataFrame(
+        [("Check", ["role"]), ("check", ["role", "page"]), ("need", ["page", "who"]), ("main", []), (None, ["x"]), ("check", ["role"])],
+        "name string, parameters array<string>",
+    )
+    calls = spark.createDataFrame(
+        [
+            ("main", 0, "need", ["p", " 'admin' "]),
+            ("need", 2, "CHECK", ["who"]),
+            ("need", 2, "check", ["page", "who", "more"]),
+            ("main", 0, "check", ['"editor"', "p"]),
+            ("main", 0, "check", None),
+            (None, 0, "check", ["''"]),
+        ],
+        "caller string, caller_arity int, callee string, arguments array<string>",
+    )
+    literals, arguments = entities.call_flow(calls, methods)
+    assert sorted(map(tuple, arguments.collect())) == [("need/2", 1, "check/1", 0)]
+    got = sorted(map(tuple, entities.role_flow(literals, arguments).collect()))
+    assert got == [("check/1", 0, "admin"), ("check/2", 0, "editor"), ("need/2", 1, "admin")]
+    assert entities.role_flow(*entities.call_flow(calls.limit(0), methods)).count() == 0

@@ -123,6 +123,23 @@ def role_flow(literals: DataFrame, arguments: DataFrame) -> DataFrame:
     return out.select(F.substring_index("node", "\x01", 1).alias("function"), F.substring_index("node", "\x01", -1).cast("int").alias("pos"), F.col("label").alias("role"))
 
 
+def call_flow(calls: DataFrame, methods: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The inputs of ``role_flow`` from calls (caller, caller_arity, callee, arguments) and methods (name, parameters).
+
+    A call meets the methods of its callee's lower-cased name and number of arguments, place by place; functions are named
+    name/arity, so that overloads stay apart. A quoted argument is a literal, one equal to a parameter of the caller is handed
+    on, any other is neither. Null names or lists meet nothing; repeated rows count once."""
+    key = lambda name, arity: F.concat(F.lower(name), F.lit("/"), arity.cast("string"))
+    known = methods.select(key(F.col("name"), F.size("parameters")).alias("callee"), F.posexplode("parameters").alias("callee_pos", "parameter")).distinct()
+    of = calls.select(key(F.col("caller"), F.col("caller_arity")).alias("caller"), key(F.col("callee"), F.size("arguments")).alias("callee"), F.posexplode("arguments").alias("callee_pos", "argument"))
+    met = of.join(known.select("callee", "callee_pos"), ["callee", "callee_pos"], "left_semi")
+    role = F.regexp_extract(F.trim("argument"), r"""^(["'])(.*)\1$""", 2)
+    literals = met.select(F.col("callee").alias("function"), F.col("callee_pos").alias("pos"), role.alias("role")).where("role <> ''").distinct()
+    own = known.select(F.col("callee").alias("caller"), F.col("callee_pos").alias("caller_pos"), F.col("parameter").alias("argument"))
+    handed = met.withColumn("argument", F.trim("argument")).join(own, ["caller", "argument"])
+    return literals, handed.select("caller", "caller_pos", "callee", "callee_pos").distinct()
+
+
 def state_key(expression):
     """The key of a session or cookie expression whatever its quotes and spaces; null for others."""
     key = F.regexp_extract(expression, r"(?i)^\s*\$_(session|cookie)\s*\[\s*[\"']?(\w+)[\"']?\s*\]", 2)
