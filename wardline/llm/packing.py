@@ -92,8 +92,6 @@ class PieceEncoder:
     or an apostrophe, or with what may be a special string, is left whole to the full tokenizer.
     """
 
-    _made: dict[str, PieceEncoder] = {}
-
     def __init__(self, path: str):
         import os
 
@@ -101,18 +99,10 @@ class PieceEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = None
+        self.plain = Tokenizer(self.full.model)
         self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known = Known()
 
-    @classmethod
-    def of(cls, path: str) -> PieceEncoder:
-        """One for each worker process, kept between tasks."""
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
-
     def _pieces(self, data: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """First byte, end and wholeness of each piece, and pieces before each word (and after the last)."""
         kind = _CLASS[data]
@@ -187,7 +177,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     """(id, start, length, ids_crc32, doc_tokens): every document's ids and the end id, cut at multiples of ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder.of(tokenizer)
+        encoder = PieceEncoder(tokenizer)  # of this task: workers outlive it, and should not hold what it learned
         end = np.array([end_id], "<u4")
         for b in batches:
             buf, offsets = text_buffer(b.column(1))

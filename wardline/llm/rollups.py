@@ -174,7 +174,7 @@ def token_counts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Dat
     src = docs.select(*[docs[f"`{c}`"] for c in rest], docs[f"`{text_col}`"].cast("string").alias(text_col))
 
     def run(batches):
-        encoder = PieceEncoder.of(tokenizer)
+        encoder = PieceEncoder(tokenizer)
         for b in batches:
             buf, offsets = text_buffer(b.column(len(rest)))
             n = np.fromiter((len(ids) for ids in encoder.encode(buf, offsets)), np.int64, b.num_rows)
