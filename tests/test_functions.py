@@ -73,3 +73,18 @@ def test_names(spark):
     assert one(spark, names.json_of_answer(F.lit("none"))) is None
     assert one(spark, names.rendered(F.lit("{{a}}-{{b}}"), F.create_map(F.lit("a"), F.lit("1")))) == "1-{{b}}"
     assert one(spark, names.synthetic_value(F.lit("Email"), F.lit("text"))).endswith("@example.com")
+
+
+def test_servlet_routes_by_annotation(spark):
+    """Attributes other than the patterns give no route; files without code or of another language have none."""
+    from wardline.sources import extract
+
+    code = (
+        '@WebServlet("/one/{id}")\npublic final class A {}\n'
+        '@WebServlet(value="/two", loadOnStartup = 1, initParams = {@WebInitParam(name="k", value="/no")})\n@MultipartConfig\npublic class B {}\n'
+        '@WebServlet(name = "x", urlPatterns = {"/three", "/four"}) class C {}'
+    )
+    files = spark.createDataFrame([("a.java", code), ("b.java", None), ("c.php", '@WebServlet("/no") class D')], "path string, code string")
+    found = {tuple(r) for r in extract.routes(files).collect()}
+    assert found == {("a.java", "one/p1", "A"), ("a.java", "two", "B"), ("a.java", "three", "C"), ("a.java", "four", "C")}
+    assert extract.routes(files.limit(0)).count() == 0

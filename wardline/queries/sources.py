@@ -64,3 +64,13 @@ def java_imports(spark, sf_dir):
 def sql_predicates(spark, sf_dir):
     sql = "SELECT * FROM `users` u WHERE u.role = ? AND x = 3 AND owner_id = %s"
     return extract.sql_predicates(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit(sql).alias("sql")))
+
+
+@query("SELECT 'd' || (p_partkey % 5) || '/f' || p_partkey || e.x AS path, e.url || p_partkey AS url, e.handler AS handler FROM part, (VALUES ('.py', 'item/p1/', 'show'), ('.go', 'api/x', 'h.Get'), ('.java', 'shop/', 'Shop'), ('.java', 'store/', 'Shop')) e(x, url, handler)")
+def source_routes(spark, sf_dir):
+    """Routes of files in three languages, and of PHP files, which have none."""
+    python = part_files(spark, sf_dir, "@app.route('/item/<int:n>/@self')\ndef show(n):\n    return n\n", ".py")
+    go = part_files(spark, sf_dir, 'r.Route("/api", func(r R) { r.GET("/x@self", h.Get) })\n', ".go")
+    java = part_files(spark, sf_dir, '@WebServlet(name = "s", urlPatterns = {"/shop/@self", "/store/@self"})\npublic class Shop extends HttpServlet {}', ".java")
+    php = part_files(spark, sf_dir, "<?php // @app.route('/no')", ".php")
+    return extract.routes(python.union(go).union(java).union(php))

@@ -71,7 +71,7 @@ def nested_routes(sources: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
-        token = re.compile(r"\.(Route|Group|Mount)\s*\(\s*(?:\"([^\"]*)\")?|\.(Get|Post|Put|Patch|Delete|Handle|HandleFunc)\s*\(\s*\"([^\"]*)\"\s*,\s*([\w.]+)|[{}]|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|//[^\n]*")
+        token = re.compile(r"\.(Route|Group|Mount)\s*\(\s*(?:\"([^\"]*)\")?|\.(Get|Post|Put|Patch|Delete|GET|POST|PUT|PATCH|DELETE|Handle|HandleFunc)\s*\(\s*\"([^\"]*)\"\s*,\s*([\w.]+)|[{}]|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|//[^\n]*")
         for b in batches:
             rows = []
             for path, code in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -147,6 +147,22 @@ def python_routes(facts: DataFrame) -> DataFrame:
     return facts.where("kind <> 'import'").select("path", url.alias("url"), F.col("value").alias("handler"))
 
 
+def java_routes(sources: DataFrame) -> DataFrame:
+    """(path, url, handler) of servlets by annotation: each pattern of ``value`` or ``urlPatterns``, with the class below it."""
+    servlet = F.lit(r"@WebServlet\s*\(((?:[^()]|\([^()]*\))*)\)\s*(?:(?:@\w+(?:\([^()]*\))?|public|final|abstract)\s+)*class\s+(\w+)")
+    found = F.arrays_zip(F.regexp_extract_all("code", servlet, F.lit(1)).alias("given"), F.regexp_extract_all("code", servlet, F.lit(2)).alias("handler"))
+    rows = sources.select("path", F.explode(found).alias("x")).select("path", "x.given", "x.handler")
+    plain = F.regexp_replace("given", r"@\w+\s*\([^()]*\)", "")
+    patterns = F.regexp_replace(plain, r"\b(?!(?:value|urlPatterns)\b)\w+\s*=\s*(?:\"[^\"]*\"|\{[^}]*\}|\w+)", "")
+    return rows.select("path", F.explode(F.array_distinct(F.regexp_extract_all(patterns, F.lit(r"\"([^\"]*)\""), F.lit(1)))).alias("url"), "handler").withColumn("url", urls.brace_route(F.col("url")))
+
+
+def routes(sources: DataFrame) -> DataFrame:
+    """(path, url, handler) of a tree in several languages: each file by the rules of its extension; others have none."""
+    of = lambda ending: sources.where(F.lower("path").endswith(ending))
+    return python_routes(python_facts(of(".py"))).unionByName(nested_routes(of(".go"))).unionByName(java_routes(of(".java")))
+
+
 def sql_predicates(statements: DataFrame) -> DataFrame:
     """(id, pos, table, field) of the placeholders in WHERE clauses of SQL texts (id, sql), by place."""
     name = F.lower(F.regexp_extract("sql", r"(?i)\b(?:from|update|into)\s+[`\"]?(\w+)", 1))
