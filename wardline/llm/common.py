@@ -143,6 +143,8 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
 
 # ---------------------------------------------------------------- word kernel
 
+#: White space as the inside of a character class.
+WORD_CLASS = r"\x20\x09-\x0D"
 #: White space of the word pattern [^\x20\x09-\x0D]+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, html, media, mixing, packing, rollups, signature, substring, toxicity, warc
+from . import ann, dialogue, html, media, mixing, packing, periodic, rollups, signature, substring, toxicity, warc
 from .common import ready
 
 
@@ -29,6 +29,8 @@ _QUERIES = {
     "op8_mixing": mixing.op8_query,
     "op9_warc": warc.op9_query,
     "op10_token_counts": rollups.op10_query,
+    "op11_periodic_runs": periodic.op11_query,
+    "op13_conversation_repair": dialogue.op13_query,
     "rollup_word_counts": rollups.rollup_words_query,
 }
 
