@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, dialogue, html, media, mixing, packing, periodic, rollups, signature, substring, toxicity, warc
+from . import ann, dialogue, hmm, html, media, mixing, packing, periodic, rollups, signature, substring, toxicity, warc
 from .common import ready
 
 
@@ -30,6 +30,7 @@ _QUERIES = {
     "op9_warc": warc.op9_query,
     "op10_token_counts": rollups.op10_query,
     "op11_periodic_runs": periodic.op11_query,
+    "op12_hidden_markov": hmm.op12_query,
     "op13_conversation_repair": dialogue.op13_query,
     "rollup_word_counts": rollups.rollup_words_query,
 }
