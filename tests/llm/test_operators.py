@@ -265,6 +265,45 @@ def test_rollup_leaves_a_dead_batch(spark):
     assert [tuple(r) for r in state.totals().collect()] == [("a", "en", "v1", 1, 10)]
 
 
+def test_rollup_commit_appears_whole_or_not_at_all(spark):
+    """A writer stops between writing its commit and putting it in place, while another has looked and goes on."""
+    root = scratch(spark, "rollup")
+    e = spark.createDataFrame([(1, "a", "en", "v1", 10, "insert", 0)], EVENTS)
+    stopped, other = rollups.TokenRollup(spark, root), rollups.TokenRollup(spark, root)
+    publish, seen = stopped._publish, []
+
+    def between(aside, place):
+        seen.append((other.committed(), [r.docs for r in other.totals().collect()]))
+        raise InterruptedError
+
+    stopped._publish = between
+    with pytest.raises(InterruptedError):
+        stopped.apply("b", e)
+    assert seen == [([], [])] and other.committed() == []
+    assert other.apply("b", e) and not other.apply("b", e)
+    stopped._publish = publish
+    assert not stopped.apply("b", e)
+    assert [tuple(r) for r in stopped.totals().collect()] == [("a", "en", "v1", 1, 10)]
+    assert other.compact() and [tuple(r) for r in stopped.totals().collect()] == [("a", "en", "v1", 1, 10)]
+
+
+def test_rollup_numbers_are_given_once(spark):
+    """Of two renames to one number the first stays, also where both found it free."""
+    root = scratch(spark, "rollup")
+    one, two = rollups.TokenRollup(spark, root), rollups.TokenRollup(spark, root)
+    publish = two._publish
+
+    def late(aside, place):
+        assert one._create("commits", 1, "first", "x")
+        two._fs.rename(two._path(aside), two._path(place))
+
+    two._publish = late
+    assert not two._create("commits", 1, "second", "y")
+    two._publish = publish
+    assert not two._create("commits", 1, "third", "z") and two._create("commits", 2, "fourth", "z")
+    assert one.committed() == two.committed() == [(1, "x"), (2, "z")]
+
+
 def test_rollup_writers_at_once(spark):
     """Both work out their change from the empty state; the one that loses the number starts again."""
     root = scratch(spark, "rollup")

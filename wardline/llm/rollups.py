@@ -2,10 +2,11 @@
 
 A ``TokenRollup`` keeps append-only tables below one folder. An attempt to apply a batch writes the last count of each
 (document, tokenizer version) the batch touches, dealt into hash buckets, and the batch's change of the totals by source,
-language and version. It takes effect when the next numbered commit file is made, a create that fails if the number is
-taken; the file names the batch and the attempt. Who loses a number works out the change anew from the state then at
-hand, so that writers at the same time do not count a document twice. A batch that was committed is not applied again,
-and what a dead attempt left behind is never read. A batch reads the buckets that it touches only, and ``compact`` folds
+language and version. It takes effect when its commit, which names the attempt and the batch, is renamed to the next
+number, whole, unless the number is taken. Who loses a number works out the change anew from the state then at hand, so
+that writers at the same time do not count a document twice. A batch that was committed is not applied again, and what a
+dead attempt left behind, its commit included, is never read. The folder must lie where renaming a folder is one step
+(HDFS, a local or mounted disk; not a bare object store). A batch reads the buckets that it touches only, and ``compact`` folds
 all commits so far into one table of states and one of totals.
 
 Defined results: events of one batch on one document and version apply in ``seq`` order, the last alone counting (of
@@ -42,47 +43,62 @@ class TokenRollup:
         self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
         self._seen: dict[str, list[str]] = {}
 
-    # commit files
+    # commits: a numbered folder with one file, renamed into place whole
+
+    def _lines(self, path) -> list[str]:
+        source = self._fs.open(path)
+        try:
+            return bytes(source.readAllBytes()).decode().split("\n", 1)
+        finally:
+            source.close()
 
     def _records(self, kind: str) -> list[tuple[int, list[str]]]:
-        """(number, lines) of the numbered files of a kind, in order; a file is read once. One whose writer died before it
-        had filled it counts for nothing."""
+        """(number, lines) of the records of a kind, in order; each is read once."""
         at = self._path(kind)
         names = sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
         out = []
         for name in (n for n in names if n.isdigit()):
             key = f"{kind}/{name}"
-            if not self._seen.get(key):
-                source = self._fs.open(self._path(key))
-                try:
-                    self._seen[key] = bytes(source.readAllBytes()).decode().split("\n", 1)
-                finally:
-                    source.close()
+            if key not in self._seen:
+                self._seen[key] = self._lines(self._path(f"{key}/record"))
             out.append((int(name), self._seen[key]))
         return out
 
     def _create(self, kind: str, number: int, *lines: str) -> bool:
-        """Make a numbered file; False if there is one. The file system's create without overwriting decides."""
-        path = self._path(f"{kind}/{number:012d}")
-        try:
-            out = self._fs.create(path, False)
-        except Py4JJavaError:
-            if self._fs.exists(path):
-                return False
-            raise
+        """Make a numbered record; False if there is one. It is written aside and its folder renamed: a rename onto a folder
+        that is there replaces nothing (the file system refuses, or moves it below), so that the first one stays, whole from
+        the start. Whose record it is tells the first line, which no other attempt has."""
+        aside, place = f"pending/{uuid.uuid4().hex}", f"{kind}/{number:012d}"
+        self._fs.mkdirs(self._path(aside))
+        self._fs.mkdirs(self._path(kind))
+        out = self._fs.create(self._path(f"{aside}/record"), False)
         out.write(bytearray("\n".join(lines).encode()))
         out.close()
-        return True
+        self._publish(aside, place)
+        won = self._lines(self._path(f"{place}/record"))[0] == lines[0]
+        if not won:
+            for left in (aside, f"{place}/{aside.rsplit('/', 1)[1]}"):
+                self._fs.delete(self._path(left), True)
+        return won
+
+    def _publish(self, aside: str, place: str) -> None:
+        if self._fs.exists(self._path(place)):
+            return
+        try:
+            self._fs.rename(self._path(aside), self._path(place))
+        except Py4JJavaError:
+            if not self._fs.exists(self._path(place)):
+                raise
 
     def committed(self) -> list[tuple[int, str]]:
         """(number, id) of the batches in effect, in order."""
-        return [(n, lines[1]) for n, lines in self._records("commits") if len(lines) == 2]
+        return [(n, lines[1]) for n, lines in self._records("commits")]
 
     def _since(self) -> tuple[int, str | None, list[str]]:
         """Number and folder of the newest compaction, and the attempts committed after it."""
-        done = [(n, lines[0]) for n, lines in self._records("compactions") if lines[0]]
+        done = [(n, lines[0]) for n, lines in self._records("compactions")]
         base, folder = done[-1] if done else (0, None)
-        return base, folder, [lines[0] for n, lines in self._records("commits") if n > base and len(lines) == 2]
+        return base, folder, [lines[0] for n, lines in self._records("commits") if n > base]
 
     def _read(self, what: str, schema: str) -> DataFrame:
         _, folder, attempts = self._since()
@@ -108,7 +124,7 @@ class TokenRollup:
         new = None
         while True:
             commits = self._records("commits")
-            if batch_id in {lines[1] for _, lines in commits if len(lines) == 2}:
+            if batch_id in {lines[1] for _, lines in commits}:
                 return False
             number = (commits[-1][0] if commits else 0) + 1
             new = self._last(events) if new is None else new
@@ -143,8 +159,6 @@ class TokenRollup:
         """Fold all commits so far into one table of the documents that live and one of totals; False if there is nothing
         new or another writer has done so. Older tables stay for readers that began before."""
         base, _, attempts = self._since()
-        if any(len(lines) != 2 for _, lines in self._records("commits")):
-            return False  # a commit file that is being filled, or whose writer died in between
         number = max([n for n, _ in self.committed()], default=0)
         if number <= base or not attempts:
             return False
