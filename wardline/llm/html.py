@@ -43,29 +43,44 @@ _RAW = frozenset("script style noscript textarea iframe".split())
 _CLOSED_RAW = frozenset("template select svg object canvas".split())
 #: Start tags that end an open element of the first kind, up to the second.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
-#: Elements of what surrounds an article, and words of classes, ids and roles that name it: such as speak for themselves,
-#: and such as an article's own parts may have too.
+#: Elements of what surrounds an article, and words of classes, ids and roles that name it outside an article: such as
+#: speak for themselves, and such as an article's own parts may have too.
 _ASIDE_TAGS = frozenset("nav aside footer form head button dialog menu script style noscript template iframe select".split())
 _ASIDE_WORDS = frozenset(
     "ad ads adv advert advertisement adverts advertising sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar "
     "comment comments reply replies disqus cookie cookies consent gdpr popup modal overlay subscribe newsletter signup login share sharing recommended recommendations widget pagination pager".split()
 )
 _DOUBTFUL_WORDS = frozenset("banner promotion side foot header discussion notice notification alert social related form search skip copyright legal".split())
+#: Inside an article only names made of these words alone speak for themselves, with plain words of layout.
+_FOREIGN_WORDS = frozenset("ad ads adv advert advertisement adverts advertising sponsor sponsored promo comment comments disqus replies cookie cookies consent gdpr popup modal overlay subscribe newsletter signup login".split())
+_LAYOUT_WORDS = frozenset("area bar block body box card container content form group holder inner item items list outer panel row section slot stack thread top bottom unit wrap wrapper zone user reader".split())
+#: Of parts named by these, a few words make a notice; of other doubtful parts, words that form no sentence a label.
+_NOTICE_WORDS = frozenset("notice notification banner alert promotion social form search skip copyright legal".split())
+#: What a container begins or ends with under one of these names is not of it.
+_EDGE_WORDS = frozenset("nav navbar navigation breadcrumb breadcrumbs sidebar aside footer foot masthead topbar toolbar side header banner".split())
+_FEW = 12
+_SENTENCE = re.compile(r"[.!?\u2026\u3002\uff01\uff1f:;]")
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Element:
-    """``doubt``: named by a doubtful word inside an article; ``link``: in an anchor; ``article``: in an article or main."""
-
-    __slots__ = ("article", "doubt", "link", "linked", "number", "parent", "path", "size", "skip", "tag", "words")
-
-    def __init__(self, tag: str, parent: Element | None, number: int, path: int, skip: bool):
-        self.tag, self.parent, self.number, self.path, self.skip = tag, parent, number, path, skip
-        self.size = self.linked = self.words = 0
-        self.doubt = False
+    """``doubt``: what its name says inside an article, nothing, a doubt or a notice; ``around``: the block that a button
+    inside an article stands in; ``link``: in an anchor; ``article`` and ``main``: in an article, in one or in main. ``skip``
+    is for the whole part, by its parent's, its ``own`` or its names' word, ``named``, which holds where no article is;
+    ``edge``: named as a container's first or last part may be."""
+
+    __slots__ = ("around", "article", "doubt", "edge", "link", "linked", "main", "named", "number", "own", "parent", "path", "signs", "size", "skip", "tag", "words")
+
+    def __init__(self, tag: str, parent: Element | None, number: int, path: int):
+        self.tag, self.parent, self.number, self.path = tag, parent, number, path
+        self.size = self.linked = self.words = self.signs = self.doubt = 0
+        self.own = self.named = self.edge = False
+        self.skip = parent is not None and parent.skip
+        self.around: Element | None = None
         self.link = tag == "a" or parent is not None and parent.link
-        self.article = parent is not None and (parent.article or parent.tag in ("article", "main"))
+        self.main = parent is not None and (parent.main or parent.tag in ("article", "main"))
+        self.article = parent is not None and (parent.article or parent.tag == "article")
 
 
 class Page:
@@ -75,7 +90,7 @@ class Page:
     def __init__(self, source: str):
         self.steps: dict[tuple[int, str], int] = {}
         self.by_path: list[tuple[int, str]] = [(0, "")]
-        self.elements: list[Element] = [Element("", None, 0, 0, False)]
+        self.elements: list[Element] = [Element("", None, 0, 0)]
         self.runs: list[tuple[Element, str | None]] = []
         self.stack = [self.elements[0]]
         self.open: dict[str, list[int]] = {}
@@ -150,36 +165,54 @@ class Page:
         if tag in _VOID or attributes.endswith("/") and tag not in _BLOCK:
             return
         parent = self.stack[-1]
+        e = Element(tag, parent, len(self.elements), 0)
         classes = ids = ""
         if "=" in attributes:
             for name, *values in _ATTRIBUTE.findall(attributes):
                 value = "".join(values)
                 if name.lower() == "class":
                     classes = value
-                ids += f" {value}" if name.lower() == "role" or name.lower() == "id" and not parent.article else ""
+                ids += f" {value}" if name.lower() == "role" or name.lower() == "id" and not e.main else ""
         step = tag + "".join(f".{c}" for c in sorted({re.sub(r"\d+", "#", c) for c in classes.split()}))
         path = self.steps.get((parent.path, step))
         if path is None:
             path = self.steps[parent.path, step] = len(self.by_path)
             self.by_path.append((parent.path, step))
-        e = Element(tag, parent, len(self.elements), path, parent.skip)
-        named = set(_SPLIT.split(f"{classes} {ids}".lower())) if classes or ids else ()
-        plain = tag in ("html", "body", "article", "main") or tag in _HEADING and e.article
-        e.skip |= tag in _ASIDE_TAGS or tag == "header" and not e.article
-        if named and not plain:
-            e.skip |= not _ASIDE_WORDS.isdisjoint(named)
-            doubtful = not _DOUBTFUL_WORDS.isdisjoint(named)
-            e.skip |= doubtful and not e.article
-            e.doubt = doubtful and not e.skip
+        e.path = path
+        self._judge(e, f"{classes} {ids}".lower().split())
         self.elements.append(e)
         self.open.setdefault(tag, []).append(len(self.stack))
         if tag in _BLOCK:
             self.blocks.append(len(self.stack))
         self.stack.append(e)
 
+    def _judge(self, e: Element, names: list[str]) -> None:
+        """What an element's tag and names say of it. In an article a name that says more than one of the foreign words is a
+        doubt, which its text settles."""
+        tag = e.tag
+        if tag == "button" and e.article and self.blocks and (block := self.stack[self.blocks[-1]]).article:
+            e.around = block
+        else:
+            e.own = tag in _ASIDE_TAGS or tag == "header" and not e.main
+        if names and tag not in ("html", "body", "article", "main") and not (tag in _HEADING and e.main):
+            words = [set(_SPLIT.split(n)) - {""} for n in names]
+            every = set().union(*words)
+            foreign = any(not _FOREIGN_WORDS.isdisjoint(w) and w <= _FOREIGN_WORDS | _LAYOUT_WORDS | _ASIDE_WORDS | _DOUBTFUL_WORDS for w in words)
+            if not every.isdisjoint(_ASIDE_WORDS | _DOUBTFUL_WORDS):
+                e.doubt = 2 if any(not _NOTICE_WORDS.isdisjoint(w) and w <= _NOTICE_WORDS | _LAYOUT_WORDS for w in words) else 1
+            if e.article or e.main and every.isdisjoint(_ASIDE_WORDS):
+                e.own |= foreign
+            elif e.doubt:
+                e.named, e.edge = True, not every.isdisjoint(_EDGE_WORDS)
+                e.own |= foreign
+        e.skip |= e.own or e.named
+
     def _weigh(self) -> None:
         """Signs of each element's text, inside links and out of them, summed from the leaves up. A doubtful part of an article
-        is surroundings if most of it is links or it has few words; then sizes are summed again without it."""
+        is surroundings if most of it is links, or if its few words form no sentence or are a notice's; a button in a block
+        of few other words is a control. Then sizes are summed again without them."""
+        for e in self.elements:
+            e.size = e.linked = e.words = e.signs = 0
         for where, text in self.runs:
             if text is not None and not where.skip:
                 parts = text.split()
@@ -187,23 +220,30 @@ class Page:
                 n = sum(map(len, parts))
                 where.linked += n if where.link else 0
                 where.size += 0 if where.link else n
-        own = [(e.size, e.linked, e.words) for e in self.elements]
+                where.signs += _SENTENCE.search(text) is not None
+        own = [(e.size, e.linked, e.words, e.signs) for e in self.elements]
         self._sum(own)
+        pressed: dict[int, int] = {}
+        for e in self.elements:
+            if e.around is not None and not e.skip:
+                pressed[e.around.number] = pressed.get(e.around.number, 0) + e.words
         doubted = False
         for e in self.elements[1:]:
             e.skip |= e.parent.skip
-            if e.doubt and not e.skip and (e.linked > e.size or e.words < 12):
-                e.skip = doubted = True
+            labels = e.words < _FEW and (e.doubt == 2 or not e.signs)
+            if not e.skip and (e.doubt and (e.linked > e.size or labels) or e.around is not None and e.around.words - pressed[e.around.number] < 4):
+                e.own = e.skip = doubted = True
         if doubted:
-            self._sum([(0, 0, 0) if e.skip else x for e, x in zip(self.elements, own, strict=True)])
+            self._sum([(0, 0, 0, 0) if e.skip else x for e, x in zip(self.elements, own, strict=True)])
 
-    def _sum(self, own: list[tuple[int, int, int]]) -> None:
-        for e, (size, linked, words) in zip(self.elements, own, strict=True):
-            e.size, e.linked, e.words = size, linked, words
+    def _sum(self, own: list[tuple[int, int, int, int]]) -> None:
+        for e, (size, linked, words, signs) in zip(self.elements, own, strict=True):
+            e.size, e.linked, e.words, e.signs = size, linked, words, signs
         for e in reversed(self.elements[1:]):
             e.parent.size += e.size
             e.parent.linked += e.linked
             e.parent.words += e.words
+            e.parent.signs += e.signs
 
     def best(self) -> Element:
         """The deepest container that holds most of the page's text outside of surroundings and links."""
@@ -221,6 +261,24 @@ class Page:
             if e.tag not in _CONTAINER:
                 return e.parent
 
+    def settle(self, chosen: list[Element]) -> None:
+        """Inside chosen containers that are neither the whole page nor an article, names are doubts as in an article, but for
+        what a container begins or ends with."""
+        inside, ends = {e.number for e in chosen if e.tag in _CONTAINER and e.tag not in ("html", "body")}, {}
+        for e in self.elements[1:]:
+            if e.parent.number in inside:
+                first, _ = ends.get(e.parent.number, (e.number, 0))
+                ends[e.parent.number] = first, e.number
+                inside.add(e.number)
+        roots = {e.number for e in chosen}
+        again = [e for e in self.elements[1:] if e.named and e.number in inside and not (e.edge and e.parent.number in roots and e.number in ends[e.parent.number])]
+        if again:
+            for e in again:
+                e.named = False
+            for e in self.elements[1:]:
+                e.skip = e.parent.skip or e.own or e.named
+            self._weigh()
+
     def path_of(self, e: Element) -> str:
         steps, at = [], e.path
         while at:
@@ -271,8 +329,12 @@ def extract(source: str, path: str | None) -> str:
     if not source:
         return ""
     page = Page(source)
-    chosen = page.at(path) if path else []
-    return chosen and page.text(chosen) or page.text([page.best()])
+    for chosen in (page.at(path) if path else [], [page.best()]):
+        if chosen:
+            page.settle(chosen)
+            if text := page.text(chosen):
+                return text
+    return ""
 
 
 def host(url: str = "url"):
