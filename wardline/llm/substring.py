@@ -7,7 +7,8 @@
    which a Fenwick tree with expiring entries finds. Documents whose chains cannot add up to a passage are left.
 4. Owners' slices around chains, by blocks of words, come once each and meet the chains; chains are aligned word by
    word: substitutions and gaps between seeds are scored and both ends extended until the score falls off.
-5. Aligned spans of a document that touch are one passage; those of ``least`` words or more count.
+5. Aligned spans that lie close together in both texts are one if it is as equal as a span must be; spans of a document
+   that touch are one passage; those of ``least`` words or more count.
 
 Defined results: null and empty texts and those below k words have no passages; rows with a null id and rows that repeat
 an id are not compared with each other; the occurrence in the smallest id stays; repeats inside one document are left;
@@ -29,11 +30,13 @@ from pyspark.sql.types import StructType
 
 from .common import Words, maybe_in, not_in, parts, runs, slices, slots_of, stored, table, text_buffer
 
-K, WINDOW, LEAST = 8, 12, 50
+K, WINDOW, LEAST = 6, 8, 50
 #: Gap cost of each word skipped in either text; the longest gap inside a chain; words around a chain for alignment.
 GAP, MOST_GAP, MARGIN, BLOCK = 0.2, 40, 32, 32
 #: Alignment: gain of equal words, cost of others, and the loss at which an extension ends; least share of equal words.
 EQUAL, OTHER, DROP, IDENTITY = 1, 2, 8, 0.8
+#: Words between two spans of one pair of texts that do not part them.
+BRIDGE = 12
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -182,6 +185,9 @@ def _reach(spans: list[tuple[int, int]], slack: int, least: int) -> list[bool]:
 
 
 def _chain_runs(k: int, window: int, least: int):
+    # alignment may draw chains out, so that a passage with edits shows in two seeds or more; a lone seed is left
+    slack = max(k + window, (least - k - 1) // 2)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "odoc", "a", "b", "low", "high"]
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
@@ -194,7 +200,7 @@ def _chain_runs(k: int, window: int, least: int):
             for x, y in zip(cuts, cuts[1:], strict=False):
                 a, b = pos[x:y].tolist(), opos[x:y].tolist()
                 found += [(int(odocs[x]), [a[i] for i in c], [b[i] for i in c]) for c in chains(a, b, k)]
-            keep = _reach([(f[1][0], f[1][-1] + k) for f in found], k + window, least)
+            keep = _reach([(f[1][0], f[1][-1] + k) for f in found], slack, least)
             for (o, a, b), good in zip(found, keep, strict=True):
                 if good:
                     low = max(0, (b[0] - MARGIN) // BLOCK * BLOCK)
@@ -211,18 +217,43 @@ def _chain_runs(k: int, window: int, least: int):
 # ---------------------------------------------------------------- alignment
 
 
-def _extend(x: np.ndarray, y: np.ndarray) -> int:
-    """Words of the best common start of x and y on one diagonal, ended by a loss of DROP."""
+def _straight(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+    """Words of the best common start of x and y on one diagonal, ended by a loss of DROP, and how many of them are equal."""
     n = min(len(x), len(y))
     if not n:
-        return 0
-    score = np.cumsum(np.where(x[:n] == y[:n], EQUAL, -OTHER))
+        return 0, 0
+    same = x[:n] == y[:n]
+    score = np.cumsum(np.where(same, EQUAL, -OTHER))
     best = np.maximum.accumulate(np.maximum(score, 0))
     stop = np.flatnonzero(best - score >= DROP)
     end = int(stop[0]) if len(stop) else n
     if not end or score[:end].max() <= 0:
-        return 0
-    return int(score[:end].argmax()) + 1
+        return 0, 0
+    end = int(score[:end].argmax()) + 1
+    return end, int(same[:end].sum())
+
+
+#: Words skipped in either text where an extension goes on, the cheapest first, if FOOT words agree behind them.
+SKIP, FOOT = 4, 3
+_SHIFTS = sorted(((i, j) for i in range(SKIP + 1) for j in range(SKIP + 1) if i or j), key=lambda s: (max(s), s[0] + s[1]))
+
+
+def _extend(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
+    """Words of the best common start of x and of y, and how many of them are equal: along diagonals, with steps over words
+    that one of them has more as long as what follows gains more than the step costs."""
+    i, same = _straight(x, y)
+    j = i
+    while True:
+        u, v = x[i : i + SKIP + FOOT].tolist(), y[j : j + SKIP + FOOT].tolist()
+        for di, dj in _SHIFTS:
+            foot = u[di : di + FOOT]
+            if len(foot) == FOOT and foot == v[dj : dj + FOOT]:
+                n, equal = _straight(x[i + di :], y[j + dj :])
+                if (EQUAL + OTHER) * equal - OTHER * n > OTHER * max(di, dj):
+                    i, j, same = i + di + n, j + dj + n, same + equal
+                    break
+        else:
+            return i, j, same
 
 
 def _common(x: list[int], y: list[int]) -> int:
@@ -237,8 +268,9 @@ def _common(x: list[int], y: list[int]) -> int:
     return row[-1]
 
 
-def align(doc: np.ndarray, other: np.ndarray, low: int, a: list[int], b: list[int], k: int = K) -> list[tuple[int, int, int]]:
-    """(first word, end, equal words) of a chain's passages in ``doc``; ``other`` is the owner's slice from word ``low``.
+def align(doc: np.ndarray, other: np.ndarray, low: int, a: list[int], b: list[int], k: int = K) -> list[tuple[int, int, int, int, int]]:
+    """(first word, end, equal words, first word and end in the owner) of a chain's passages in ``doc``; ``other`` is the
+    owner's slice from word ``low``.
 
     A chain falls apart where a gap costs more than it brings; outer ends are extended as far as the score holds.
     """
@@ -248,6 +280,8 @@ def align(doc: np.ndarray, other: np.ndarray, low: int, a: list[int], b: list[in
         da, db = a[i] - a[i - 1], b[i] - b[i - 1]
         if da == db:
             same = int((doc[a[i - 1] + k : a[i] + k] == other[b[i - 1] + k : b[i] + k]).sum())
+            if da > k and 4 * same < 3 * da:  # words that came and went in between
+                same = max(same, k + _common(doc[a[i - 1] + k : a[i]].tolist(), other[b[i - 1] + k : b[i]].tolist()))
         elif min(da, db) <= k:
             same = min(da, db)
         else:
@@ -260,15 +294,28 @@ def align(doc: np.ndarray, other: np.ndarray, low: int, a: list[int], b: list[in
     pieces.append((first, len(a) - 1, equal))
     out = []
     for x, y, equal in pieces:
-        left = _extend(doc[: a[x]][::-1], other[: b[x]][::-1])
         end, oend = a[y] + k, b[y] + k
-        right = _extend(doc[end:], other[oend:])
-        equal += int((doc[a[x] - left : a[x]] == other[b[x] - left : b[x]]).sum()) + int((doc[end : end + right] == other[oend : oend + right]).sum())
+        left, oleft, before = _extend(doc[: a[x]][::-1], other[: b[x]][::-1])
+        right, oright, after = _extend(doc[end:], other[oend:])
+        equal += before + after
         if equal >= IDENTITY * (end + right - a[x] + left):
-            out.append((a[x] - left, end + right, equal))
+            out.append((a[x] - left, end + right, equal, low + b[x] - oleft, low + oend + oright))
     return out
 
 
+def bridged(spans: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """(first, end, equal) of the spans that a document shares with one other, as ``align`` gives them; neighbours with at most
+    BRIDGE words between them in both texts are one span, if it is as equal as a span must be."""
+    out: list[list[int]] = []
+    for first, end, equal, ofirst, oend in sorted(spans):
+        last = out[-1] if out else None
+        if last and 0 <= first - last[1] <= BRIDGE and abs(ofirst - last[4]) <= BRIDGE and last[2] + equal >= IDENTITY * (end - last[0]):
+            last[1], last[2], last[4] = end, last[2] + equal, oend
+        else:
+            out.append([first, end, equal, ofirst, oend])
+    return [tuple(s[:3]) for s in out]
+
+
 def merge(spans: list[tuple[int, int, int, int]], least: int) -> list[list[tuple[int, int, int, int]]]:
     """Spans (first, end, equal, other) that touch, by passage of ``least`` words or more."""
     out: list[list] = []
@@ -336,11 +383,12 @@ def _align_run(k: int, least: int, out: StructType):
             for i in range(own.num_rows):
                 data = buf[offsets[i] : offsets[i + 1]]
                 w = Words(data, offsets[i : i + 2] - offsets[i])
-                words, spans = w.hash.astype(np.uint32), []
+                words = w.hash.astype(np.uint32)
+                of: dict[int, list] = {}
                 for o, x, y, from_, other in zip(odocs, a, b, low, others, strict=True):
                     if x[-1] + k <= len(words):  # else of another text of this id
-                        spans += [(*g, o) for g in align(words, other, from_, x, y, k)]
-                passages = merge(spans, least)
+                        of.setdefault(o, []).extend(align(words, other, from_, x, y, k))
+                passages = merge([(*g, o) for o, found_ in of.items() for g in bridged(found_)], least)
                 found.append([x for p in passages for x in by_owner(p)])
                 at, left = 0, []
                 for p in passages:
