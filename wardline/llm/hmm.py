@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import Words, slices, stored, table, text_buffer
 
-STATES, HEAD, TAIL, SUFFIX = 16, 49_152, 16_384, 3
-SHARES, ROUNDS, WINDOW, GROUP = 6, 3, 512, 1 << 19
+STATES, HEAD, TAIL, SUFFIX = 12, 49_152, 16_384, 3
+SHARES, ROUNDS, WINDOW, GROUP = 6, 2, 512, 1 << 19
 ADDED, PULL = 0.1, 500.0
 #: Stands for the end of a text among the words' hashes; its class is 0.
 END = -0x6E5F3D2B1A907C43
