@@ -17,8 +17,8 @@ an empty table gives an empty result; further columns are kept by ``cut`` whatev
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections import deque
+from bisect import bisect_left, bisect_right
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +51,14 @@ def _minimisers(h: np.ndarray, window: int) -> np.ndarray:
     return np.unique(at)
 
 
+def _thinned(row: np.ndarray, seed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Indexes of the first seed of each kind in every half MARGIN of words of a row: words that repeat at once have the same
+    seed all along, and alignment reaches from each to the next that is kept."""
+    order = np.lexsort((at, seed, row))
+    r, s, b = row[order], seed[order], at[order] // (MARGIN // 2)
+    return np.sort(order[np.append(True, (r[1:] != r[:-1]) | (s[1:] != s[:-1]) | (b[1:] != b[:-1]))]) if len(order) else order
+
+
 def seeds(src: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """(seed, doc_id, pos) of the texts."""
 
@@ -65,8 +73,10 @@ def seeds(src: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
                 pos = [_minimisers(h[a : a + n - k + 1], window) if n >= k else np.zeros(0, np.int64) for a, n in zip(w.first[:-1].tolist(), w.count.tolist(), strict=True)]
                 size = [len(p) for p in pos]
                 at = np.concatenate(pos) if pos else np.zeros(0, np.int64)
-                seed = h[at + np.repeat(w.first[:-1], size)] if len(at) else np.zeros(0, np.uint64)
-                yield pa.record_batch([pa.array(seed.view(np.int64)), pa.array(np.repeat(ids[i:j], size)), pa.array(at.astype(np.int32))], ["seed", "doc_id", "pos"])
+                row = np.repeat(np.arange(w.rows), size)
+                seed = h[at + w.first[row]] if len(at) else np.zeros(0, np.uint64)
+                once = _thinned(row, seed, at)
+                yield pa.record_batch([pa.array(seed[once].view(np.int64)), pa.array(ids[i:j][row[once]]), pa.array(at[once].astype(np.int32))], ["seed", "doc_id", "pos"])
 
     return src.where("doc_id IS NOT NULL").mapInArrow(run, "seed long, doc_id long, pos int")
 
@@ -167,26 +177,45 @@ def chains(a: list[int], b: list[int], k: int = K, gap: float = GAP, most_gap: i
     return out
 
 
-def _reach(spans: list[tuple[int, int]], slack: int, least: int) -> list[bool]:
-    """Which spans, each drawn out by ``slack`` on both sides, are in a union of ``least`` words or more."""
-    order = sorted(range(len(spans)), key=spans.__getitem__)
+def _reach(spans: list[tuple[int, int]], slack: list[int], least: int) -> list[bool]:
+    """Which spans, each drawn out by its ``slack`` on both sides, are in a union of ``least`` words or more."""
+    drawn = [(x - s, y + s) for (x, y), s in zip(spans, slack, strict=True)]
+    order = sorted(range(len(spans)), key=drawn.__getitem__)
     keep, group, low, high = [False] * len(spans), [], 0, -1
     for i in [*order, -1]:
-        if i >= 0 and group and spans[i][0] - slack <= high:
+        if i >= 0 and group and drawn[i][0] <= high:
             group.append(i)
-            high = max(high, spans[i][1] + slack)
+            high = max(high, drawn[i][1])
             continue
         if group and high - low >= least:
             for g in group:
                 keep[g] = True
         if i >= 0:
-            group, low, high = [i], spans[i][0] - slack, spans[i][1] + slack
+            group, (low, high) = [i], drawn[i]
     return keep
 
 
+def _uncovered(found: list[tuple[int, list[int], list[int]]], k: int) -> list[tuple[int, list[int], list[int]]]:
+    """Chains (owner, a, b) without those of one seed that lie where a longer chain of any owner does: they add no words."""
+    firsts: list[int] = []
+    ends: list[int] = []
+    for x, y in sorted((a[0], a[-1] + k) for _, a, _ in found if len(a) > 1):
+        if ends and x <= ends[-1]:
+            ends[-1] = max(ends[-1], y)
+        else:
+            firsts.append(x)
+            ends.append(y)
+    out = []
+    for f in found:
+        i = bisect_right(firsts, f[1][0]) - 1
+        if len(f[1]) > 1 or i < 0 or f[1][0] + k > ends[i]:
+            out.append(f)
+    return out
+
+
 def _chain_runs(k: int, window: int, least: int):
-    # alignment may draw chains out, so that a passage with edits shows in two seeds or more; a lone seed is left
-    slack = max(k + window, (least - k - 1) // 2)
+    # alignment may draw a chain out: far where its owner has more seeds here, as a passage with edits has; else a window
+    far, near = max(k + window, (least - k - 1) // 2), window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "odoc", "a", "b", "low", "high"]
@@ -200,7 +229,11 @@ def _chain_runs(k: int, window: int, least: int):
             for x, y in zip(cuts, cuts[1:], strict=False):
                 a, b = pos[x:y].tolist(), opos[x:y].tolist()
                 found += [(int(odocs[x]), [a[i] for i in c], [b[i] for i in c]) for c in chains(a, b, k)]
-            keep = _reach([(f[1][0], f[1][-1] + k) for f in found], slack, least)
+            found = _uncovered(found, k)
+            of = Counter()
+            for o, a, _ in found:
+                of[o] += len(a)
+            keep = _reach([(a[0], a[-1] + k) for _, a, _ in found], [far if of[o] > 1 else near for o, _, _ in found], least)
             for (o, a, b), good in zip(found, keep, strict=True):
                 if good:
                     low = max(0, (b[0] - MARGIN) // BLOCK * BLOCK)
