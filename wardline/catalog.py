@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import code, graphs, registry, repairs, reports, sources, web  # noqa: F401  (they register themselves)
+from .queries import code, flows, graphs, registry, repairs, reports, sources, web  # noqa: F401  (they register themselves)
 
 
 def queries() -> dict:

@@ -135,6 +135,12 @@ def returns_boolean(expression: Column) -> Column:
     return F.rlike(F.trim(expression), F.lit(r"(?i)^(?:true|false|!.+|isset\s*\(.*\)|empty\s*\(.*\)|.+(?:===?|!==?|<=?|>=?|&&|\|\|).+)$"))
 
 
+def boolean_return(statement: Column) -> Column:
+    """Whether a return statement's value is a boolean by its form: a literal, a test for presence, or a comparison."""
+    value = F.trim(F.regexp_replace(F.regexp_replace(F.trim(statement), r";+\s*$", ""), r"(?i)^return", ""))
+    return F.rlike(value, F.lit(r"(?is)^[(\s]*(?:true|false)[)\s]*$|^[(\s]*(?:!\s*)?(?:isset|empty)\s*\(|===?|!==?|<=|>=|<|>"))
+
+
 def synthetic_value(name: Column, kind: Column) -> Column:
     """A value for a form field by its type and name; else a text from the name's hash."""
     n = F.lower(name)

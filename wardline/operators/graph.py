@@ -36,6 +36,31 @@ def node_origins(tagged: DataFrame) -> DataFrame:
     return tagged.groupBy("node").agg(F.array_sort(F.collect_set("origin")).alias("origins"))
 
 
+#: Rounds whose additions are kept side by side before they are written as one table: no round rewrites what others found.
+SIDE_BY_SIDE = 16
+
+
+def _grown(seen: DataFrame, more: DataFrame, number: int) -> DataFrame:
+    out = seen.unionByName(more)
+    return out if number % SIDE_BY_SIDE else checkpointed(out)
+
+
+def earliest(edges: DataFrame, starts: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """(node, at): the least place from which each node holds. ``starts`` has node and at; an edge (from, before, to, to_at)
+    passes on what holds before its place: its end holds from ``to_at``. A round looks at the nodes whose place the last
+    one lowered."""
+    edges = checkpointed(edges.select("from", "before", "to", "to_at").distinct())
+    seen = frontier = checkpointed(starts.groupBy("node").agg(F.min("at").alias("at")))
+    for depth in range(1, most_rounds + 1):
+        step = frontier.join(edges, F.col("node") == F.col("from")).where("at < before").groupBy(F.col("to").alias("node")).agg(F.min("to_at").alias("at"))
+        best = seen.groupBy("node").agg(F.min("at").alias("was"))
+        frontier = checkpointed(step.join(best, "node", "left").where("was IS NULL OR at < was").select("node", "at"))
+        if not frontier.take(1):
+            return seen.groupBy("node").agg(F.min("at").alias("at"))
+        seen = _grown(seen, frontier, depth)
+    raise RuntimeError("earliest places did not settle")
+
+
 def closure(edges: DataFrame, starts: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """(node, depth): everything reachable from ``starts`` (node), with the fewest steps. Each round joins the frontier only,
     and drops what was seen, so cycles end."""
@@ -46,7 +71,7 @@ def closure(edges: DataFrame, starts: DataFrame, most_rounds: int = 1000) -> Dat
         frontier = checkpointed(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if not frontier.take(1):
             return seen
-        seen = checkpointed(seen.unionByName(frontier))
+        seen = _grown(seen, frontier, depth)
     raise RuntimeError("closure did not settle")
 
 
@@ -95,7 +120,7 @@ def chain_of_flags(branches: DataFrame, most_rounds: int = 1000) -> DataFrame:
         frontier = checkpointed(open_.join(last, ["scope", "sets"]).where("start < last").select("scope", "id", "start", "tests", F.lit(depth).alias("denies_by")))
         if not frontier.take(1):
             return b.select("scope", "id").join(found.select("id", "denies_by"), "id", "left").select("scope", "id", "denies_by")
-        found = checkpointed(found.unionByName(frontier))
+        found = _grown(found, frontier, depth)
         open_ = checkpointed(open_.join(frontier.select("id"), "id", "left_anti"))
     raise RuntimeError("chain of flags did not settle")
 
@@ -104,10 +129,10 @@ def labelled_closure(edges: DataFrame, starts: DataFrame, most_rounds: int = 100
     """(node, label) reachable from labelled starts (node, label). The frontier alone is joined; a pair seen before is dropped."""
     edges = checkpointed(edges.select("from", "to").distinct())
     seen = frontier = checkpointed(starts.select("node", "label").distinct())
-    for _ in range(most_rounds):
+    for depth in range(1, most_rounds + 1):
         step = frontier.join(edges, frontier["node"] == edges["from"]).select(F.col("to").alias("node"), "label").distinct()
         frontier = checkpointed(step.join(seen, ["node", "label"], "left_anti"))
         if not frontier.take(1):
             return seen
-        seen = checkpointed(seen.unionByName(frontier))
+        seen = _grown(seen, frontier, depth)
     raise RuntimeError("labelled closure did not settle")
