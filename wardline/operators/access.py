@@ -42,13 +42,27 @@ def representative(requests: Column, kind: str | None = None) -> Column:
 
 def request_upgrade(requests: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The request kept for each key when they come in order: the first; a later one takes over if it brings a method other
-    than GET to a GET, or parameters to one without. ``requests`` has method and n_params; adds ``seen``."""
-    item = F.struct(*order, F.upper("method").alias("method"), "n_params")
-    first = lambda a, x: a["seen"] == 0
-    better = lambda a, x: first(a, x) | ((a["method"] == "GET") & (x["method"] != "GET")) | ((a["n_params"] == 0) & (x["n_params"] > 0))
-    start = F.struct(F.lit("GET").alias("method"), F.lit(0).cast("long").alias("n_params"), F.lit(0).cast("long").alias("seen"))
-    step = lambda a, x: F.struct(F.when(better(a, x), x["method"]).otherwise(a["method"]).alias("method"), F.when(better(a, x), x["n_params"].cast("long")).otherwise(a["n_params"]).alias("n_params"), (a["seen"] + 1).alias("seen"))
-    return requests.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list(item)), start, step).alias("kept")).select(*keys, "kept.*")
+    than GET to a GET, or parameters to one without. ``requests`` has method and n_params; adds ``seen``.
+
+    No list of a key's requests is made. Nothing takes over from a request that has both a method and parameters: the first
+    of these stays. Without one, GETs with parameters and other methods without them take over from each other by turns, so
+    that the first one behind the last of the other kind stays; without either, the first request. Both steps are minima and
+    maxima of places, which partitions sum up by themselves."""
+    get, full = F.upper("method") == "GET", F.coalesce(F.col("n_params") > 0, F.lit(False))
+    kind = F.when(~get & full, "both").when(get & full, "params").when(~get & ~full, "method").otherwise("none")
+    rows = requests.select(*keys, F.struct(*order, F.upper("method").alias("method"), F.col("n_params").cast("long").alias("n_params")).alias("at"), F.coalesce(kind, F.lit("none")).alias("kind"))
+    of = lambda name: F.when(F.col("kind") == name, F.col("at"))
+    marks = rows.groupBy(*keys).agg(
+        F.count("*").alias("seen"), F.min("at").alias("first"), F.min(of("both")).alias("both"), F.min(of("params")).alias("params"), F.min(of("method")).alias("other"), F.max(of("params")).alias("last_params"), F.max(of("method")).alias("last_other"),
+    )
+    turns = F.col("both").isNull() & F.col("params").isNotNull() & F.col("other").isNotNull()
+    plain = marks.where(~turns).select(*keys, F.coalesce("both", "params", "other", "first").alias("kept"), "seen")
+    wins = F.col("last_params") > F.col("last_other")
+    asked = marks.where(turns).select(*[F.col(k).alias(f"_{k}") for k in keys], "seen", F.when(wins, "params").otherwise("method").alias("wanted"), F.when(wins, F.col("last_other")).otherwise(F.col("last_params")).alias("behind"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    late = rows.where("kind IN ('params', 'method')").join(asked, [*same, F.col("kind") == F.col("wanted"), F.col("at") > F.col("behind")])
+    late = late.groupBy(*keys).agg(F.min("at").alias("kept"), F.first("seen").alias("seen"))
+    return plain.unionByName(late).select(*keys, "kept.method", "kept.n_params", "seen")
 
 
 def first_wins(df: DataFrame, keys: list, order: list) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
+from . import graph
 from .access import first_wins
 
 
@@ -26,30 +26,36 @@ def unique_predicted(items: DataFrame, keys: list[str], order: str = "ord") -> D
     return d.groupBy(*keys, "key").agg(F.min_by("expression", order).alias("name"), union("spelled").alias("aliases"), F.array_sort(F.collect_set(F.when(F.col("path") != "", F.col("path")))).alias("paths"), union("variants").alias("variants"))
 
 
-def greedy_match(expected: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
+def greedy_match(expected: DataFrame, predicted: DataFrame, keys: list[str], most_rounds: int = 1000) -> DataFrame:
     """(keys, ord, name, prediction): each annotation, in order, takes the best prediction left in its group: equal name, then
-    name among the variants, then common variants; the earlier of equals. Groups are one application's entities of one
-    type, a few hundred at most; order makes the choice, so a group is one Arrow batch."""
-    e = expected.select(*keys, F.lit(0).alias("side"), F.col("ord").cast("long").alias("ord"), "name", "key", "variants")
-    p = predicted.select(*keys, F.lit(1).alias("side"), F.col("ord").cast("long").alias("ord"), "name", names.normalized_name(F.col("name")).alias("key"), "variants")
-    schema = e.select(*keys).schema.add("ord", "long").add("name", "string").add("prediction", "string")
-
-    def match(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: r["ord"])
-        left = {i: r for i, r in enumerate(r for r in rows if r["side"])}
-        out = []
-        for want in (r for r in rows if not r["side"]):
-            best = None
-            for i, have in left.items():
-                tier = 0 if have["key"] == want["key"] else 1 if want["key"] in have["variants"] else 2 if set(want["variants"]) & set(have["variants"]) else 3
-                if tier < 3 and (best is None or (tier, i) < best):
-                    best = tier, i
-            taken = left.pop(best[1])["name"] if best else None
-            out.append({k: want[k] for k in (*keys, "ord", "name")} | {"prediction": taken})
-        types = [(k, group.schema.field(k).type) for k in keys] + [("ord", pa.int64()), ("name", pa.string()), ("prediction", pa.string())]
-        return pa.Table.from_pylist(out, pa.schema(types))
-
-    return e.unionByName(p).groupBy(*keys).applyInArrow(match, schema)
+    name among the variants, then common variants; the earlier of equals.
+
+    Candidates meet by a common name, never as all pairs. Then rounds: every annotation without a prediction asks for the
+    best one that has not turned it down, and a prediction keeps the earliest that asks, whoever held it before. All
+    predictions rank annotations alike, so that the outcome is the one of taking turns, though no group is ever in one
+    place. Names of one group at one place in the order go by name."""
+    group = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    no = F.expr("CAST(array() AS array<string>)")
+    e = expected.select(*keys, group.alias("g"), F.struct(F.col("ord").cast("long").alias("ord"), "name").alias("a"), F.col("key").alias("ekey"), F.coalesce("variants", no).alias("evariants"))
+    p = predicted.select(group.alias("g"), F.struct(F.col("ord").cast("long").alias("ord"), "name").alias("p"), names.normalized_name(F.col("name")).alias("pkey"), F.coalesce("variants", no).alias("pvariants"))
+    e = graph.checkpointed(e)
+    said = lambda key, variants: F.explode(F.array_distinct(F.array_append(F.col(variants), F.col(key)))).alias("said")
+    met = e.drop(*keys).select("*", said("ekey", "evariants")).join(p.select("*", said("pkey", "pvariants")), ["g", "said"])
+    tier = F.when(F.col("pkey") == F.col("ekey"), 0).when(F.array_contains("pvariants", F.col("ekey")), 1).when(F.arrays_overlap("pvariants", "evariants"), 2)
+    pairs = graph.checkpointed(met.select("g", "a", "p", tier.alias("tier")).where("tier IS NOT NULL").distinct())
+    held = pairs.limit(0)
+    for _ in range(most_rounds):
+        asks = pairs.join(held, ["g", "a"], "left_anti").groupBy("g", "a").agg(F.min(F.struct("tier", "p")).alias("x")).select("g", "a", "x.p", "x.tier")
+        asks = graph.checkpointed(asks)
+        if not asks.take(1):
+            break
+        both = held.unionByName(asks)
+        kept = graph.checkpointed(both.groupBy("g", "p").agg(F.min(F.struct("a", "tier")).alias("x")).select("g", "x.a", "p", "x.tier"))
+        lost = both.join(kept, ["g", "a", "p"], "left_anti").select("g", "a", "p")
+        pairs, held = graph.checkpointed(pairs.join(lost, ["g", "a", "p"], "left_anti")), kept
+    else:
+        raise RuntimeError("matching did not settle")
+    return e.join(held.select("g", "a", F.col("p.name").alias("prediction")), ["g", "a"], "left").select(*keys, "a.ord", "a.name", "prediction")
 
 
 def scores(counts: DataFrame, key: str, total: str = "TOTAL") -> DataFrame:

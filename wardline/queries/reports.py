@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..operators import entities, evaluate, reporting
+from ..operators.access import first_wins
 from .adapters import CRAWL, crawl, table
 from .registry import query
 
@@ -151,7 +152,8 @@ def greedy_match(spark, sf_dir):
     """Order decides, so there is no SQL; tests/test_plans.py holds it against a loop."""
     c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
     e = evaluate.unique_expected(c.select(F.col("c_nationkey").alias("app"), F.concat(F.lit("user."), F.col("c_mktsegment")).alias("name"), F.col("c_custkey").alias("ord")), ["app"])
-    p = c.where("c_custkey % 3 = 0").select(F.col("c_nationkey").alias("app"), F.lower("c_mktsegment").alias("name"), F.col("c_custkey").alias("ord")).dropDuplicates(["app", "name"]).withColumn("variants", names.name_variants(F.col("name")))
+    p = c.where("c_custkey % 3 = 0").select(F.col("c_nationkey").alias("app"), F.lower("c_mktsegment").alias("name"), F.col("c_custkey").alias("ord"))
+    p = first_wins(p, ["app", "name"], ["ord"]).withColumn("variants", names.name_variants(F.col("name")))
     return evaluate.greedy_match(e, p, ["app"])
 
 
