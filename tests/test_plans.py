@@ -212,3 +212,21 @@ def test_roles_flow_by_name_and_arity(spark):
     got = sorted(map(tuple, entities.role_flow(literals, arguments).collect()))
     assert got == [("check/1", 0, "admin"), ("check/2", 0, "editor"), ("need/2", 1, "admin")]
     assert entities.role_flow(*entities.call_flow(calls.limit(0), methods)).count() == 0
+
+
+def test_pages_match_with_their_parameters(spark):
+    schema = "category string, page string, method string, actor string, status_code int, url string, text string, headers map<string,string>, params map<string,string>"
+    rows = [("admin_only", "a.php?x=1", "GET", None, 200, "", LONG, {}, {"mode": "open"}), ("admin_only", "a.php?x=1", "GET", None, 200, "", LONG, {}, {"mode": "shut"}), ("vertical", "a.php", "GET", "u", 200, "", LONG, {}, {"mode": "team"}), ("vertical", "a.php", "GET", None, 200, "", LONG, {}, None)]
+    out = cascade.classify(spark.createDataFrame(rows, schema), cascade.Oracle(public_pages=["mode=open$"], authenticated_pages=["mode=team"]))
+    assert [r.reason for r in out.collect()] == ["public page", "normal response", "page of all signed-in users", "normal response"]
+
+
+def test_redirect_spellings(spark):
+    urls_ = ["http://h/app/list?done=1#x", "/app/list?done=1", "list", "http://other/x", "/", None]
+    df = spark.createDataFrame([(u,) for u in urls_], "u string")
+    got = [r.s for r in df.select(cascade.redirect_spellings(F.col("u"), "http://h/app/").alias("s")).collect()]
+    assert got == [["http://h/app/list?done=1#x", "list?done=1#x", "list?done=1"], ["/app/list?done=1", "list?done=1"], ["list"], ["http://other/x", "x"], ["/"], []]
+    rows = [("admin_only", "a.php", "POST", None, 302, "http://h/app/a.php", "", {"Location": "/app/list?saved=1"})]
+    oracle = cascade.Oracle(base_url="http://h/app", write_redirects=[r"^list\?saved"], login_form_denies=False)
+    out = cascade.classify(spark.createDataFrame(rows, "category string, page string, method string, actor string, status_code int, url string, text string, headers map<string,string>"), oracle)
+    assert [r.reason for r in out.collect()] == ["write accepted with configured redirect"]
