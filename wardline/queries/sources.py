@@ -74,3 +74,14 @@ def source_routes(spark, sf_dir):
     java = part_files(spark, sf_dir, '@WebServlet(name = "s", urlPatterns = {"/shop/@self", "/store/@self"})\npublic class Shop extends HttpServlet {}', ".java")
     php = part_files(spark, sf_dir, "<?php // @app.route('/no')", ".php")
     return extract.routes(python.union(go).union(java).union(php))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, 'd' || (p_partkey % 5) || '/f' || p_partkey || '.py' AS path, 'd' || ((p_partkey + 1) % 5) || '/f' || (p_partkey + 1) || '.py' AS next, p_partkey + 1 IN (SELECT p_partkey FROM part) AS there FROM part)
+ SELECT path, 'own/' || k AS url, path AS source FROM p UNION ALL SELECT path, 'view/p1', CASE WHEN there THEN next ELSE path END FROM p
+ UNION ALL SELECT path, 'made/', CASE WHEN there THEN next ELSE path END FROM p UNION ALL SELECT path, 'old/p1', next FROM p WHERE there UNION ALL SELECT path, 'far', path FROM p""")
+def view_sources(spark, sf_dir):
+    """Routes of each file to views of the next one, imported under its own and another name, as calls and as tuples."""
+    code = "from ..@next import show as s, Shop\nimport os.path\n@app.route('/own/@self')\ndef here():\n    pass\nurlpatterns = [path('view/<int:n>', s), re_path(r'^made/$', Shop.as_view()), path('far', os.path.join), (r'^old/(\\d+)$', s), ('none', s), (r'^lost/$', other)]\n"
+    files = part_files(spark, sf_dir, code, ".py")
+    dotted = files.withColumn("code", F.regexp_replace("code", r"(d\d)/(f\d+)", "$1.$2"))
+    return extract.view_sources(extract.python_facts(dotted), files)

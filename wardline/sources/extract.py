@@ -118,19 +118,21 @@ def _python_facts(path: str, code: str) -> list[tuple[str, str, str, str]]:
                     out.append((path, "route", url, node.name))
         elif isinstance(node, ast.Call) and getattr(node.func, "id", getattr(node.func, "attr", "")) in ("path", "re_path", "url") and len(node.args) > 1 and (url := text(node.args[0])) is not None:
             out.append((path, getattr(node.func, "id", "path"), url, ast.unparse(node.args[1])))
+        elif isinstance(node, ast.Tuple) and len(node.elts) > 1 and (url := text(node.elts[0])) is not None and isinstance(node.elts[1], ast.Name | ast.Attribute | ast.Call):
+            out.append((path, "tuple", url, ast.unparse(node.elts[1])))
     return out
 
 
 def python_facts(sources: DataFrame) -> DataFrame:
     """(path, kind, name, value) of Python files: ``import`` rows (bound name, file without extension) and route rows (``route``,
-    ``path``, ``re_path``, ``url``: pattern, handler)."""
+    ``path``, ``re_path``, ``url``, ``tuple``: pattern, handler), with their order in the file as ``at``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [r for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in _python_facts(p or "", c or "")]
-            yield pa.record_batch([pa.array([r[c] for r in rows], pa.string()) for c in range(4)], ["path", "kind", "name", "value"])
+            rows = [(*r, i) for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, r in enumerate(_python_facts(p or "", c or ""))]
+            yield pa.record_batch([pa.array([r[c] for r in rows], pa.string() if c < 4 else pa.int32()) for c in range(5)], ["path", "kind", "name", "value", "at"])
 
-    return sources.select("path", "code").mapInArrow(run, "path string, kind string, name string, value string")
+    return sources.select("path", "code").mapInArrow(run, "path string, kind string, name string, value string, at int")
 
 
 def python_edges(facts: DataFrame, files: DataFrame) -> DataFrame:
@@ -144,7 +146,25 @@ def python_routes(facts: DataFrame) -> DataFrame:
     """(path, url, handler) with parameters folded."""
     plain = F.regexp_replace(urls.django_route(F.col("name")), "^/+", "")
     url = F.when(F.col("kind").isin("re_path", "url"), urls.regex_route(F.col("name"))).otherwise(plain)
-    return facts.where("kind <> 'import'").select("path", url.alias("url"), F.col("value").alias("handler"))
+    return facts.where("kind NOT IN ('import', 'tuple')").select("path", url.alias("url"), F.col("value").alias("handler"))
+
+
+def view_sources(facts: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, url, source): the file that answers a route. Of a dotted handler, or of what is called to make one, the longest
+    beginning that the file imports leads to the imported module's file, of a package's name to its own module first; a
+    decorated function, and a handler that leads nowhere, are of the route's own file. A route in a plain tuple is a pattern
+    that looks like one, and counts only with a file. Of equal urls of a file a tuple goes before a call, a call before a
+    decorator, then the last."""
+    plain = F.regexp_replace(urls.django_route(F.col("name")), "^/+", "")
+    url = F.when(F.col("kind").isin("re_path", "url", "tuple"), urls.regex_route(F.col("name"))).otherwise(plain)
+    routes_ = facts.where(r"kind <> 'import' AND (kind <> 'tuple' OR name RLIKE '^\\s*\\^|\\$\\s*$|/')").select("path", "kind", "at", url.alias("url"), F.split(F.regexp_extract("value", r"^[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*", 0), r"\.").alias("steps"))
+    named = routes_.where("kind <> 'route'").select("path", "at", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("steps")), lambda k: F.array_join(F.slice("steps", F.lit(1), k), "."))).alias("n", "name"))
+    known = files.select(F.regexp_replace("path", r"(/__init__)?\.py$", "").alias("value"), F.col("path").alias("to"))
+    imports = facts.where("kind = 'import' AND value <> ''").select("path", "name", "value").distinct().join(known, "value")
+    best = named.join(imports, ["path", "name"]).groupBy("path", "at").agg(F.max_by("to", F.struct("n", F.length("value").alias("long"), "to")).alias("found"))
+    met = routes_.join(best, ["path", "at"], "left").where("kind <> 'tuple' OR found IS NOT NULL").where("coalesce(url, '') <> ''")
+    rank = F.struct(F.when(F.col("kind") == "tuple", 2).when(F.col("kind") == "route", 0).otherwise(1).alias("kind"), "at")
+    return met.groupBy("path", "url").agg(F.max_by(F.coalesce("found", "path"), rank).alias("source"))
 
 
 def java_routes(sources: DataFrame) -> DataFrame:
