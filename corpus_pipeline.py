@@ -1,8 +1,9 @@
 """A training corpus from raw documents: filter, deduplicate, cut repeats, mix, pack.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet before the next stage starts:
-a stage removes the scratch tables of the one before, the end of the application what is left. All but the last return the
-columns of ``documents``. Each stage takes nulls, repeated ids and empty tables as its operator does.
+a stage removes the scratch tables of the one before and has executors drop their garbage, the end of the application
+removes what is left. All but the last return the columns of ``documents``. Each stage takes nulls, repeated ids and empty
+tables as its operator does.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ def _stage(work):
     def run(spark, docs, sf_dir):
         common.ready(spark)
         common.release(spark, _OF_STAGES)
+        common.rested(spark)
         before = len(common.opened())
         try:
             return work(spark, docs, sf_dir)
