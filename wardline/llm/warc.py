@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, stored, table
+from .common import maybe_in, not_in, scratch, slots_of, stored, table
 
 #: Fixed values of the formats: magic numbers of the dictionary's skippable frame and of data frames.
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
@@ -117,16 +117,29 @@ def plan_records(pages: DataFrame, least: int = LEAST_REVISIT, id_col: str = "pa
     raw = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "utf-8").alias("payload"))
     raw = raw.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
     first = stored(raw.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
+    # most payloads stay where they are; those of copies meet their digest's first page without payloads
+    slots = stored(slots_of(first, "digest"), "digest_slots")
+    doubtful = maybe_in(raw, F.col("digest"), slots)
     refers = F.when((F.col("size") >= least) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    out = raw.join(first, "digest", "left").withColumn("refers_to", refers)
-    return out.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "size", "digest", "refers_to")
+    met = stored(doubtful.drop("payload").join(first, "digest", "left").withColumn("refers_to", refers).drop("first"), "met")
+    whole = met.where("refers_to IS NULL").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest")).distinct()
+    kept = doubtful.join(whole, F.expr("page_id <=> _page AND digest = _digest"), "left_semi")
+    names, none = ["page_id", "url", "payload", "size", "digest"], F.lit(None)
+    out = not_in(raw, F.col("digest"), slots).select(*names).unionByName(kept.select(*names)).withColumn("refers_to", none.cast("long"))
+    return out.unionByName(met.where("refers_to IS NOT NULL").withColumn("payload", none.cast("binary")).select(*names, "refers_to"))
+
+
+def _store(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder as executors write to it, under Hadoop's names of schemes too."""
+    scheme, colon, rest = root.partition(":")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "abfss": "abfs"}.get(scheme, scheme) + colon + rest)
 
 
 def write(records: DataFrame, root: str, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write archives below ``root``; one row (path, n_records, n_bytes) for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = fs.FileSystem.from_uri(root)
+        store, folder = _store(root)
         store.create_dir(folder, recursive=True)
 
         def flush(held: list[bytes]) -> pa.RecordBatch:
@@ -156,7 +169,7 @@ def read(archives: DataFrame, root: str, payloads: bool = False) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), *([pa.binary()] if payloads else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = fs.FileSystem.from_uri(root)
+        store, folder = _store(root)
         make = lambda rows: pa.record_batch([pa.array([r[c] for r in rows], k) for c, k in zip(names, kinds, strict=True)], names)
         for b in batches:
             for path, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
