@@ -25,25 +25,24 @@ def classify(sources: DataFrame, url_to_source: DataFrame, dependency: DataFrame
     an edge and UPdiff2 are isolated or stand alone. observed, internal_reachable and support_unreachable are about
     files: seen, reachable from seen ones over dependencies, and neither reachable nor public.
     """
-    base = observed.select(urls.base_page(F.col("page")).alias("base")).distinct()
-    up = url_to_source.withColumn("base", urls.base_page(F.col("url")))
-    seen = up.join(base, "base", "left_semi")
-    rest = up.join(base, "base", "left_anti")
-    touched = graph.edge_kinds(dependency, http).select(F.explode(F.array("from", "to")).alias("source")).distinct().withColumn("touched", F.lit(True))
-    split = rest.join(touched, "source", "left").withColumn("first", F.coalesce("touched", F.lit(False)) & ~F.rlike("url", F.lit(urls.STANDALONE)))
-    public = url_to_source.select(F.col("source").alias("path")).distinct()
-    starts = seen.select(F.col("source").alias("node")).distinct()
-    reach = graph.closure(dependency, starts)
-    label = lambda d, name, col: d.select(F.lit(name).alias("label"), F.col(col).alias("member")).distinct()
-    parts = [
-        label(up, "UP", "url"), label(sources.join(public, "path", "left_anti"), "CP", "path"), label(seen, "UP_prime0", "url"), label(split.where("first"), "UPdiff1", "url"), label(split.where("NOT first"), "UPdiff2", "url"),
-        label(split, "UPdiff", "url"), label(starts, "observed", "node"), label(reach.where("depth > 0"), "internal_reachable", "node"), label(split, "public_unobserved", "url"),
-        label(sources.join(reach.select(F.col("node").alias("path")), "path", "left_anti").join(public, "path", "left_anti"), "support_unreachable", "path"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    base = observed.select(urls.base_page(F.col("page")).alias("base")).distinct().withColumn("seen", F.lit(True))
+    edges = dependency.select("from", "to").union(http.select("from", "to"))
+    touched = edges.select(F.explode(F.array("from", "to")).alias("source")).distinct().withColumn("touched", F.lit(True))
+    up = url_to_source.select("url", "source", urls.base_page(F.col("url")).alias("base")).join(base, "base", "left").join(touched, "source", "left")
+    first = F.coalesce("touched", F.lit(False)) & ~F.rlike("url", F.lit(urls.STANDALONE))
+    up = graph.checkpointed(up.select("url", "source", F.coalesce("seen", F.lit(False)).alias("seen"), F.coalesce(first, F.lit(False)).alias("first")))
+    reach = graph.closure(dependency, up.where("seen").select(F.col("source").alias("node")))
+    # what is known of each file, in one aggregation; then every URL and every file names its labels
+    none, yes = F.lit(None), F.lit(True)
+    facts = sources.select("path", yes.alias("file"), none.cast("boolean").alias("public"), none.cast("int").alias("depth"))
+    facts = facts.union(up.select("source", none, yes, none)).union(reach.select("node", none, none, "depth"))
+    files = facts.groupBy("path").agg(F.max("file").alias("file"), F.max("public").alias("public"), F.min("depth").alias("depth"))
+    named = lambda test, *names: F.when(test, F.array(*map(F.lit, names))).otherwise(F.expr("CAST(array() AS array<string>)"))
+    own, inner = F.col("file").isNotNull() & F.col("public").isNull(), F.col("depth").isNull()
+    of_url = F.concat(named(yes, "UP"), named(F.col("seen"), "UP_prime0"), named(~F.col("seen"), "UPdiff", "public_unobserved"), named(~F.col("seen") & F.col("first"), "UPdiff1"), named(~F.col("seen") & ~F.col("first"), "UPdiff2"))
+    of_file = F.concat(named(own, "CP"), named(own & inner, "support_unreachable"), named(F.col("depth") == 0, "observed"), named(F.col("depth") > 0, "internal_reachable"))
+    labels = up.select(F.explode(of_url).alias("label"), F.col("url").alias("member")).distinct()
+    return labels.union(files.select(F.explode(of_file).alias("label"), F.col("path").alias("member")))
 
 
 def fuse(dynamic_nodes: DataFrame, url_to_source: DataFrame, labels: DataFrame) -> dict[str, DataFrame]:
