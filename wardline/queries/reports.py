@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import entities, evaluate, reporting
+from ..operators import entities, evaluate, rendering, reporting
 from ..operators.access import first_wins
 from .adapters import CRAWL, crawl, table
 from .registry import query
@@ -35,6 +35,20 @@ def findings_report(spark, sf_dir):
     return r.select("category", "page", *[F.array_join(c, ",").alias(c) for c in ("actors", "confidence", "evidence")], "requests")
 
 
+@query(f"""{FINDINGS}, g AS (SELECT *, CASE WHEN status = 'vulnerable' THEN 1 ELSE 2 END AS section FROM f),
+ a AS (SELECT section, category, page, actor, min(ord) AS o FROM g GROUP BY ALL), l AS (SELECT section, category, page, string_agg(actor, ', ' ORDER BY o) AS actors FROM a GROUP BY ALL),
+ v AS (SELECT DISTINCT section, category, page, unnest([e1, e2]) AS e FROM g), w AS (SELECT section, category, page, string_agg('- Evidence: ' || e, chr(10) ORDER BY e) AS evidence FROM v GROUP BY ALL),
+ d AS (SELECT DISTINCT section, category, page, confidence FROM g), h AS (SELECT section, category, page, string_agg(confidence, ', ' ORDER BY confidence) AS confidence FROM d GROUP BY ALL),
+ r AS (SELECT section, 1 AS place, category, page, '### `' || page || '`' || chr(10) || chr(10) || '- Category: ' || category || chr(10) || '- Actors: ' || actors || chr(10) || '- Confidence: ' || confidence || chr(10) || evidence || chr(10) AS m FROM l JOIN w USING (section, category, page) JOIN h USING (section, category, page)
+       UNION ALL SELECT 0, 0, '', '', '# Findings' || chr(10) || chr(10) || '- Confirmed: ' || count(*) FILTER (WHERE section = 1) || chr(10) || '- Not confirmed: ' || count(*) FILTER (WHERE section = 2) || chr(10) FROM g
+       UNION ALL SELECT n, 0, '', '', '## ' || t || chr(10) || CASE WHEN (SELECT count(*) FROM g WHERE section = n) = 0 THEN chr(10) || 'None.' || chr(10) ELSE '' END FROM (VALUES (1, 'Confirmed'), (2, 'Not confirmed')) x(n, t))
+ SELECT row_number() OVER (ORDER BY section, place, category, page) AS "row", section, category, page, md5(m) AS digest FROM r""")
+def findings_lines(spark, sf_dir):
+    """The whole findings report, numbered by ranges."""
+    report = rendering.numbered(rendering.findings_sections(findings(spark, sf_dir)), rendering.ORDER)
+    return report.select("row", "section", "category", "page", F.md5("markdown").alias("digest"))
+
+
 ATTEMPTS = "WITH a AS (SELECT l_orderkey AS item, l_linenumber AS attempt, l_discount < 0.08 AS syntax_ok, l_tax < 0.05 AS exploit_blocked, l_quantity > 10 AS regression_passed, l_discount < 0.08 AND l_tax < 0.05 AND l_quantity > 10 AS successful FROM lineitem)"
 
 
