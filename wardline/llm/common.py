@@ -56,6 +56,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
+    global _WRITTEN
+    _WRITTEN += 1
+    if _WRITTEN % REST_EVERY == 0:
+        rested(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path.rsplit("/", 1)[0]
     return out
@@ -82,6 +86,11 @@ def release(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Tables that ``stored`` writes from one collection of garbage to the next.
+REST_EVERY = 8
+_WRITTEN = 0
+
+
 def rested(spark: SparkSession) -> None:
     """Have every executor collect its garbage, so that a long session's heaps go back to what lives. Short tasks, several for
     each core, meet all executors that are idle; one that is missed is only as large as it was."""
