@@ -401,3 +401,40 @@ def damaged(conversations: DataFrame) -> DataFrame:
 def op13_query(spark, sf_dir):
     """Faults and cheapest repairs of all conversations, after damage."""
     return repaired(damaged(table(spark, sf_dir, "conversations")), copies_col="copies").withColumnRenamed("conv", "conv_id")
+
+
+#: The same by a recursion from the end, which keeps (cost, letters, turns) for each of the four nodes; checksums bit by bit.
+OP13_SQL = r"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+bits AS (
+  SELECT key, list_transform(range(0, 8 * length(key)), lambda i: (ascii(substr(key, CAST(i // 8 + 1 AS BIGINT), 1)) >> CAST(i % 8 AS INT)) & 1) AS b FROM (SELECT DISTINCT key FROM k)),
+sums AS (
+  SELECT key, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(b, lambda x: CAST(x AS BIGINT))), lambda a, x: CASE WHEN xor(a, x) & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 20 AS kind FROM bits),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM k JOIN sums USING (key) WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d),
+f AS (
+  SELECT *, substr(role, 1, 1) AS r, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+            WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS p FROM o),
+s(conv_id, i, b0, b1, b2, b3) AS (
+  SELECT conv_id, max(i) + 1, {'c': 0, 'a': '', 't': CAST([] AS VARCHAR[])}, {'c': 6, 'a': 'II', 't': ['user:', 'assistant:']}, {'c': 3, 'a': 'I', 't': ['assistant:']}, {'c': 0, 'a': '', 't': CAST([] AS VARCHAR[])} FROM f GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, list_min([r0, {'c': x2.c + 3, 'a': 'I' || x2.a, 't': ['user:'] || x2.t}]), list_min([r1, {'c': x2.c + 3, 'a': 'I' || x2.a, 't': ['user:'] || x2.t}]), x2, list_min([r3, {'c': x2.c + 3, 'a': 'I' || x2.a, 't': ['user:'] || x2.t}])
+  FROM (SELECT *, list_min([r2, {'c': r3.c + 3, 'a': 'I' || r3.a, 't': ['assistant:'] || r3.t}]) AS x2
+    FROM (SELECT s.conv_id, f.i,
+      list_min([{'c': b0.c + 4, 'a': 'D' || b0.a, 't': b0.t}, CASE WHEN fault IN (0, 3) AND r = 's' THEN {'c': b1.c + fault, 'a': 'K' || b1.a, 't': [role || ':' || text] || b1.t} WHEN fault IN (0, 3) AND r = 'u' THEN {'c': b2.c + fault, 'a': 'K' || b2.a, 't': [role || ':' || text] || b2.t} END, CASE WHEN fault IN (0, 3) THEN {'c': b2.c + 3 + fault, 'a': 'R' || b2.a, 't': ['user:' || text] || b2.t} END]) AS r0,
+      list_min([{'c': b1.c + 4, 'a': 'D' || b1.a, 't': b1.t}, CASE WHEN fault IN (0, 3) AND r = 'u' THEN {'c': b2.c + fault, 'a': 'K' || b2.a, 't': [role || ':' || text] || b2.t} END, CASE WHEN fault IN (0, 3) THEN {'c': b2.c + 3 + fault, 'a': 'R' || b2.a, 't': ['user:' || text] || b2.t} END]) AS r1,
+      list_min([{'c': b2.c + 4, 'a': 'D' || b2.a, 't': b2.t}, CASE WHEN fault IN (0, 3) AND r = 'a' THEN {'c': b3.c + fault, 'a': 'K' || b3.a, 't': [role || ':' || text] || b3.t} END, CASE WHEN fault IN (0, 3) THEN {'c': b3.c + 3 + fault, 'a': 'R' || b3.a, 't': ['assistant:' || text] || b3.t} END]) AS r2,
+      list_min([{'c': b3.c + 4, 'a': 'D' || b3.a, 't': b3.t}, CASE WHEN fault IN (0, 3) AND r = 'u' THEN {'c': b2.c + fault, 'a': 'K' || b2.a, 't': [role || ':' || text] || b2.t} END, CASE WHEN fault IN (0, 3) THEN {'c': b2.c + 3 + fault, 'a': 'R' || b2.a, 't': ['user:' || text] || b2.t} END]) AS r3
+      FROM s JOIN f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i - 1))),
+n AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated,
+         count(*) FILTER (WHERE p IS NOT NULL AND p || r NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+c AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(b0.c, 0) AS BIGINT) AS cost, coalesce(b0.a, '') AS audit, sha256(coalesce(array_to_string(b0.t, chr(10)), '')) AS repaired_sha256
+FROM c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id AND s.i = 1
+"""

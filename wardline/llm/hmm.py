@@ -324,6 +324,21 @@ def likelihoods(texts: list[np.ndarray], model: Model) -> np.ndarray:
     return out
 
 
+def unigram(coded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(key, id, held, n_tokens, n_known, logs): known tokens and the sum of log10(c + 0.1) of each text. Words beyond the head
+    meet their counts by a join, a row for each text and word."""
+    rare = coded.where(F.size("words") > 0).select("key", F.explode(F.arrays_zip("words", "times")).alias("x")).select("key", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    c = F.coalesce(F.col("n"), F.lit(0))
+    rare = rare.join(vocabulary.counts.select("word", "n"), "word", "left").groupBy("key").agg(F.sum(F.col("times") * F.log10(c + ADDED)).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("met"))
+    rows = coded.select("key", "id", "held", "n_tokens", "known", "logs").join(rare, "key", "left")
+    return rows.select("key", "id", "held", "n_tokens", (F.col("known") + F.coalesce("met", F.lit(0))).cast("long").alias("n_known"), (F.col("logs") + F.coalesce("more", F.lit(0.0))).alias("logs"))
+
+
+def base_score(vocabulary: Vocabulary) -> Column:
+    """The log10 probability of a text by word counts alone, of the columns of ``unigram``."""
+    return F.col("logs") - F.col("n_tokens") * float(np.log10(vocabulary.base_total))
+
+
 def score(coded: DataFrame, vocabulary: Vocabulary, model: Model) -> DataFrame:
     """(id, held, n_tokens, n_known, base_score, score): log10 probabilities of whole texts by word counts and by the model."""
     shared = coded.sparkSession.sparkContext.broadcast(model)
@@ -346,15 +361,9 @@ def score(coded: DataFrame, vocabulary: Vocabulary, model: Model) -> DataFrame:
             yield out()
 
     gain = coded.select("key", "classes").mapInArrow(run, "key long, gain double")
-    rare = coded.where(F.size("words") > 0).select("key", F.explode(F.arrays_zip("words", "times")).alias("x")).select("key", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    c = F.coalesce(F.col("n"), F.lit(0))
-    rare = rare.join(vocabulary.counts.select("word", "n"), "word", "left").groupBy("key").agg(F.sum(F.col("times") * F.log10(c + ADDED)).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("met"))
-    rows = coded.select("key", "id", "held", "n_tokens", "known", "logs").join(gain, "key").join(rare, "key", "left")
-    logs = F.col("logs") + F.coalesce("more", F.lit(0.0))
-    return rows.select(
-        "id", "held", "n_tokens", (F.col("known") + F.coalesce("met", F.lit(0))).cast("long").alias("n_known"),
-        (logs - F.col("n_tokens") * float(np.log10(vocabulary.base_total))).alias("base_score"), (logs - F.col("n_tokens") * float(np.log10(vocabulary.total)) + F.col("gain")).alias("score"),
-    )
+    rows = unigram(coded, vocabulary).join(gain, "key")
+    whole = (F.col("logs") - F.col("n_tokens") * float(np.log10(vocabulary.total)) + F.col("gain")).alias("score")
+    return rows.select("id", "held", "n_tokens", "n_known", base_score(vocabulary).alias("base_score"), whole)
 
 
 def op12_query(spark, sf_dir):
@@ -365,3 +374,29 @@ def op12_query(spark, sf_dir):
     model, _ = baum_welch(coded.where("NOT held"), vocabulary.prior)
     out = score(coded, vocabulary, model)
     return out.select(F.col("id").alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def unigram_query(spark, sf_dir):
+    """The part of op12's rows that SQL can check."""
+    docs = table(spark, sf_dir, "documents")
+    vocabulary = Vocabulary(docs.where(~held_out()))
+    out = unigram(vocabulary.encode(docs), vocabulary)
+    return out.select(F.col("id").alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), F.round(base_score(vocabulary), 3).alias("base_score"))
+
+
+UNIGRAM_SQL = r"""
+WITH k AS (SELECT DISTINCT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS key FROM documents),
+bits AS (
+  SELECT doc_id, list_transform(range(0, 8 * length(key)), lambda i: CAST((ascii(substr(key, CAST(i // 8 + 1 AS BIGINT), 1)) >> CAST(i % 8 AS INT)) & 1 AS BIGINT)) AS b FROM k),
+h AS (
+  SELECT doc_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda a, x: CASE WHEN xor(a, x) & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 10 = 0 AS held FROM bits),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, held, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), '') AS ws
+  FROM documents JOIN h USING (doc_id)),
+t AS (SELECT r, doc_id, held, unnest(ws) AS w FROM d),
+c AS (SELECT w, count(*) AS n FROM t WHERE NOT held GROUP BY w),
+v AS (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS tokens, count(*) AS kinds FROM c)
+SELECT t.doc_id, t.held AS held_out, count(*) AS n_tokens, count(c.n) AS n_known, any_value(tokens) AS train_tokens,
+       round(sum(log10(coalesce(c.n, 0) + 0.1)) - count(*) * log10(any_value(tokens) + 0.1 * (any_value(kinds) + 1)), 3) AS base_score
+FROM t LEFT JOIN c USING (w) CROSS JOIN v GROUP BY t.r, t.doc_id, t.held
+"""

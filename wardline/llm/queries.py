@@ -33,8 +33,9 @@ _QUERIES = {
     "op12_hidden_markov": hmm.op12_query,
     "op13_conversation_repair": dialogue.op13_query,
     "rollup_word_counts": rollups.rollup_words_query,
+    "unigram_scores": hmm.unigram_query,
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": signature.OP1_SQL, "op8_mixing": mixing.OP8_SQL, "op9_warc": warc.OP9_SQL, "rollup_word_counts": rollups.ROLLUP_WORDS_SQL}
+    return {"op1_jaccard_join": signature.OP1_SQL, "op8_mixing": mixing.OP8_SQL, "op9_warc": warc.OP9_SQL, "op13_conversation_repair": dialogue.OP13_SQL, "rollup_word_counts": rollups.ROLLUP_WORDS_SQL, "unigram_scores": hmm.UNIGRAM_SQL}
