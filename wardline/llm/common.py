@@ -93,7 +93,9 @@ _WRITTEN = 0
 
 def rested(spark: SparkSession) -> None:
     """Have every executor collect its garbage, so that a long session's heaps go back to what lives. Short tasks, several for
-    each core, meet all executors that are idle; one that is missed is only as large as it was."""
+    each core, meet all executors that are idle; one that is missed is only as large as it was. A local master has none."""
+    if spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local["):
+        return
     n = 4 * spark.sparkContext.defaultParallelism
     spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
 
