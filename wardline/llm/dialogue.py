@@ -169,12 +169,14 @@ def _chunks(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # rows of the chunk being filled
-        size = seq = before = 0  # its bytes, its number, chunks of its conversation before it
+        size = seq = before = waiting = 0  # its size, its number, chunks of its conversation before it; size of ready chunks
         first = True  # its conversation is the partition's first: it may have begun in an earlier one
         conv = part = None
         ready: list[dict] = []
 
         def close(whole: bool):
+            nonlocal waiting
+            waiting += size
             ready.append({"conv": conv, "part": part, "seq": seq, "whole": whole, **dict(zip(names, map(list, zip(*held, strict=True)), strict=True))})
 
         for batch in batches:
@@ -189,9 +191,9 @@ def _chunks(rows: DataFrame) -> DataFrame:
                 conv, part = key, p
                 held.append(tuple(row))
                 size += len(row[2] or "")
-            if len(ready) >= 256 or sum(len(r["role"]) for r in ready) >= 2 * CHUNK_ROWS:
-                yield pa.RecordBatch.from_pylist(ready, arrow)
-                ready = []
+                if len(ready) >= CHUNK_ROWS or waiting >= CHUNK_BYTES:
+                    yield pa.RecordBatch.from_pylist(ready, arrow)
+                    ready, waiting = [], 0
         if held:
             close(False)
         if ready:
