@@ -18,3 +18,17 @@ def test_view_sources(spark):
 def test_no_sources(spark):
     df = spark.createDataFrame([], "path string, code string")
     assert extract.view_sources(extract.python_facts(df), df).count() == 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_views_are_not_sent_to_all_tasks_and_files_are_parsed_once(spark):
+    """A table of short files is estimated at few bytes, however many rows it has."""
+    df = spark.createDataFrame(list(TREE.items()), "path string, code string").coalesce(1)
+    facts = extract.python_facts(df)
+    assert facts.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for out in (extract.view_sources(facts, df), extract.python_edges(facts, df), extract.resolved_edges(extract.php_includes(df), df)):
+        assert "BroadcastHashJoin" not in plan(out)
+    assert "MapInArrow" not in plan(extract.view_sources(facts, df))

@@ -15,6 +15,12 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators.entities import first_match
+from ..operators.graph import checkpointed
+
+def spread(sources: DataFrame) -> DataFrame:
+    """The files dealt over tasks by path. A table of many short files is few bytes, hence few tasks, and parsing costs far more
+    than reading; the number is explicit, since by bytes the tasks would be put together again."""
+    return sources.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
 
 
 def folder(path: Column) -> Column:
@@ -28,7 +34,7 @@ def normalised(path: Column) -> Column:
 
 
 def _listed(sources: DataFrame, found: Column) -> DataFrame:
-    return sources.select("path", F.explode(F.array_distinct(found)).alias("target"))
+    return spread(sources).select("path", F.explode(F.array_distinct(found)).alias("target"))
 
 
 def php_includes(sources: DataFrame) -> DataFrame:
@@ -54,7 +60,7 @@ def go_imports(sources: DataFrame) -> DataFrame:
 def resolved_edges(found: DataFrame, files: DataFrame) -> DataFrame:
     """(from, to) of relative targets: beside the file first, then from the root. ``files`` has path."""
     rows = found.distinct().select(F.struct("path", "target").alias("id"), "path", F.array(normalised(F.concat(folder(F.col("path")), "target")), normalised(F.col("target"))).alias("candidates"))
-    known = files.select(F.col("path").alias("spelling"), F.col("path").alias("to"))
+    known = files.select(F.col("path").alias("spelling"), F.col("path").alias("to")).hint("merge")
     return first_match(rows, known, "id", "candidates", "to").where("`to` IS NOT NULL").select(F.col("path").alias("from"), "to").distinct()
 
 
@@ -92,7 +98,7 @@ def nested_routes(sources: DataFrame) -> DataFrame:
                         depth -= 1
             yield pa.record_batch([pa.array([r[c] for r in rows], pa.string()) for c in range(3)], ["path", "url", "handler"])
 
-    return sources.select("path", "code").mapInArrow(run, "path string, url string, handler string").withColumn("url", urls.brace_route(F.col("url")))
+    return spread(sources.select("path", "code")).mapInArrow(run, "path string, url string, handler string").withColumn("url", urls.brace_route(F.col("url")))
 
 
 def _python_facts(path: str, code: str) -> list[tuple[str, str, str, str]]:
@@ -132,14 +138,14 @@ def python_facts(sources: DataFrame) -> DataFrame:
             rows = [(*r, i) for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, r in enumerate(_python_facts(p or "", c or ""))]
             yield pa.record_batch([pa.array([r[c] for r in rows], pa.string() if c < 4 else pa.int32()) for c in range(5)], ["path", "kind", "name", "value", "at"])
 
-    return sources.select("path", "code").mapInArrow(run, "path string, kind string, name string, value string, at int")
+    return spread(sources.select("path", "code")).mapInArrow(run, "path string, kind string, name string, value string, at int")
 
 
 def python_edges(facts: DataFrame, files: DataFrame) -> DataFrame:
     """(from, to) of imports: the module's file, or its package's __init__."""
     imports = facts.where("kind = 'import' AND value <> ''").select("path", "value").distinct()
     known = files.select(F.regexp_replace("path", r"(/__init__)?\.py$", "").alias("value"), F.col("path").alias("to"))
-    return imports.join(known, "value").select(F.col("path").alias("from"), "to").where("`from` <> `to`").distinct()
+    return imports.join(known.hint("merge"), "value").select(F.col("path").alias("from"), "to").where("`from` <> `to`").distinct()
 
 
 def python_routes(facts: DataFrame) -> DataFrame:
@@ -154,15 +160,18 @@ def view_sources(facts: DataFrame, files: DataFrame) -> DataFrame:
     beginning that the file imports leads to the imported module's file, of a package's name to its own module first; a
     decorated function, and a handler that leads nowhere, are of the route's own file. A route in a plain tuple is a pattern
     that looks like one, and counts only with a file. Of equal urls of a file a tuple goes before a call, a call before a
-    decorator, then the last."""
+    decorator, then the last.
+
+    Files are parsed once. Facts are many times the bytes they are estimated at: no side is sent to all tasks."""
+    facts = checkpointed(facts.where("kind <> 'import' OR value <> ''"))
     plain = F.regexp_replace(urls.django_route(F.col("name")), "^/+", "")
     url = F.when(F.col("kind").isin("re_path", "url", "tuple"), urls.regex_route(F.col("name"))).otherwise(plain)
     routes_ = facts.where(r"kind <> 'import' AND (kind <> 'tuple' OR name RLIKE '^\\s*\\^|\\$\\s*$|/')").select("path", "kind", "at", url.alias("url"), F.split(F.regexp_extract("value", r"^[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*", 0), r"\.").alias("steps"))
     named = routes_.where("kind <> 'route'").select("path", "at", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("steps")), lambda k: F.array_join(F.slice("steps", F.lit(1), k), "."))).alias("n", "name"))
     known = files.select(F.regexp_replace("path", r"(/__init__)?\.py$", "").alias("value"), F.col("path").alias("to"))
-    imports = facts.where("kind = 'import' AND value <> ''").select("path", "name", "value").distinct().join(known, "value")
-    best = named.join(imports, ["path", "name"]).groupBy("path", "at").agg(F.max_by("to", F.struct("n", F.length("value").alias("long"), "to")).alias("found"))
-    met = routes_.join(best, ["path", "at"], "left").where("kind <> 'tuple' OR found IS NOT NULL").where("coalesce(url, '') <> ''")
+    imports = facts.where("kind = 'import'").select("path", "name", "value").distinct().join(known.hint("merge"), "value")
+    best = named.join(imports.hint("merge"), ["path", "name"]).groupBy("path", "at").agg(F.max_by("to", F.struct("n", F.length("value").alias("long"), "to")).alias("found"))
+    met = routes_.join(best.hint("merge"), ["path", "at"], "left").where("kind <> 'tuple' OR found IS NOT NULL").where("coalesce(url, '') <> ''")
     rank = F.struct(F.when(F.col("kind") == "tuple", 2).when(F.col("kind") == "route", 0).otherwise(1).alias("kind"), "at")
     return met.groupBy("path", "url").agg(F.max_by(F.coalesce("found", "path"), rank).alias("source"))
 
