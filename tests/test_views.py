@@ -32,3 +32,12 @@ def test_views_are_not_sent_to_all_tasks_and_files_are_parsed_once(spark):
     for out in (extract.view_sources(facts, df), extract.python_edges(facts, df), extract.resolved_edges(extract.php_includes(df), df)):
         assert "BroadcastHashJoin" not in plan(out)
     assert "MapInArrow" not in plan(extract.view_sources(facts, df))
+
+
+def test_folder_of_many_files_is_joined_without_a_comparison_of_its_edges(spark):
+    n = 40
+    df = spark.createDataFrame([(f"d{i % 2}/f{i}.go", f'import (\n"fmt"\nx "e.com/app/d{1 - i % 2}"\ny "app/d{1 - i % 2}"\n)') for i in range(n)], "path string, code string")
+    out = extract.package_edges(extract.go_imports(df), df)
+    assert sorted((r["from"], r["to"]) for r in out.collect()) == sorted((f"d{i % 2}/f{i}.go", f"d{j % 2}/f{j}.go") for i in range(n) for j in range(n) if i % 2 != j % 2)
+    above = plan(out).split("SortMergeJoin")[0]
+    assert "BroadcastHashJoin" not in plan(out) and "SortMergeJoin" in plan(out) and "Aggregate" not in above

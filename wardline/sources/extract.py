@@ -17,6 +17,10 @@ from ..functions import urls
 from ..operators.entities import first_match
 from ..operators.graph import checkpointed
 
+#: Shares of the files that import one package, so that a package of all files is not joined in one task.
+SHARES = 8
+
+
 def spread(sources: DataFrame) -> DataFrame:
     """The files dealt over tasks by path. A table of many short files is few bytes, hence few tasks, and parsing costs far more
     than reading; the number is explicit, since by bytes the tasks would be put together again."""
@@ -65,10 +69,16 @@ def resolved_edges(found: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def package_edges(found: DataFrame, files: DataFrame) -> DataFrame:
-    """(from, to) of packages: every file of the folder whose path ends a package's. Folders meet packages by their tails."""
-    at = files.select("path", F.regexp_replace(folder(F.col("path")), "/$", "").alias("dir")).where("dir <> ''")
-    tails = found.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("target", "/"))), lambda k: F.array_join(F.slice(F.split("target", "/"), -k, k), "/"))).alias("dir"))
-    return tails.withColumnRenamed("path", "from").join(at.withColumnRenamed("path", "to"), "dir").select("from", "to").where("`from` <> `to`").distinct()
+    """(from, to) of packages: every file of the folder whose path ends a package's. Folders meet packages by their tails.
+
+    A file lies in one folder, so that distinct tails and distinct files give distinct edges: these are never compared. Both
+    sides are dealt by an explicit number, as edges are many times their bytes, and importers in shares."""
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = files.select(F.col("path").alias("to"), F.regexp_replace(folder(F.col("path")), "/$", "").alias("dir")).where("dir <> ''").distinct()
+    at = at.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))).repartition(n, "dir", "share")
+    tails = found.select(F.col("path").alias("from"), F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("target", "/"))), lambda k: F.array_join(F.slice(F.split("target", "/"), -k, k), "/"))).alias("dir")).distinct()
+    tails = tails.withColumn("share", F.pmod(F.hash("from"), F.lit(SHARES))).repartition(n, "dir", "share")
+    return tails.join(at.hint("merge"), ["dir", "share"]).select("from", "to").where("`from` <> `to`")
 
 
 def nested_routes(sources: DataFrame) -> DataFrame:
