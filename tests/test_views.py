@@ -41,3 +41,11 @@ def test_folder_of_many_files_is_joined_without_a_comparison_of_its_edges(spark)
     assert sorted((r["from"], r["to"]) for r in out.collect()) == sorted((f"d{i % 2}/f{i}.go", f"d{j % 2}/f{j}.go") for i in range(n) for j in range(n) if i % 2 != j % 2)
     above = plan(out).split("SortMergeJoin")[0]
     assert "BroadcastHashJoin" not in plan(out) and "SortMergeJoin" in plan(out) and "Aggregate" not in above
+
+
+def test_routes_are_parsed_in_as_many_tasks_as_shuffles_have(spark):
+    df = spark.createDataFrame([(f"f{i}.py", "@app.route('/a')\ndef f(): pass\n") for i in range(40)], "path string, code string").coalesce(1)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for out in (extract.python_routes(extract.python_facts(df)), extract.nested_routes(df)):
+        assert out.rdd.getNumPartitions() == n
+    assert extract.python_routes(extract.python_facts(df)).count() == 40
