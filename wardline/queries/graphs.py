@@ -114,7 +114,8 @@ def http(spark, sf_dir):
 
 @query(f"WITH {DEPENDENCY}, {HTTP} SELECT kind, count(*) AS n, count(DISTINCT a) AS sources FROM (SELECT a, b, min(kind) AS kind FROM (SELECT a, b, 'dependency' AS kind FROM dep UNION ALL SELECT a, b, 'http' FROM h) GROUP BY a, b) GROUP BY kind")
 def edge_kinds(spark, sf_dir):
-    return graph.edge_kinds(dependency(spark, sf_dir), http(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("from").alias("sources"))
+    by = graph.edge_kinds(dependency(spark, sf_dir), http(spark, sf_dir)).groupBy("from", "kind").agg(F.count("*").alias("n"))
+    return by.groupBy("kind").agg(F.sum("n").alias("n"), F.count("from").alias("sources"))
 
 
 @query(f"WITH {DEPENDENCY}, x AS (SELECT a AS node, 0 AS i, 1 AS o FROM dep UNION ALL SELECT b, 1, 0 FROM dep) SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM x GROUP BY node")
