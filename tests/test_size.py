@@ -1,6 +1,9 @@
 """Operators whose cost goes by their rows, not by pairs, and whose tasks hold a share."""
 
-from wardline.operators import graph
+import random
+
+from pyspark.sql import functions as F
+from wardline.operators import graph, repair
 
 
 def plan(df):
@@ -15,3 +18,33 @@ def test_edges_are_dealt_before_they_are_folded(spark):
     assert sorted(rows, key=str) == sorted([("a", "b", "dependency"), ("a", "c", "dependency"), (None, "b", "dependency"), ("a", "d", "http")], key=str)
     out = graph.edge_kinds(d, h)
     assert plan(out).count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan(out)
+
+
+def test_covered_counts_an_id_once_whatever_its_rows(spark):
+    rng = random.Random(5)
+    names = ["a/1", "/a/2", "a/x?q=1", "b/7/", "b", None]
+    rows = [(i % 25, rng.choice("uvw"), rng.choice(names), [rng.choice(names)] if i % 3 else None, rng.choice(["GET", "POST", None]), i) for i in range(90)]
+    v = spark.createDataFrame([*rows, *rows[:9]], "id int, category string, page string, page_overrides array<string>, operation string, ord int")
+    items = spark.createDataFrame([(c, p, i) for i, (c, p) in enumerate((c, p) for c in "uvx" for p in ("a/1", "a/9", "b/7", "b", "zz"))], "category string, page string, ord int")
+    found = items.select("category", "page", F.lit("vulnerable").alias("status"))
+    out = {(r.category, r.page): (r.covered_findings, r.attack_vectors, list(r.operations)) for r in repair.covered(items, found, v).collect()}
+    spell = {p: set(s) for p, s in spark.createDataFrame([(n,) for n in {*names, "a/9", "b/7", "zz"} if n], "p string").select("p", repair.page_candidates(F.col("p"))).collect()} | {None: set()}
+    for (c, p), got in out.items():
+        met = {}
+        for i, vc, page, more, op, o in rows:
+            if vc == c and spell[p] & set().union(*(spell[x] for x in [page, *(more or [])])):
+                met.setdefault(i, []).append((op, o))
+        uses = {}
+        for found_ in met.values():
+            op = min((x for x, _ in found_ if x is not None), default=None)
+            uses.setdefault(op, []).append(min(o for _, o in found_))
+        first = sorted((min(o), op or "") for op, o in uses.items())
+        assert got == (1, len(met), [op or None for _, op in first])
+
+
+def test_vectors_of_equal_pages_meet_the_items_as_one(spark):
+    v = spark.range(300).select("id", F.lit("u").alias("category"), F.lit("a/1").alias("page"), F.lit(None).cast("array<string>").alias("page_overrides"), F.lit("GET").alias("operation"), F.col("id").alias("ord"))
+    items = spark.createDataFrame([("u", f"a/{i}", i) for i in range(20)], "category string, page string, ord int")
+    out = repair.covered(items, items.withColumn("status", F.lit("vulnerable")), v)
+    assert {r.attack_vectors for r in out.collect()} == {300}
+    assert "Window" in plan(out)
