@@ -48,3 +48,22 @@ def test_vectors_of_equal_pages_meet_the_items_as_one(spark):
     out = repair.covered(items, items.withColumn("status", F.lit("vulnerable")), v)
     assert {r.attack_vectors for r in out.collect()} == {300}
     assert "Window" in plan(out)
+
+
+def test_rounds_of_a_loop_deal_their_frontier_alone(spark, monkeypatch):
+    """Edges are dealt by their beginning once, whatever the number of rounds, and are let go at the end."""
+    plans = []
+    save = graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: plans.append(plan(df)) or save(df))
+    n = 6
+    chain = [(f"n{i}", 100, f"n{i + 1}", i) for i in range(n)]
+    edges = spark.createDataFrame([*chain, *chain, (None, 5, "n0", 0), ("n0", None, "z", 0)], "`from` string, before int, `to` string, to_at int")
+    starts = spark.createDataFrame([("n0", 1), ("n0", 0), (None, 3)], "node string, at int")
+    assert {r.node: r.at for r in graph.earliest(edges, starts).collect()} == {"n0": 0, None: 3, **{f"n{i + 1}": i for i in range(n)}}
+    depths = {r.node: r.depth for r in graph.closure(edges.where("before IS NOT NULL"), starts.select("node")).collect()}
+    assert depths == {None: 0, **{f"n{i}": i for i in range(n + 1)}}
+    labelled = graph.labelled_closure(edges.where("before IS NOT NULL"), starts.select("node", F.lit("x").alias("label")))
+    assert labelled.count() == n + 2
+    again = [line for p in plans for line in p.splitlines() if "hashpartitioning(from" in line and "REPARTITION_BY_NUM" not in line]
+    assert len(plans) > 3 * n and again == []
+    assert not spark.sparkContext._jsc.getPersistentRDDs()

@@ -90,21 +90,23 @@ def session_predicates(assignments: DataFrame, returns: DataFrame) -> DataFrame:
     """
     fn = F.lower(F.trim("function"))
     var = lambda name: F.concat(F.lit("v\x01"), fn, F.lit("\x01"), name)
-    a = assignments.where("trim(function) <> ''").select("function", F.col("at").cast("long").alias("at"), F.explode("left").alias("to"), "right", "calls")
-    a = a.select("function", "at", F.regexp_replace("to", r"\s+", "").alias("to"), "right", "calls").distinct()
-    r = returns.where("trim(function) <> ''")
     plain = lambda c: F.regexp_replace(c, r"\s+", "")
+    a = assignments.where("trim(function) <> ''").select("function", F.col("at").cast("long").alias("at"), F.explode(F.array_distinct(F.transform("left", plain))).alias("to"), "right", "calls")
+    r = returns.where("trim(function) <> ''")
     never = F.lit(2**62).cast("long")
-    source = F.transform(F.flatten(F.transform("right", _bases)), lambda b: F.concat(F.lit("v\x01"), fn, F.lit("\x01"), b))
     target = [var(F.col("to")).alias("to"), F.col("at").alias("to_at")]
-    through = a.select(F.explode(F.array_distinct(source)).alias("from"), F.col("at").alias("before"), *target)
-    called = a.select(F.explode(F.array_distinct(F.transform("calls", lambda c: F.concat(F.lit("f\x01"), F.lower(F.trim(c)))))).alias("from"), never.alias("before"), *target)
     answer = [F.concat(F.lit("f\x01"), fn).alias("to"), F.lit(-1).cast("long").alias("to_at")]
-    read = F.transform(F.flatten(F.transform("variables", _bases)), lambda b: F.concat(F.lit("v\x01"), fn, F.lit("\x01"), b))
-    returned = r.select(F.explode(F.array_distinct(read)).alias("from"), never.alias("before"), *answer)
+    edge = lambda before: lambda b: F.struct(b.alias("from"), before.alias("before"))
+    read = lambda names_: F.array_distinct(F.transform(F.flatten(F.transform(names_, _bases)), var))
+    through = F.transform(read("right"), edge(F.col("at")))
+    called = F.transform(F.array_distinct(F.transform("calls", lambda c: F.concat(F.lit("f\x01"), F.lower(F.trim(c))))), edge(never))
+    # values and calls of a row leave it together, so that rows are read once
+    none = F.expr("CAST(array() AS array<struct<from: string, before: bigint>>)")
+    edges = a.select(F.explode(F.concat(F.coalesce(through, none), F.coalesce(called, none))).alias("x"), *target).select("x.*", "to", "to_at")
+    edges = edges.union(r.select(F.explode(read("variables")).alias("from"), never.alias("before"), *answer))
     begun = a.where(F.exists("right", lambda v: F.rlike(plain(v), F.lit(STATE)))).select(*target)
     begun = begun.union(r.where(F.exists("variables", lambda v: F.rlike(plain(v), F.lit(STATE)))).select(*answer))
-    held = graph.earliest(through.union(called).union(returned), begun.select(F.col("to").alias("node"), F.col("to_at").alias("at")))
+    held = graph.earliest(edges, begun.select(F.col("to").alias("node"), F.col("to_at").alias("at")))
     carriers = held.where("node LIKE 'f\x01%'").select(F.substring_index("node", "\x01", -1).alias("function"))
     every = r.select(fn.alias("function"), names.boolean_return(F.col("code")).alias("b")).groupBy("function").agg(F.min(F.coalesce("b", F.lit(False))).alias("b"))
     return every.where("b").join(carriers, "function", "left_semi").select("function")
