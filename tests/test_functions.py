@@ -39,6 +39,27 @@ def test_pages(spark):
     assert one(spark, urls.request_params(F.lit("p?a=1&b=2&a=3"), F.lit("b=4&c="))) == {"a": "3", "b": "4", "c": ""}
 
 
+def test_parameters_of_a_request_are_decoded_once(spark):
+    """A column in a lambda is made anew for each element, one named often for each name."""
+    df = spark.createDataFrame([("p?a=1&b=%20&a=3", "b=4&c="), ("p?action=%20&do=x", None), (None, "a=1"), ("p", "")], "u string, b string")
+    params = urls.request_params(F.col("u"), F.col("b"))
+    laid = urls.effective_page(F.col("u"), F.create_map(F.lit("a"), F.lit("9"), F.lit("z"), F.lit("0")))
+    out = df.select(params.alias("p"), urls.operation(params, F.lit("put")).alias("o"), laid.alias("l"))
+    assert [(r.p, r.o, r.l) for r in out.collect()] == [({"a": "3", "b": "4", "c": ""}, "PUT", "p?a=9&b=+&a=9&z=0"), ({"action": " ", "do": "x"}, "x", "p?action=+&do=x&a=9&z=0"), (None, "PUT", None), ({}, "PUT", "p?a=9&z=0")]
+    decoded = lambda c: df.select(c)._jdf.queryExecution().analyzed().toString().count("&")
+    assert decoded(params) == decoded(urls.operation(params, F.lit("put"))) == 2 * decoded(urls.pairs(F.col("u")))
+
+
+def test_equal_requests_are_read_as_one(spark, tmp_path):
+    from wardline.queries import web
+
+    spark.createDataFrame([(t,) for t in ["click", "purchase", "purchase", "view", None]], "event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    out = web.request_labels(spark, str(tmp_path))
+    assert {tuple(r) for r in out.collect()} == {("click", "buy", 0, 1), ("purchase", "POST", 2, 2), ("view", "POST", 0, 1), (None, "POST", 0, 1)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" in plan and "lambda" not in plan[plan.rindex("Aggregate") :].split("\n", 1)[1]
+
+
 @pytest.mark.parametrize("value, want", [("x.php?a=1", "admin/x.php"), ("/y.php#z", "y.php"), ("../up.php", "admin/../up.php"), ("a.css", None), ("#top", None), ("javascript:x", None), ("<?php echo $x ?>", None), ("./", "admin/./"), ("", None), ("?a=1", None)])
 def test_link_target(spark, value, want):
     assert one(spark, urls.link_target(F.lit(value), F.lit("admin/index.php"))) == want

@@ -6,6 +6,8 @@ URLs never raise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,6 +56,11 @@ def render(pairs_: Column) -> Column:
     return F.array_join(F.transform(pairs_, lambda p: F.concat(encode(p["key"]), F.lit("="), encode(p["value"]))), "&")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value made once a row: a column named several times, or in a lambda, is made anew each time."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def with_query(page: Column, pairs_: Column) -> Column:
     return F.when(F.size(pairs_) > 0, F.concat(page, F.lit("?"), render(pairs_))).otherwise(page)
 
@@ -115,10 +122,13 @@ def joined(base: Column, value: Column) -> Column:
 
 def effective_page(page: Column, params: Column) -> Column:
     """A page with a request's parameters laid over its query, in the place of equal names and after the others."""
-    own = pairs(query(page))
-    changed = F.transform(own, lambda x: F.struct(x["key"].alias("key"), F.coalesce(F.try_element_at(params, x["key"]), x["value"]).alias("value")))
-    more = F.filter(F.transform(F.array_sort(F.map_keys(params)), lambda k: F.struct(k.alias("key"), F.element_at(params, k).alias("value"))), lambda x: ~F.exists(own, lambda o: o["key"] == x["key"]))
-    return with_query(F.substring_index(page, "?", 1), F.concat(changed, more))
+
+    def laid(own: Column) -> Column:
+        changed = F.transform(own, lambda x: F.struct(x["key"].alias("key"), F.coalesce(F.try_element_at(params, x["key"]), x["value"]).alias("value")))
+        more = F.filter(F.transform(F.array_sort(F.map_keys(params)), lambda k: F.struct(k.alias("key"), F.element_at(params, k).alias("value"))), lambda x: ~F.exists(own, lambda o: o["key"] == x["key"]))
+        return F.concat(changed, more)
+
+    return with_query(F.substring_index(page, "?", 1), once(pairs(query(page)), laid))
 
 
 def vulnerability_page(page: Column) -> Column:
@@ -152,9 +162,12 @@ def spellings(page: Column) -> Column:
 
 def request_params(url: Column, body: Column) -> Column:
     """Map of query and body parameters; the last of a key wins."""
-    both = F.concat(pairs(query(url)), pairs(F.coalesce(body, F.lit(""))))
-    keys = F.array_distinct(F.transform(both, lambda x: x["key"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(both, lambda x: x["key"] == k), -1)["value"]))
+
+    def last(both: Column) -> Column:
+        keys = F.array_distinct(F.transform(both, lambda x: x["key"]))
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(both, lambda x: x["key"] == k), -1)["value"]))
+
+    return once(F.concat(pairs(query(url)), pairs(F.coalesce(body, F.lit("")))), last)
 
 
 #: Query values and words that mark a parameter as a secret.
@@ -172,8 +185,8 @@ def redacted(params: Column) -> Column:
 
 def operation(params: Column, method: Column) -> Column:
     """The first non-blank of the parameters action, operation, do and mode, else the method."""
-    named = [F.nullif(F.trim(F.try_element_at(params, F.lit(k))), F.lit("")) for k in ("action", "operation", "do", "mode")]
-    return F.coalesce(*named, F.upper(F.coalesce(method, F.lit("GET"))))
+    named = once(params, lambda p: F.coalesce(*[F.nullif(F.trim(F.try_element_at(p, F.lit(k))), F.lit("")) for k in ("action", "operation", "do", "mode")]))
+    return F.coalesce(named, F.upper(F.coalesce(method, F.lit("GET"))))
 
 
 def excluded(url: Column, markers: list[str], patterns: list[str]) -> Column:

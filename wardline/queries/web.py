@@ -92,10 +92,14 @@ def marker_first_match(spark, sf_dir):
 
 @query("SELECT event_type, method, CAST(count(*) FILTER (WHERE event_type = 'purchase') AS BIGINT) AS recorded, count(*) AS n FROM (SELECT event_type, CASE WHEN event_type = 'click' THEN 'buy' ELSE 'POST' END AS method FROM events) GROUP BY 1, 2")
 def request_labels(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    params = urls.request_params(F.concat(F.lit("p.php?mode=&action="), F.when(F.col("event_type") == "click", "buy").otherwise("")), F.when(F.col("event_type") == "purchase", "password=a&item=2&item=3").otherwise("csrf_token=x"))
+    """Equal requests are counted first and read as one."""
+    url = F.concat(F.lit("p.php?mode=&action="), F.when(F.col("event_type") == "click", "buy").otherwise(""))
+    body = F.when(F.col("event_type") == "purchase", "password=a&item=2&item=3").otherwise("csrf_token=x")
+    requests = table(spark, sf_dir, "events").groupBy("event_type", url.alias("url"), body.alias("body")).agg(F.count("*").alias("n"))
+    params = urls.request_params(F.col("url"), F.col("body"))
     kept = urls.recorded_params(params, ["action", "mode"])
-    return e.groupBy("event_type", urls.operation(params, F.lit("post")).alias("method")).agg(F.count_if(F.try_element_at(kept, F.lit("item")) == "3").alias("recorded"), F.count("*").alias("n"))
+    recorded = F.sum(F.when(F.try_element_at(kept, F.lit("item")) == "3", F.col("n")).otherwise(0))
+    return requests.groupBy("event_type", urls.operation(params, F.lit("post")).alias("method")).agg(recorded.alias("recorded"), F.sum("n").alias("n"))
 
 
 @query(rf"""WITH {CRAWL}, p AS (SELECT DISTINCT page FROM c), b AS (SELECT page, split_part(page, '?', 1) AS base FROM p), x AS (SELECT page, unnest(list_distinct([page, base, '/' || page, '/' || base, regexp_replace(base, '/\d+$', '/p1'), '/' || regexp_replace(base, '/\d+$', '/p1')])) AS s FROM b)
