@@ -7,6 +7,7 @@ not imitated: what needs a full syntax tree enters the engine as record tables (
 from __future__ import annotations
 
 import ast
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -111,6 +112,13 @@ def nested_routes(sources: DataFrame) -> DataFrame:
     return spread(sources.select("path", "code")).mapInArrow(run, "path string, url string, handler string").withColumn("url", urls.brace_route(F.col("url")))
 
 
+#: Nodes without facts and with none below them, and fields that hold no others: most of a tree, never visited.
+_PLAIN = frozenset((ast.Name, ast.Constant, ast.alias, ast.Pass, ast.Break, ast.Continue, ast.Global, ast.Nonlocal, type(None), str, int))
+_BELOW = {k: tuple(f for f in k._fields if f not in ("ctx", "op", "ops", "id", "attr", "type_comment", "type_ignores")) for k in vars(ast).values() if isinstance(k, type) and issubclass(k, ast.AST)}
+#: What a tuple's second item may be.
+_HANDLERS = (ast.Name, ast.Attribute, ast.Call)
+
+
 def _python_facts(path: str, code: str) -> list[tuple[str, str, str, str]]:
     """(path, kind, name, value): imports as candidate files, routes with their handlers; nothing of a file that does not parse."""
     try:
@@ -118,24 +126,36 @@ def _python_facts(path: str, code: str) -> list[tuple[str, str, str, str]]:
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
     package = path.split("/")[:-1]
-    out = []
+    out, met = [], deque([tree])
     text = lambda n: n.value if isinstance(n, ast.Constant) and isinstance(n.value, str) else None
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Import):
+    while met:
+        node = met.popleft()
+        kind = type(node)
+        for field in _BELOW[kind]:
+            below = getattr(node, field, None)
+            if type(below) is list:
+                for x in below:
+                    if type(x) not in _PLAIN:
+                        met.append(x)
+            elif type(below) not in _PLAIN:
+                met.append(below)
+        if kind is ast.Import:
             out += [(path, "import", a.asname or a.name, a.name.replace(".", "/")) for a in node.names]
-        elif isinstance(node, ast.ImportFrom):
+        elif kind is ast.ImportFrom:
             base = package[: len(package) - node.level + 1] if node.level else []
             module = [*base, *(node.module or "").split(".")] if node.module else base
             for a in node.names:
                 out += [(path, "import", a.asname or a.name, "/".join([*module, a.name])), (path, "import", a.asname or a.name, "/".join(module))]
-        elif isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
+        elif kind is ast.FunctionDef or kind is ast.AsyncFunctionDef:
             for d in node.decorator_list:
                 if isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and d.func.attr in ("route", "get", "post", "put", "delete", "patch") and d.args and (url := text(d.args[0])) is not None:
                     out.append((path, "route", url, node.name))
-        elif isinstance(node, ast.Call) and getattr(node.func, "id", getattr(node.func, "attr", "")) in ("path", "re_path", "url") and len(node.args) > 1 and (url := text(node.args[0])) is not None:
-            out.append((path, getattr(node.func, "id", "path"), url, ast.unparse(node.args[1])))
-        elif isinstance(node, ast.Tuple) and len(node.elts) > 1 and (url := text(node.elts[0])) is not None and isinstance(node.elts[1], ast.Name | ast.Attribute | ast.Call):
-            out.append((path, "tuple", url, ast.unparse(node.elts[1])))
+        elif kind is ast.Call:
+            if getattr(node.func, "id", getattr(node.func, "attr", "")) in ("path", "re_path", "url") and len(node.args) > 1 and (url := text(node.args[0])) is not None:
+                out.append((path, getattr(node.func, "id", "path"), url, ast.unparse(node.args[1])))
+        elif kind is ast.Tuple:
+            if len(node.elts) > 1 and (url := text(node.elts[0])) is not None and isinstance(node.elts[1], _HANDLERS):
+                out.append((path, "tuple", url, ast.unparse(node.elts[1])))
     return out
 
 
